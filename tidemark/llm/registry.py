@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .jaccard_join import op8_jaccard_join
 from .packing import op4_packing
 from .sharding import op2_sharding
 from .toxicity import op3_toxicity
 
-QUERIES = {"op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op9_bpe": op9_bpe}
+QUERIES = {"op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op8_jaccard_join": op8_jaccard_join, "op9_bpe": op9_bpe}
 ORACLE_SQL: dict[str, str] = {}

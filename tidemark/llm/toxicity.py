@@ -70,7 +70,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     weights[1], weights[0] = 0.5, -0.5
     moved, moved_w = np.full(BUCKETS, 1e-8, np.float32), np.float32(1e-8)
     # Words that few texts have say nothing about others.
-    frequent = np.bincount(np.concatenate([k for k, _ in bags]), minlength=BUCKETS) >= max(3, len(bags) // 60)
+    frequent = np.bincount(np.concatenate([k for k, _ in bags]), minlength=BUCKETS) >= max(3, len(bags) // 200)
     vectors[~frequent] = 0
     bags = [(k[f], v[f] * np.float32(GAIN)) for k, v in bags for f in [frequent[k]]]
     balance = np.array([0.5 / (1 - share), 0.5 / share])
