@@ -7,8 +7,9 @@ from .embedding_dedup import op10_embedding_dedup
 from .jaccard_join import op8_jaccard_join
 from .packing import op4_packing
 from .sharding import op2_sharding
+from .suffix_dedup import op1_suffix_dedup
 from .topk_search import OP7_SQL, op7_topk
 from .toxicity import op3_toxicity
 
-QUERIES = {"op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_jaccard_join": op8_jaccard_join, "op9_bpe": op9_bpe, "op10_embedding_dedup": op10_embedding_dedup}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_jaccard_join": op8_jaccard_join, "op9_bpe": op9_bpe, "op10_embedding_dedup": op10_embedding_dedup}
 ORACLE_SQL: dict[str, str] = {"op7_topk": OP7_SQL}
