@@ -35,6 +35,6 @@ def connected_components(edges: DataFrame, label: str) -> DataFrame:
         mark = (found["n"], found["x"])
         if not found["n"]:
             break
-        current = written(clean(_small_star(clean(_large_star(current)))), f"{label}-edges")
+        current = written(clean(_small_star(_large_star(current))), f"{label}-edges")
     ends = current.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct())

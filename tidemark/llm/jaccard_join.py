@@ -10,9 +10,9 @@ shingle, which is one too many: so every linked pair meets in a key (pigeonhole)
 of their members' hashes. Pairs that met are first held against the Hamming bound of short sketches, then
 verified on the shingle sets themselves.
 
-Identical sets are one node from the start. In a key, nodes are compared with one centre in place of each other;
-where that leaves nodes of a key in different components, other centres and at last all pairs across components
-follow, so that no link between components is lost and no group is ever spelt out in pairs.
+Identical sets are one node from the start. In a key, nodes are compared with a few centres in place of each
+other; where that leaves nodes of a key in different components, the pairs across these components follow, so that
+no link between components is lost and no group is ever spelt out in pairs.
 
 Edge cases: a null or empty text or one of white space alone has no shingles and stands alone; fewer than five
 words are one shingle; a null doc_id takes part and counts as larger than all others; repeated rows are repeated
@@ -39,7 +39,7 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: Ratio of a band's largest size to its smallest.
 BAND = 1.4
 SHORT_BITS = 1024
-#: Centres that are tried in each key before pairs across components are listed.
+#: Centres with which the nodes of a key are compared before pairs across components are listed.
 CENTRES = 3
 _U = np.uint64
 KEY_BYTES = 5
@@ -172,13 +172,29 @@ def met_in_keys(docs: DataFrame, buckets: int) -> DataFrame:
         keys, refs = np.concatenate(keys), np.concatenate(refs)
         order = np.argsort(keys, kind="stable")
         keys, refs = keys[order], refs[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        centre = refs[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-        k = np.concatenate([keys[~first], *(x[0] for x in near)])
-        a = np.concatenate([centre[~first], *(x[1] for x in near)])
-        b = np.concatenate([refs[~first], *(x[2] for x in near)])
-        _, at, times = np.unique(k, return_inverse=True, return_counts=True)
-        k = np.where(times[at] > 1, (k.astype(np.int64) << 16 | int(group["bucket"].iloc[0])) + 1, 0)
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+        several = np.repeat(sizes > 1, sizes)
+        k, a, b = ([x[i] for x in near] for i in range(3))
+        for turn in range(CENTRES):
+            # Centres are least in an order of all rows, so near documents mostly find the same few.
+            rank = mix(refs.astype(np.uint64) + _U(turn << 60)) >> _U(1) if turn else refs.astype(np.uint64)
+            best = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+            at = np.flatnonzero(rank == best)
+            at = at[np.concatenate([[True], np.diff(np.searchsorted(starts, at, "right")) > 0])]
+            centre = np.repeat(refs[at], sizes)
+            pick = several & (refs != centre)
+            k.append(keys[pick])
+            a.append(centre[pick])
+            b.append(refs[pick])
+        k, a, b = map(np.concatenate, (k, a, b))
+        _, at = np.unique(k, return_inverse=True)
+        ends = np.zeros((2, at.max(initial=0) + 1), np.int64)
+        np.maximum.at(ends[0], at, np.maximum(a, b))
+        np.minimum.at(ends[1], at, -np.minimum(a, b))
+        pair = (np.maximum(a, b) == ends[0][at]) & (np.minimum(a, b) == -ends[1][at])
+        alone = np.bincount(at, ~pair, len(ends[0])) == 0
+        k = np.where(alone[at], 0, (k.astype(np.int64) << 16 | int(group["bucket"].iloc[0])) + 1)
         return pd.DataFrame({"key": k, "a": a, "b": b}).drop_duplicates()
 
     sent = docs.mapInPandas(send, "bucket int, block long, keys binary, near binary")
@@ -241,29 +257,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     tried = _pairs(met)
     links = written(verified(tried, nodes, docs), "jaccard-links")
-    # Keys of more than two nodes, where the first centre may have missed links between the others.
-    inside = met.where("key <> 0").select("key", F.col("a").alias("node")).unionByName(met.where("key <> 0").select("key", F.col("b").alias("node"))).distinct()
     classes = connected_components(links, "jaccard-classes")
-    for turn in range(CENTRES + 1):
-        labelled = inside.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-        split = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max_by("node", F.xxhash64("node", F.lit(turn), "key")).alias("centre")).where("least <> most")
-        if turn == CENTRES:
-            left = labelled.join(split.select("key"), "key", "left_semi")
-            other = left.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            more = left.withColumnRenamed("node", "a").join(other, "key").where("a < b and label <> label_b").select("a", "b").distinct()
-        else:
-            near = labelled.join(split.select("key", "centre"), "key").join(classes.select(F.col("node").alias("centre"), F.col("component").alias("of_centre")), "centre", "left")
-            more = _pairs(near.where(F.col("label") != F.coalesce("of_centre", "centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")))
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
-        if more.isEmpty():
-            if turn == CENTRES:
-                break
-            continue
-        tried = tried.unionByName(more)
+    # Keys of more than two nodes, where the centres may have missed links between the others.
+    wide = met.where("key <> 0")
+    inside = wide.select("key", F.col("a").alias("node")).unionByName(wide.select("key", F.col("b").alias("node"))).distinct()
+    labelled = inside.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    split = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    left = written(labelled.join(split.select("key"), "key", "left_semi"), "jaccard-left")
+    other = left.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    more = left.withColumnRenamed("node", "a").join(other, "key").where("a < b and label <> label_b").select("a", "b").distinct()
+    more = written(more.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+    if not more.isEmpty():
         new = written(verified(more, nodes, docs), "jaccard-links")
         if not new.isEmpty():
-            links = links.unionByName(new)
-            classes = connected_components(links, "jaccard-classes")
+            classes = connected_components(links.unionByName(new), "jaccard-classes")
     placed = rows.join(classes, "node", "left").select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("component", "node")).alias("label"))
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "label", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
