@@ -7,7 +7,11 @@ difference of sets of sizes a and b is at most (1-s)/(1+s) * (a+b). Sizes are de
 sketch has a fixed number of parts, and a set gives one key for each of its first non-empty parts, one more than
 the largest difference that a partner may have. If no key met, each of those parts would hold a differing
 shingle, which is one too many: so every linked pair meets in a key (pigeonhole). Wide parts are kept as the XOR
-of their members' hashes. Pairs that met are first held against the Hamming bound of short sketches, then
+of their members' hashes.
+
+Passages that many texts share make common keys. Every set gives ``spare`` keys more than it needs, so linked pairs
+meet in that many more, and a set may leave out its common keys if they are no more than that: the pair still
+meets in a key that isn't common. Pairs that met are first held against the Hamming bound of short sketches, then
 verified on the shingle sets themselves.
 
 Identical sets are one node from the start. In a key, nodes are compared with a few centres in place of each
@@ -41,6 +45,10 @@ BAND = 1.4
 SHORT_BITS = 1024
 #: Centres with which the nodes of a key are compared before pairs across components are listed.
 CENTRES = 3
+#: Nodes that share a key, from which on the key counts as common.
+COMMON = 24
+#: Shingles of a set for each key that it may leave out.
+SPARE = 12
 _U = np.uint64
 KEY_BYTES = 5
 
@@ -61,13 +69,18 @@ def band_tops(size: int) -> list[tuple[int, int]]:
         before, band, top = top, band + 1, max(top + 1, int(top * BAND))
 
 
+def spare(size: int) -> int:
+    """Keys that a set gives beyond those it needs, and may leave out where they are common."""
+    return size // SPARE
+
+
 def part_keys(members: np.ndarray) -> np.ndarray:
     """The keys of one sorted set of shingle hashes."""
     n, out = len(members), []
     for band, top in band_tops(n):
-        parts = int(1.1 * largest_difference(2 * top)) + 3
+        parts = max(int(1.1 * (largest_difference(2 * top) + spare(top))) + 8, 1024 if top <= 64 else 0)
         partner = min(top, n * DENOMINATOR // NUMERATOR)
-        need = largest_difference(n + partner) + 1
+        need = largest_difference(n + partner) + 1 + spare(partner)
         place = ((members >> _U(32)) * _U(parts)) >> _U(32)
         starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         sketch = np.bitwise_xor.reduceat(mix(members), starts)
@@ -174,27 +187,33 @@ def met_in_keys(docs: DataFrame, buckets: int) -> DataFrame:
         keys, refs = keys[order], refs[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-        several = np.repeat(sizes > 1, sizes)
-        k, a, b = ([x[i] for x in near] for i in range(3))
-        for turn in range(CENTRES):
+        near_key, near_centre, near_row = (np.concatenate([x[i] for x in near]) for i in range(3))
+        at = np.searchsorted(keys[starts], near_key)
+        total = sizes + np.bincount(at, minlength=len(sizes))
+        common = total > COMMON
+        # A common key: its rows. Any other: its centres with each of its rows, or its one pair.
+        many = np.repeat(common, sizes)
+        k, a, b = [keys[many], near_key[common[at]]], [refs[many], near_row[common[at]]], [refs[many], near_row[common[at]]]
+        rare = ~common[at]
+        keys, refs = np.concatenate([keys[~many], near_key[rare]]), np.concatenate([refs[~many], near_row[rare]])
+        order = np.argsort(keys, kind="stable")
+        keys, refs = keys[order], refs[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+        name = lambda x: (x.astype(np.int64) << 16 | int(group["bucket"].iloc[0])) + 1
+        k = [name(x) for x in k]
+        for turn in range(CENTRES if len(keys) else 0):
             # Centres are least in an order of all rows, so near documents mostly find the same few.
             rank = mix(refs.astype(np.uint64) + _U(turn << 60)) >> _U(1) if turn else refs.astype(np.uint64)
-            best = np.repeat(np.minimum.reduceat(rank, starts), sizes)
-            at = np.flatnonzero(rank == best)
+            best = np.minimum.reduceat(rank, starts)
+            at = np.flatnonzero(rank == np.repeat(best, sizes))
             at = at[np.concatenate([[True], np.diff(np.searchsorted(starts, at, "right")) > 0])]
             centre = np.repeat(refs[at], sizes)
-            pick = several & (refs != centre)
-            k.append(keys[pick])
+            pick = np.repeat(sizes > (2 if turn else 1), sizes) & (refs != centre)
+            k.append(np.where(np.repeat(sizes > 2, sizes), name(keys), 0)[pick])
             a.append(centre[pick])
             b.append(refs[pick])
         k, a, b = map(np.concatenate, (k, a, b))
-        _, at = np.unique(k, return_inverse=True)
-        ends = np.zeros((2, at.max(initial=0) + 1), np.int64)
-        np.maximum.at(ends[0], at, np.maximum(a, b))
-        np.minimum.at(ends[1], at, -np.minimum(a, b))
-        pair = (np.maximum(a, b) == ends[0][at]) & (np.minimum(a, b) == -ends[1][at])
-        alone = np.bincount(at, ~pair, len(ends[0])) == 0
-        k = np.where(alone[at], 0, (k.astype(np.int64) << 16 | int(group["bucket"].iloc[0])) + 1)
         return pd.DataFrame({"key": k, "a": a, "b": b}).drop_duplicates()
 
     sent = docs.mapInPandas(send, "bucket int, block long, keys binary, near binary")
@@ -253,14 +272,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = met_in_keys(docs, min(buckets, 1 << 16))
     of = lambda c: rows.select(F.col("ref").alias(c), F.col("node").alias(f"node_{c}"))
-    met = written(met.join(of("a"), "a").join(of("b"), "b").select("key", F.col("node_a").alias("a"), F.col("node_b").alias("b")).where("a <> b").distinct(), "jaccard-met")
-
-    tried = _pairs(met)
+    met = written(met.join(of("a"), "a").join(of("b"), "b").select("key", F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("a") == F.col("b")).alias("common")).where("common or a <> b").distinct(), "jaccard-met")
+
+    # Nodes that cannot do without their common keys meet in these, again by centres.
+    common = met.where("common").select("key", F.col("a").alias("node"))
+    bound = common.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(nodes.select("node", "size"), "node").where(F.col("n") > F.floor(F.col("size") / SPARE)).select("node")
+    common = written(common.join(bound, "node", "left_semi"), "jaccard-common")
+    centres = common.groupBy("key").agg(F.array(F.min("node"), *(F.min_by("node", F.xxhash64("node", F.lit(t))) for t in range(1, CENTRES))).alias("c"))
+    met_common = common.join(centres, "key").select(F.explode("c").alias("a"), F.col("node").alias("b"))
+    tried = written(_pairs(met.where("not common").select("a", "b").unionByName(met_common)), "jaccard-tried")
     links = written(verified(tried, nodes, docs), "jaccard-links")
     classes = connected_components(links, "jaccard-classes")
     # Keys of more than two nodes, where the centres may have missed links between the others.
-    wide = met.where("key <> 0")
-    inside = wide.select("key", F.col("a").alias("node")).unionByName(wide.select("key", F.col("b").alias("node"))).distinct()
+    wide = met.where("key <> 0 and not common")
+    inside = wide.select("key", F.col("a").alias("node")).unionByName(wide.select("key", F.col("b").alias("node"))).distinct().unionByName(common.select("key", "node"))
     labelled = inside.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     split = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
     left = written(labelled.join(split.select("key"), "key", "left_semi"), "jaccard-left")
