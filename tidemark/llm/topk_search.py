@@ -25,52 +25,55 @@ from .common import table
 
 K, SCALE = 5, 256
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
-#: Shares of the lists that are read between two looks at the bounds.
-DEPTHS = (0.3, 0.45, 0.6, 0.75, 1.0)
+#: Shares of the lists that were read when the bounds are looked at; after the last, all that is left is resolved.
+DEPTHS = (0.5, 0.7, 0.85)
 
 
 class SortedLists:
     """A block's components as lists in rising order, and the ranks of its vectors in them."""
 
     def __init__(self, rows: np.ndarray):
-        self.rows = rows
-        self.order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.values = np.take_along_axis(rows, self.order.T, axis=0).T.astype(float)
+        self.rows, self.exact = rows.astype(float), rows
+        order = np.argsort(rows, axis=0, kind="stable")
+        self.values = np.take_along_axis(self.rows, order, axis=0)
         self.rank = np.empty(rows.shape, np.int32)
-        np.put_along_axis(self.rank, self.order.T, np.arange(len(rows), dtype=np.int32)[:, None], axis=0)
+        np.put_along_axis(self.rank, order, np.arange(len(rows), dtype=np.int32)[:, None], axis=0)
 
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Positions of all vectors that may be among the k best."""
+    def read(self, queries: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all scores once ``upto`` entries of each list were read, for all queries at once.
+
+        A query reads a list from its high end where its own component is positive, else from its low end.
+        """
+        n = len(self.rows)
+        lower = upper = 0.0
+        for q, met, front, worst in (
+            (np.maximum(queries, 0), self.rank >= n - upto, self.values[n - upto], self.values[0]),
+            (np.minimum(queries, 0), self.rank < upto, self.values[upto - 1], self.values[-1]),
+        ):
+            done = q @ np.where(met, self.rows, 0).T
+            unmet = (~met).T.astype(float)
+            lower = lower + done + (q * worst) @ unmet
+            upper = upper + done + (q * front) @ unmet
+        return lower, upper
+
+    def candidates(self, queries: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
+        """For each query the positions of all vectors that may be among its k best."""
         n = len(self.rows)
-        if n <= 4 * k:
-            return np.arange(n)
-        used = np.flatnonzero(query)
-        if not len(used):
-            return np.arange(n)
-        q, down = query[used].astype(float), query[used] > 0
-        order, values, rank = self.order[used], self.values[used], self.rank[:, used]
-        worst = q * np.where(down, values[:, 0], values[:, -1])
-        read, done, got = 0, np.zeros(n), None
+        out: list[np.ndarray] = [np.arange(n)] * len(queries)
+        left = np.flatnonzero(k < n) if n > 64 else np.empty(0, np.int64)
         for share in DEPTHS:
-            upto = min(n, int(np.ceil(share * n)))
-            # The next stretch of every list, from its best end.
-            at = np.concatenate([order[down, n - upto : n - read].ravel(), order[~down, read:upto].ravel()])
-            add = np.concatenate([(values[down, n - upto : n - read] * q[down, None]).ravel(), (values[~down, read:upto] * q[~down, None]).ravel()])
-            done += np.bincount(at, add, n)
-            read = upto
-            if read == n:
-                lower = upper = done
-            else:
-                unmet = np.where(down, rank < n - read, rank >= read).astype(np.float32)
-                front = q * np.where(down, values[:, n - read], values[:, read - 1])
-                open_ = unmet @ np.stack([worst, front], axis=1).astype(np.float32)
-                slack = 1e-4 * (np.abs(worst).sum() + np.abs(front).sum()) * 0.01
-                lower, upper = done + open_[:, 0] - slack, done + open_[:, 1] + slack
-            line = np.partition(lower, n - k)[n - k]
-            got = np.flatnonzero(upper >= line)
-            if len(got) <= max(4 * k, n // 32):
+            if not len(left):
                 break
-        return got
+            lower, upper = self.read(queries[left], max(1, int(np.ceil(share * n))))
+            slack = 1e-9 * np.abs(upper).max(initial=1.0)
+            most = int(k[left].max())
+            lines = -np.partition(-lower, range(most), axis=1)[:, :most]
+            may = upper + slack >= lines[np.arange(len(left)), k[left] - 1][:, None]
+            few = may.sum(axis=1) <= max(4 * K, n // 16)
+            for i in np.flatnonzero(few):
+                out[left[i]] = np.flatnonzero(may[i])
+            left = left[~few]
+        return out
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
@@ -88,15 +91,16 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, query_block: int = QU
             order = np.argsort(ids, kind="stable")
             ids, block = ids[order], block[order]
             lists = SortedLists(block)
-            for query_id, q in zip(asked["vec_id"], asked["q"]):
-                q = np.asarray(q)
-                # One more than k is kept where the query's own rows stand in this block.
-                own = int(np.searchsorted(ids, query_id, "right") - np.searchsorted(ids, query_id, "left"))
-                at = lists.candidates(q, min(len(ids), k + own))
-                at = at[ids[at] != query_id]
-                scores = block[at] @ q
-                best = np.lexsort((ids[at], -scores))[:k]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at][best], "score": scores[best]}))
+            for start in range(0, len(asked), 256):
+                part = asked.iloc[start : start + 256]
+                asking, vectors = part["vec_id"].to_numpy(), np.stack(part["q"].to_numpy())
+                # As many more than k are kept as the query has rows of its own in this block.
+                own = np.searchsorted(ids, asking, "right") - np.searchsorted(ids, asking, "left")
+                for query_id, q, at in zip(asking, vectors, lists.candidates(vectors.astype(float), k + own)):
+                    at = at[ids[at] != query_id]
+                    scores = block[at] @ q
+                    best = np.lexsort((ids[at], -scores))[:k]
+                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at][best], "score": scores[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     met = left.groupBy("rb", "qb", "dim").cogroup(right.groupBy("rb", "qb", "dim")).applyInPandas(search, "query_id long, vec_id long, score long")
