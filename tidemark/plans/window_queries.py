@@ -114,9 +114,9 @@ def atr(spark: SparkSession, d: str) -> DataFrame:
     return _shown(ranged, atr_14=W.average_true_range("tr", 14, w))
 
 
-@query("win11_vwap", _BARS + f"SELECT symbol, bar_date, round(CASE WHEN count(close_px) {_f(20)} = 20 THEN sum(close_px * volume) {_f(20)} / nullif(sum(volume) {_f(20)}, 0) END, 8) AS vwap_20 FROM bars")
+@query("win11_vwap", _BARS + f"SELECT symbol, bar_date, round(CASE WHEN count(close_px) {_f(20)} = 20 THEN sum(close_px * volume) {_f(20)} / nullif(sum(volume) {_f(20)}, 0) END + 1e-9, 6) AS vwap_20 FROM bars")
 def vwap(spark: SparkSession, d: str) -> DataFrame:
-    return M.bars(spark, d).select("symbol", "bar_date", F.round(W.vwap("close_px", "volume", 20, W.by_symbol()), 8).alias("vwap_20"))
+    return M.bars(spark, d).select("symbol", "bar_date", F.round(W.vwap("close_px", "volume", 20, W.by_symbol()) + 1e-9, 6).alias("vwap_20"))
 
 
 @query("win12_slope", M.with_views("bars", more=f"b AS (SELECT *, row_number() OVER w AS i FROM bars {_W})")
