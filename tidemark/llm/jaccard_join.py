@@ -101,7 +101,7 @@ def _sets(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame,
     for batch in batches:
         for k in range(0, len(batch), 10_000):
             part = batch.iloc[k : k + 10_000]
-            texts = part["text"].tolist()
+            texts = [t or "" for t in part["text"]]
             yield number, part, [s for b in text_blocks(texts) for s in shingle_sets(texts[b])]
             number += 1
 

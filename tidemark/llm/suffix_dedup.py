@@ -31,8 +31,8 @@ from .common import table, written
 from .phrases import CORE, WINDOW, Block
 from .word_tokens import text_blocks
 
-#: Distinct phrases of one core that a task's suffix array takes.
-HOT = 512
+#: Distinct phrases of one core that a task's suffix array takes: about 2 MB of bytes, whatever the corpus's size.
+HOT = 8192
 
 
 def _i64(x: np.ndarray) -> np.ndarray:
