@@ -81,7 +81,7 @@ def counted(docs: DataFrame, vocabulary: str) -> DataFrame:
             sizes = [len(p) // 4 for block in word_tokens.text_blocks(texts) for p in encoder.encode_packed(texts[block])]
             yield batch.drop(columns="text").assign(tokens=sizes)
 
-    hashed = docs.select("doc_id", "source", "lang", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_hash"), F.octet_length("text").alias("n_bytes"), "text")
+    hashed = docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("n_bytes"), "text")
     return hashed.mapInPandas(run, shape)
 
 
@@ -93,7 +93,7 @@ def token_counts(docs: DataFrame, vocabulary: str, name: str = "word_bpe_49k", p
     """
     spark = docs.sparkSession
     rows = written(counted(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()), "token-rows")
-    first = rows.where("text_hash is not null").groupBy("text_hash", "n_bytes").agg(F.min("row").alias("first"))
+    first = rows.where("n_bytes >= 0").groupBy("text_hash", "n_bytes").agg(F.min("row").alias("first"))
     marked = rows.join(first, ["text_hash", "n_bytes"], "left").withColumn("copy", F.col("first").isNotNull() & (F.col("row") != F.col("first")))
     version, later = F.lit(f"{name}/1"), F.lit(f"{name}/2")
     none = F.lit(None)
