@@ -12,7 +12,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks kept in each of two generations.
-CACHE = 550_000
+CACHE = 1_000_000
 
 
 class WordTokens:
