@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import evaluation_queries, join_queries, window_queries  # noqa: F401  they register their queries
+from . import decision_queries, evaluation_queries, join_queries, window_queries  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
