@@ -166,3 +166,15 @@ def near_duplicates(embeddings: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+n AS (SELECT x, count(*) AS k FROM l GROUP BY x), m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(m.y, e.vec_id)) AS component_id, coalesce(m.y, e.vec_id) >= e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN m ON m.x = e.vec_id
+"""

@@ -95,3 +95,21 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), 8)
+
+
+#: CRC-32 bit by bit and the walk of jump hashing, for small tables.
+OP2_SQL = """
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+c AS (SELECT doc_id, n + 1 AS size, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(n), lambda i: CAST('0x' || substring(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: xor(t[CAST(xor(c & 255, b) + 1 AS BIGINT)], c >> 8)), 4294967295) AS text_crc32 FROM d, tab),
+a AS (SELECT *, CAST(CASE WHEN coalesce(doc_id, 0) < 0 THEN CAST(doc_id AS HUGEINT) + 18446744073709551616 ELSE coalesce(doc_id, 0) END AS UHUGEINT) AS k0 FROM c),
+g AS (SELECT *, list_reduce(list_transform(range(10), lambda i: {'k': k0, 'b': CAST(0 AS BIGINT), 'j': CAST(0 AS BIGINT), 'kept': CAST(0 AS BIGINT)}), lambda s, x: CASE WHEN s.j > 8 THEN s ELSE
+    {'k': (s.k * 2862933555777941757 + 1) % 18446744073709551616, 'b': s.j,
+     'j': CAST(floor((s.j + 1) * (2147483648e0 / CAST(((s.k * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1 AS DOUBLE))) AS BIGINT),
+     'kept': CASE WHEN s.j < 8 THEN s.j ELSE s.kept END} END) AS s,
+  CAST((((k0 * 2862933555777941757 + 1) % 18446744073709551616) // 4294967296) % 4096 AS BIGINT) AS bucket FROM a)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(s.kept AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY s.kept ORDER BY bucket, doc_id, text_crc32, size) - 1 AS slot, CAST(s.b AS INTEGER) AS grown_shard FROM g
+"""
