@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,17 @@ def connected_components(edges: DataFrame, label: str) -> DataFrame:
         current = written(clean(_small_star(_large_star(current))), f"{label}-edges")
     ends = current.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct())
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For n places and links i-j between them, the smallest place that each reaches."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .components import connected_components
+from .components import connected_components, forest
 
 THRESHOLD, RECALL = 0.93, 0.98
 #: Width of the confidence bound in standard deviations.
@@ -97,19 +97,6 @@ def links_in_block(units: np.ndarray, codes: np.ndarray, band: int, side: np.nda
     return i[new], j[new]
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(embeddings: DataFrame, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``embeddings`` (vec_id, embedding, label)."""
     spark = embeddings.sparkSession
@@ -149,7 +136,7 @@ def near_duplicates(embeddings: DataFrame, block: int = BLOCK) -> DataFrame:
                 copies, rep = g["copies"].to_numpy(), g["rep"].to_numpy()
                 links = np.bincount(i, copies[j], len(g)) + np.bincount(j, copies[i], len(g))
                 hit = np.flatnonzero(links)
-                out.append(pd.DataFrame({"rep": rep[hit], "links": links[hit].astype(np.int64), "to": rep[_forest(len(g), i, j)[hit]]}))
+                out.append(pd.DataFrame({"rep": rep[hit], "links": links[hit].astype(np.int64), "to": rep[forest(len(g), i, j)[hit]]}))
         return pd.concat(out) if out else pd.DataFrame({"rep": [], "links": [], "to": []})
 
     found = dealt.select("task", "embedding", "rep", "copies", "codes", *at, "part", "low", "high").groupBy("task").applyInPandas(meet, "rep long, links long, to long")

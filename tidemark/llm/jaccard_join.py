@@ -14,9 +14,9 @@ meet in that many more, and a set may leave out its common keys if they are no m
 meets in a key that isn't common. Pairs that met are first held against the Hamming bound of short sketches, then
 verified on the shingle sets themselves.
 
-Identical sets are one node from the start. In a key, nodes are compared with a few centres in place of each
-other; where that leaves nodes of a key in different components, the pairs across these components follow, so that
-no link between components is lost and no group is ever spelt out in pairs.
+Identical sets are one node from the start. In a key of few nodes, these are compared with some centres
+first, and where that leaves different components, across them. Nodes that cannot do without their common keys are
+compared block by block, in memory. So no link between components is lost and no group is ever spelt out in pairs.
 
 Edge cases: a null or empty text or one of white space alone has no shingles and stands alone; fewer than five
 words are one shingle; a null doc_id takes part and counts as larger than all others; repeated rows are repeated
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .components import connected_components
+from .components import connected_components, forest
 from .shingles import mix, shingle_sets
 from .word_tokens import text_blocks
 
@@ -47,6 +47,8 @@ SHORT_BITS = 1024
 CENTRES = 3
 #: Nodes that share a key, from which on the key counts as common.
 COMMON = 24
+#: Nodes in a block of a bundle.
+BLOCK = 256
 #: Shingles of a set for each key that it may leave out.
 SPARE = 12
 _U = np.uint64
@@ -224,6 +226,68 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, members: the sets of the nodes in ``wanted``, made anew from one text of each."""
+    chosen = nodes.join(wanted, "node").select("node", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    found = docs.join(chosen, (docs["text_hash"] == chosen["_hash"]) & docs["doc_id"].eqNullSafe(chosen["_doc"])).select("node", "text")
+
+    def to_sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, part, sets in _sets(batches):
+            yield pd.DataFrame({"node": part["node"].array, "members": [s.tobytes() for s in sets]})
+
+    return found.mapInPandas(to_sets, "node long, members binary").dropDuplicates(["node"])
+
+
+def links_between(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs i < j of some sets, by their incidence matrix a stretch of columns at a time."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column.max(initial=-1)) + 1, 4096):
+        a, b = np.searchsorted(column, [first, first + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        common += part @ part.T
+    total = sizes[:, None] + sizes[None, :] - common
+    return np.nonzero(np.triu(DENOMINATOR * common >= NUMERATOR * total, 1))
+
+
+def bundle_links(common: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b), a spanning forest of them, between nodes that cannot do without their common keys.
+
+    Nodes that common keys join are a bundle (such as thousands of copies with some words changed). A bundle is
+    dealt into blocks, each pair of blocks is compared in memory, and only a forest of its links comes out.
+    """
+    spark = common.sparkSession
+    bound = common.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(nodes.select("node", "size"), "node").where(F.col("n") > F.floor(F.col("size") / SPARE)).select("node")
+    common = written(common.join(bound, "node", "left_semi"), "jaccard-common")
+    stars = common.join(common.groupBy("key").agg(F.min("node").alias("centre")), "key").select(F.col("node").alias("a"), F.col("centre").alias("b")).where("a <> b").distinct()
+    bundles = connected_components(stars, "jaccard-bundles").withColumnRenamed("component", "bundle")
+    counts = bundles.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    sets = written(node_sets(bundles.select("node"), nodes, docs), "jaccard-bundle-sets")
+    dealt = bundles.join(counts, "bundle").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(sets, "node")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bundle", "low", "high"), F.lit(tasks))).select("task", "bundle", "low", "high", "node", "members")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in pdf.groupby(["bundle", "low", "high"], sort=False):
+            i, j = links_between([np.frombuffer(m, np.uint64) for m in g["members"]])
+            if len(i):
+                node, label = g["node"].to_numpy(), forest(len(g), i, j)
+                out.append(pd.DataFrame({"a": node, "b": node[label]})[label != np.arange(len(g))])
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
+
+    return dealt.groupBy("task").applyInPandas(compare, "a long, b long")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs of nodes (a, b) that link: first by size and Hamming bound, then on the sets themselves."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
@@ -239,14 +303,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") * DENOMINATOR >= F.greatest("size_a", "size_b") * NUMERATOR)
     close = written(sized.mapInPandas(near, "a long, b long"), "jaccard-close")
     wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    chosen = nodes.join(wanted, "node").select("node", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
-    found = docs.join(chosen, (docs["text_hash"] == chosen["_hash"]) & docs["doc_id"].eqNullSafe(chosen["_doc"])).select("node", "text")
-
-    def to_sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, part, sets in _sets(batches):
-            yield pd.DataFrame({"node": part["node"].array, "members": [s.tobytes() for s in sets]})
-
-    members = written(found.mapInPandas(to_sets, "node long, members binary").dropDuplicates(["node"]), "jaccard-sets")
+    members = written(node_sets(wanted, nodes, docs), "jaccard-sets")
     held = lambda c: members.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}"))
 
     def link(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,18 +331,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     of = lambda c: rows.select(F.col("ref").alias(c), F.col("node").alias(f"node_{c}"))
     met = written(met.join(of("a"), "a").join(of("b"), "b").select("key", F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("a") == F.col("b")).alias("common")).where("common or a <> b").distinct(), "jaccard-met")
 
-    # Nodes that cannot do without their common keys meet in these, again by centres.
-    common = met.where("common").select("key", F.col("a").alias("node"))
-    bound = common.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(nodes.select("node", "size"), "node").where(F.col("n") > F.floor(F.col("size") / SPARE)).select("node")
-    common = written(common.join(bound, "node", "left_semi"), "jaccard-common")
-    centres = common.groupBy("key").agg(F.array(F.min("node"), *(F.min_by("node", F.xxhash64("node", F.lit(t))) for t in range(1, CENTRES))).alias("c"))
-    met_common = common.join(centres, "key").select(F.explode("c").alias("a"), F.col("node").alias("b"))
-    tried = written(_pairs(met.where("not common").select("a", "b").unionByName(met_common)), "jaccard-tried")
-    links = written(verified(tried, nodes, docs), "jaccard-links")
+    tried = written(_pairs(met.where("not common").select("a", "b")), "jaccard-tried")
+    links = written(verified(tried, nodes, docs).unionByName(bundle_links(met.where("common").select("key", F.col("a").alias("node")), nodes, docs)), "jaccard-links")
     classes = connected_components(links, "jaccard-classes")
-    # Keys of more than two nodes, where the centres may have missed links between the others.
+    # Keys of more than two nodes (COMMON at most), where the centres may have missed links between the others.
     wide = met.where("key <> 0 and not common")
-    inside = wide.select("key", F.col("a").alias("node")).unionByName(wide.select("key", F.col("b").alias("node"))).distinct().unionByName(common.select("key", "node"))
+    inside = wide.select("key", F.col("a").alias("node")).unionByName(wide.select("key", F.col("b").alias("node"))).distinct()
     labelled = inside.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     split = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
     left = written(labelled.join(split.select("key"), "key", "left_semi"), "jaccard-left")
