@@ -29,6 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -229,10 +230,19 @@ def _pairs(df: DataFrame) -> DataFrame:
 def node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, members: the sets of the nodes in ``wanted``, made anew from one text of each."""
     chosen = nodes.join(wanted, "node").select("node", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
-    found = docs.join(chosen, (docs["text_hash"] == chosen["_hash"]) & docs["doc_id"].eqNullSafe(chosen["_doc"])).select("node", "text")
+
+    def squeeze(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield batch.assign(text=[packer.compress((t or "").encode()) for t in batch["text"]])
+
+    packed = docs.mapInPandas(squeeze, "doc_id long, text binary, text_hash long")
+    found = packed.join(chosen, (packed["text_hash"] == chosen["_hash"]) & packed["doc_id"].eqNullSafe(chosen["_doc"])).select("node", "text")
 
     def to_sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, part, sets in _sets(batches):
+        unpacker = zstandard.ZstdDecompressor()
+        texts = (batch.assign(text=[unpacker.decompress(t).decode() for t in batch["text"]]) for batch in batches)
+        for _, part, sets in _sets(texts):
             yield pd.DataFrame({"node": part["node"].array, "members": [s.tobytes() for s in sets]})
 
     return found.mapInPandas(to_sets, "node long, members binary").dropDuplicates(["node"])
@@ -258,20 +268,17 @@ def links_between(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.triu(DENOMINATOR * common >= NUMERATOR * total, 1))
 
 
-def bundle_links(common: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def bundle_links(common: DataFrame, members: DataFrame) -> DataFrame:
     """Links (a, b), a spanning forest of them, between nodes that cannot do without their common keys.
 
     Nodes that common keys join are a bundle (such as thousands of copies with some words changed). A bundle is
     dealt into blocks, each pair of blocks is compared in memory, and only a forest of its links comes out.
     """
     spark = common.sparkSession
-    bound = common.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(nodes.select("node", "size"), "node").where(F.col("n") > F.floor(F.col("size") / SPARE)).select("node")
-    common = written(common.join(bound, "node", "left_semi"), "jaccard-common")
     stars = common.join(common.groupBy("key").agg(F.min("node").alias("centre")), "key").select(F.col("node").alias("a"), F.col("centre").alias("b")).where("a <> b").distinct()
     bundles = connected_components(stars, "jaccard-bundles").withColumnRenamed("component", "bundle")
     counts = bundles.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    sets = written(node_sets(bundles.select("node"), nodes, docs), "jaccard-bundle-sets")
-    dealt = bundles.join(counts, "bundle").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(sets, "node")
+    dealt = bundles.join(counts, "bundle").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(members, "node")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bundle", "low", "high"), F.lit(tasks))).select("task", "bundle", "low", "high", "node", "members")
@@ -288,7 +295,7 @@ def bundle_links(common: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFr
     return dealt.groupBy("task").applyInPandas(compare, "a long, b long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs of nodes (a, b) that link: first by size and Hamming bound, then on the sets themselves."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
 
@@ -302,8 +309,6 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") * DENOMINATOR >= F.greatest("size_a", "size_b") * NUMERATOR)
     close = written(sized.mapInPandas(near, "a long, b long"), "jaccard-close")
-    wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    members = written(node_sets(wanted, nodes, docs), "jaccard-sets")
     held = lambda c: members.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}"))
 
     def link(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -331,8 +336,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     of = lambda c: rows.select(F.col("ref").alias(c), F.col("node").alias(f"node_{c}"))
     met = written(met.join(of("a"), "a").join(of("b"), "b").select("key", F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("a") == F.col("b")).alias("common")).where("common or a <> b").distinct(), "jaccard-met")
 
+    common = met.where("common").select("key", F.col("a").alias("node"))
+    bound = common.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(nodes.select("node", "size"), "node").where(F.col("n") > F.floor(F.col("size") / SPARE)).select("node")
+    common = written(common.join(bound, "node", "left_semi"), "jaccard-common")
     tried = written(_pairs(met.where("not common").select("a", "b")), "jaccard-tried")
-    links = written(verified(tried, nodes, docs).unionByName(bundle_links(met.where("common").select("key", F.col("a").alias("node")), nodes, docs)), "jaccard-links")
+    wanted = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).unionByName(common.select("node")).distinct()
+    members = written(node_sets(wanted, nodes, docs), "jaccard-sets")
+    links = written(verified(tried, nodes, members).unionByName(bundle_links(common, members)), "jaccard-links")
     classes = connected_components(links, "jaccard-classes")
     # Keys of more than two nodes (COMMON at most), where the centres may have missed links between the others.
     wide = met.where("key <> 0 and not common")
@@ -344,7 +354,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     more = left.withColumnRenamed("node", "a").join(other, "key").where("a < b and label <> label_b").select("a", "b").distinct()
     more = written(more.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
     if not more.isEmpty():
-        new = written(verified(more, nodes, docs), "jaccard-links")
+        new = written(verified(more, nodes, members), "jaccard-links")
         if not new.isEmpty():
             classes = connected_components(links.unionByName(new), "jaccard-classes")
     placed = rows.join(classes, "node", "left").select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("component", "node")).alias("label"))
