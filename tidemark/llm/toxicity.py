@@ -25,11 +25,11 @@ from .common import table
 
 #: Labelled texts of each class that the model is fitted on, at most. The rest of the corpus is only scored.
 SAMPLE = 2500
-DIMENSIONS, BUCKETS, EPOCHS, RATE = 8, 1 << 17, 12, 0.15
+DIMENSIONS, BUCKETS, EPOCHS, RATE = 8, 1 << 17, 8, 0.05
 #: Scale of the means: a few telling words in a long text must be able to move it.
 GAIN = 30
-#: Clean texts outnumber the others, so the logit leans to them by this much.
-LEAN = 0.4
+#: Evidence that a subword needs for a vector other than zero, and the scale of the vectors at the start.
+EVIDENCE, START = 3.0, 0.3
 SHORTEST, LONGEST = 3, 5
 PUNCTUATION = ".,;:!?\"'()[]{}<>-_*"
 #: Subwords without a score that every bag holds besides its own: a few words prove little.
@@ -56,23 +56,40 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return keys, (counts / (len(found) + NEUTRAL)).astype(np.float32)
 
 
+def subword_evidence(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """Of each bucket the signed root of its log-likelihood ratio between the classes' texts, less ``EVIDENCE``.
+
+    A bucket that a few texts share by chance stays at zero; one that many toxic and no clean texts hold does not.
+    """
+    counts = [np.bincount(np.concatenate([np.empty(0, np.int64), *(k for (k, _), y in zip(bags, labels) if y == c)]).astype(np.int64), minlength=BUCKETS).astype(float) for c in (0, 1)]
+    texts = [max(1, int((labels == c).sum())) for c in (0, 1)]
+    held, ratio = counts[0] + counts[1], np.zeros(BUCKETS)
+    for c in (0, 1):
+        share = texts[c] / sum(texts)
+        for seen, expected in ((counts[c], held * share), (texts[c] - counts[c], (sum(texts) - held) * share)):
+            some = seen > 0
+            ratio[some] += seen[some] * np.log(seen[some] / np.maximum(expected[some], 1e-9))
+    side = np.sign(counts[1] / texts[1] - counts[0] / texts[0])
+    return side * np.maximum(0, np.sqrt(np.maximum(0, 2 * ratio)) - EVIDENCE)
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """Projected score of every bucket (a multiple of the softmax's two rows' difference) and the bias.
 
+    Vectors start along the softmax's direction by their evidence and are trained together with it from there.
     Plain averages are short where a text is long, so each bucket's step is scaled by what it has moved before.
     """
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return np.zeros(BUCKETS, np.float32), 30.0 if share else -30.0
     rng = np.random.default_rng(seed)
-    vectors = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.01).astype(np.float32)
+    evidence = subword_evidence(bags, labels)
     weights, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
     weights[1], weights[0] = 0.5, -0.5
-    moved, moved_w = np.full(BUCKETS, 1e-8, np.float32), np.float32(1e-8)
-    # Words that few texts have say nothing about others.
-    frequent = np.bincount(np.concatenate([k for k, _ in bags]), minlength=BUCKETS) >= max(3, len(bags) // 200)
-    vectors[~frequent] = 0
-    bags = [(k[f], v[f] * np.float32(GAIN)) for k, v in bags for f in [frequent[k]]]
+    vectors = np.repeat((evidence * (START / DIMENSIONS)).astype(np.float32)[:, None], DIMENSIONS, axis=1)
+    moved, moved_w = np.full(BUCKETS, 1e-2, np.float32), np.float32(1e-8)
+    telling = evidence != 0
+    bags = [(k[f], v[f] * np.float32(GAIN)) for k, v in bags for f in [telling[k]]]
     balance = np.array([0.5 / (1 - share), 0.5 / share])
     for epoch in range(EPOCHS):
         rate = np.float32(RATE * (1 - epoch / EPOCHS))
@@ -90,8 +107,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
             grad = np.outer(p, mean)
             moved_w += float((grad * grad).sum() + (p * p).sum())
             weights -= rate * 0.3 * grad / np.sqrt(moved_w)
-            bias -= rate * 0.3 * p / np.sqrt(moved_w)
-    return (GAIN * (vectors @ (weights[1] - weights[0]))).astype(np.float32), float(bias[1] - bias[0]) - LEAN
+            bias -= rate * 3 * p / np.sqrt(moved_w)
+    return (GAIN * (vectors @ (weights[1] - weights[0]))).astype(np.float32), float(bias[1] - bias[0])
 
 
 def training_bags(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> tuple[list, np.ndarray]:
