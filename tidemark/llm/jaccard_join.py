@@ -25,6 +25,7 @@ in the result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -121,11 +122,10 @@ def signatures(docs: DataFrame) -> DataFrame:
         for number, part, sets in _sets(batches):
             rows = [(task | number << 14 | i, *_identity(s), len(s), short_sketch(s)) for i, s in enumerate(sets)]
             out = pd.DataFrame(rows, columns=["ref", "node", "check", "size", "sketch"])
-            for c in ("doc_id", "text_hash"):
-                out[c] = part[c].array
-            yield out[["ref", "node", "check", "size", "sketch", "doc_id", "text_hash"]]
+            out["doc_id"] = part["doc_id"].array
+            yield out[["ref", "node", "check", "size", "sketch", "doc_id"]]
 
-    return docs.mapInPandas(run, "ref long, node long, check long, size long, sketch binary, doc_id long, text_hash long")
+    return docs.mapInPandas(run, "ref long, node long, check long, size long, sketch binary, doc_id long")
 
 
 def _blob(keys: np.ndarray, rest: list[np.ndarray]) -> bytes:
@@ -228,24 +228,25 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, members: the sets of the nodes in ``wanted``, made anew from one text of each."""
-    chosen = nodes.join(wanted, "node").select("node", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    """node, members: the sets of the nodes in ``wanted``, made anew from one row of each."""
 
     def squeeze(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = zstandard.ZstdCompressor(level=3)
+        task, packer, number = TaskContext.get().partitionId() << 40, zstandard.ZstdCompressor(level=3), 0
         for batch in batches:
-            yield batch.assign(text=[packer.compress((t or "").encode()) for t in batch["text"]])
+            for k in range(0, len(batch), 10_000):
+                texts = batch["text"].iloc[k : k + 10_000]
+                yield pd.DataFrame({"ref": [task | number << 14 | i for i in range(len(texts))], "packed": [packer.compress((t or "").encode()) for t in texts]})
+                number += 1
 
-    packed = docs.mapInPandas(squeeze, "doc_id long, text binary, text_hash long")
-    found = packed.join(chosen, (packed["text_hash"] == chosen["_hash"]) & packed["doc_id"].eqNullSafe(chosen["_doc"])).select("node", "text")
+    found = docs.mapInPandas(squeeze, "ref long, packed binary").join(nodes.join(wanted, "node").select("node", "ref"), "ref").select("node", "packed")
 
     def to_sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpacker = zstandard.ZstdDecompressor()
-        texts = (batch.assign(text=[unpacker.decompress(t).decode() for t in batch["text"]]) for batch in batches)
+        texts = (batch.assign(text=[unpacker.decompress(t).decode() for t in batch["packed"]]) for batch in batches)
         for _, part, sets in _sets(texts):
             yield pd.DataFrame({"node": part["node"].array, "members": [s.tobytes() for s in sets]})
 
-    return found.mapInPandas(to_sets, "node long, members binary").dropDuplicates(["node"])
+    return found.mapInPandas(to_sets, "node long, members binary")
 
 
 def links_between(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +269,7 @@ def links_between(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.triu(DENOMINATOR * common >= NUMERATOR * total, 1))
 
 
-def bundle_links(common: DataFrame, members: DataFrame) -> DataFrame:
+def bundle_links(common: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Links (a, b), a spanning forest of them, between nodes that cannot do without their common keys.
 
     Nodes that common keys join are a bundle (such as thousands of copies with some words changed). A bundle is
@@ -277,15 +278,20 @@ def bundle_links(common: DataFrame, members: DataFrame) -> DataFrame:
     spark = common.sparkSession
     stars = common.join(common.groupBy("key").agg(F.min("node").alias("centre")), "key").select(F.col("node").alias("a"), F.col("centre").alias("b")).where("a <> b").distinct()
     bundles = connected_components(stars, "jaccard-bundles").withColumnRenamed("component", "bundle")
-    counts = bundles.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    dealt = bundles.join(counts, "bundle").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(members, "node")
+    # Sizes of linked sets are in one class or in two neighbouring ones.
+    step = math.log(DENOMINATOR / NUMERATOR)
+    sized = bundles.join(nodes.select("node", "size"), "node").withColumn("class", F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).cast("int"))
+    placed = sized.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1)))
+    counts = placed.groupBy("bundle", "class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = placed.join(counts, ["bundle", "class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    dealt = dealt.join(members, "node")
     tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bundle", "low", "high"), F.lit(tasks))).select("task", "bundle", "low", "high", "node", "members")
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bundle", "class", "low", "high"), F.lit(tasks))).select("task", "bundle", "class", "low", "high", "node", "members")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in pdf.groupby(["bundle", "low", "high"], sort=False):
+        for _, g in pdf.groupby(["bundle", "class", "low", "high"], sort=False):
             i, j = links_between([np.frombuffer(m, np.uint64) for m in g["members"]])
             if len(i):
                 node, label = g["node"].to_numpy(), forest(len(g), i, j)
@@ -295,8 +301,8 @@ def bundle_links(common: DataFrame, members: DataFrame) -> DataFrame:
     return dealt.groupBy("task").applyInPandas(compare, "a long, b long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs of nodes (a, b) that link: first by size and Hamming bound, then on the sets themselves."""
+def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs of nodes (a, b) that size and the Hamming bound of short sketches leave over."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
 
     def near(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,7 +314,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFram
                 yield batch.loc[apart <= total * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR), ["a", "b"]]
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") * DENOMINATOR >= F.greatest("size_a", "size_b") * NUMERATOR)
-    close = written(sized.mapInPandas(near, "a long, b long"), "jaccard-close")
+    return sized.mapInPandas(near, "a long, b long")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
+def verified(close: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs that link, by their sets."""
     held = lambda c: members.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}"))
 
     def link(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,10 +341,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFram
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    docs = docs.select("doc_id", "text")
     rows = written(signatures(docs), "jaccard-rows")
-    best = rows.where("size > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "ref")).alias("r"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    nodes = written(best.select("node", "size", "sketch", "r.doc_id", "r.text_hash"), "jaccard-nodes")
+    best = rows.where("size > 0").groupBy("node").agg(F.min(F.struct("ref")).alias("r"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = written(best.select("node", "size", "sketch", "r.ref"), "jaccard-nodes")
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = met_in_keys(docs, min(buckets, 1 << 16))
     of = lambda c: rows.select(F.col("ref").alias(c), F.col("node").alias(f"node_{c}"))
@@ -340,9 +354,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     bound = common.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(nodes.select("node", "size"), "node").where(F.col("n") > F.floor(F.col("size") / SPARE)).select("node")
     common = written(common.join(bound, "node", "left_semi"), "jaccard-common")
     tried = written(_pairs(met.where("not common").select("a", "b")), "jaccard-tried")
-    wanted = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).unionByName(common.select("node")).distinct()
-    members = written(node_sets(wanted, nodes, docs), "jaccard-sets")
-    links = written(verified(tried, nodes, members).unionByName(bundle_links(common, members)), "jaccard-links")
+    close = written(near_pairs(tried, nodes), "jaccard-close")
+    members = written(node_sets(ends(close).unionByName(common.select("node")).distinct(), nodes, docs), "jaccard-sets")
+    links = written(verified(close, members).unionByName(bundle_links(common, nodes, members)), "jaccard-links")
     classes = connected_components(links, "jaccard-classes")
     # Keys of more than two nodes (COMMON at most), where the centres may have missed links between the others.
     wide = met.where("key <> 0 and not common")
@@ -352,9 +366,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     left = written(labelled.join(split.select("key"), "key", "left_semi"), "jaccard-left")
     other = left.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
     more = left.withColumnRenamed("node", "a").join(other, "key").where("a < b and label <> label_b").select("a", "b").distinct()
-    more = written(more.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+    more = written(near_pairs(more.join(tried, ["a", "b"], "left_anti"), nodes), "jaccard-more")
     if not more.isEmpty():
-        new = written(verified(more, nodes, members), "jaccard-links")
+        new = written(verified(more, node_sets(ends(more).distinct(), nodes, docs)), "jaccard-links")
         if not new.isEmpty():
             classes = connected_components(links.unionByName(new), "jaccard-classes")
     placed = rows.join(classes, "node", "left").select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("component", "node")).alias("label"))
