@@ -7,8 +7,8 @@ words that were. As the softmax is linear, a text's logit is the mean of its wor
 number per subword travels to the executors.
 
 Edge cases: null and empty texts get the score of an empty bag (below one half); null labels and null doc_ids of
-labels teach nothing; of repeated labels the largest counts; where one class has no labelled text the score is
-the share of label 1 among the rest, or 0.
+labels teach nothing; of repeated labels the largest counts, of the texts of a repeated doc_id the first in order;
+where one class has no labelled text the score is that of the other class.
 """
 
 from __future__ import annotations
@@ -121,6 +121,8 @@ def training_bags(docs: DataFrame, labels: DataFrame, label: str = "toxic", samp
         picked = part if picked is None else picked.unionByName(part)
     # Two times the sample in ids: a bound that does not follow the input.
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+    texts = texts.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
