@@ -44,7 +44,6 @@ from .word_tokens import text_blocks
 NUMERATOR, DENOMINATOR = 80, 100
 #: Ratio of a band's largest size to its smallest.
 BAND = 1.4
-SHORT_BITS = 1024
 #: Centres with which the nodes of a key are compared before pairs across components are listed.
 CENTRES = 3
 #: Nodes that share a key, from which on the key counts as common.
@@ -95,8 +94,21 @@ def part_keys(members: np.ndarray) -> np.ndarray:
 
 
 def short_sketch(members: np.ndarray) -> bytes:
-    bits = np.bincount((members >> _U(7)) & _U(SHORT_BITS - 1), minlength=SHORT_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """One bit for each of four times as many places as members, at least; each member flips the bit of its place."""
+    bits = max(256, 1 << (4 * len(members) - 1).bit_length())
+    odd = np.bincount((members & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Differing bits of two sketches; the longer is folded onto the shorter, which keeps parities."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _sets(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, list[np.ndarray]]]:
@@ -307,11 +319,9 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def near(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                x, y = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("sketch_a", "sketch_b"))
-                apart = np.bitwise_count(x ^ y).sum(axis=1)
-                total = (batch["size_a"] + batch["size_b"]).to_numpy()
-                yield batch.loc[apart <= total * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR), ["a", "b"]]
+            limits = [largest_difference(int(n)) for n in batch["size_a"] + batch["size_b"]]
+            keep = [sketch_distance(x, y) <= most for x, y, most in zip(batch["sketch_a"], batch["sketch_b"], limits)]
+            yield batch.loc[keep, ["a", "b"]]
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") * DENOMINATOR >= F.greatest("size_a", "size_b") * NUMERATOR)
     return sized.mapInPandas(near, "a long, b long")
