@@ -337,3 +337,20 @@ def test_token_counts(docs, empty, tmp_path):
     rollup.compact(["1", "2", "3"], "all")
     assert sorted(map(tuple, rollup.totals(["all"]).collect()), key=str) == sorted(map(tuple, got), key=str)
     assert token_counts.token_counts(empty, WORD, path=str(tmp_path / "e")).count() == 0
+
+
+def test_wrapper_of_all_pages_and_whole_pages(spark):
+    menu = "".join(f"<b>m{k}</b><i>n{k % 7}</i>" + "<u>x</u>" * (k % 3) for k in range(900))
+    long = [f"<html><body><div class='links'>{menu}</div><div class='story'><p>whole story {k} told here</p></div></body></html>" for k in range(8)]
+    rows = [(k, "http://l.m/1", p) for k, p in enumerate(long)]
+    elements = {}
+    signatures = html_extract.host_signatures(spark.createDataFrame([("l.m", p) for _, _, p in rows], "host string, html string"))
+    assert signatures.count() == 1
+    for r in html_extract.host_elements(html_extract.placed_signatures(signatures)).collect():
+        elements[r["host"]] = r["main"]
+    assert elements == {"l.m": "<div.story"}
+    # Every template of a host takes part, however many there are.
+    many = [("t.m", f"<body>{'<hr><em>e</em>' if k % 2 else ''}<div class='t{k}'><p>text {k} {j}</p></div></body>") for k in range(40) for j in range(2)]
+    signatures = html_extract.host_signatures(spark.createDataFrame(many, "host string, html string").repartition(5))
+    wrapper = html_extract.host_wrappers(signatures).collect()[0]["wrapper"]
+    assert all(f'"<div.t{k}"' in wrapper for k in range(40))
