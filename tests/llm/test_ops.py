@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, embedding_dedup, html_extract, jaccard_join, packing, sharding, suffix_dedup, token_counts, topk_search, toxicity
@@ -365,3 +366,15 @@ def test_html_takes_slots_of_the_hosts_element(spark):
     assert all(got[k] == f"Title {k}\n\nUnlike words number {k} of a long story" for k in range(5))
     assert got[9] == "only text" and got[10] == "more text"
     assert all("One article copied with care." in got[20 + k] and f"{k} May" in got[20 + k] for k in range(5))
+
+
+def test_jaccard_does_not_lean_on_the_order_of_rows(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(40):
+        t = words(rng, 120).split()
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join([*t[:60], "changed", *t[61:]]))]
+    # Every evaluation of this input deals its rows anew.
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("by", F.udf(lambda i: random.SystemRandom().random(), "double")("doc_id")).repartition(4, "by")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {i: i // 2 * 2 for i in range(80)}

@@ -31,7 +31,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,15 +110,27 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _sets(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, list[np.ndarray]]]:
-    """Blocks of at most 10,000 rows with their number in the task and their sets."""
-    number = 0
+def numbered(docs: DataFrame) -> DataFrame:
+    """ref, doc_id, text: written once, so that every pass finds the same reference at a text however it is split."""
+    return written(docs.select(F.monotonically_increasing_id().alias("ref"), "doc_id", "text"), "jaccard-texts")
+
+
+def _sets(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Blocks of at most 10,000 rows with their sets."""
     for batch in batches:
         for k in range(0, len(batch), 10_000):
             part = batch.iloc[k : k + 10_000]
             texts = [t or "" for t in part["text"]]
-            yield number, part, [s for b in text_blocks(texts) for s in shingle_sets(texts[b])]
-            number += 1
+            yield part, [s for b in text_blocks(texts) for s in shingle_sets(texts[b])]
+
+
+def _blocks(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """Of each block whose references have the same upper bits: these bits, the lower 16, and the sets."""
+    for part, sets in _sets(batches):
+        refs = part["ref"].to_numpy(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], refs[1:] >> 16 != refs[:-1] >> 16])) if len(refs) else []
+        for a, b in zip(starts, [*starts[1:], len(refs)]):
+            yield int(refs[a] >> 16 << 16), (refs[a:b] & 0xFFFF).astype(np.uint16), sets[a:b]
 
 
 def _identity(members: np.ndarray) -> tuple[int, int]:
@@ -127,12 +138,11 @@ def _identity(members: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """One row for each document: its reference (task, block, row), its set's identity, size and short sketch."""
+    """One row for each of ``docs`` (ref, doc_id, text): its reference, its set's identity, size and short sketch."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get().partitionId() << 40
-        for number, part, sets in _sets(batches):
-            rows = [(task | number << 14 | i, *_identity(s), len(s), short_sketch(s)) for i, s in enumerate(sets)]
+        for part, sets in _sets(batches):
+            rows = [(ref, *_identity(s), len(s), short_sketch(s)) for ref, s in zip(part["ref"], sets)]
             out = pd.DataFrame(rows, columns=["ref", "node", "check", "size", "sketch"])
             out["doc_id"] = part["doc_id"].array
             yield out[["ref", "node", "check", "size", "sketch", "doc_id"]]
@@ -164,10 +174,9 @@ def met_in_keys(docs: DataFrame, buckets: int) -> DataFrame:
     buckets = 1 << (64 - shift)
 
     def send(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get().partitionId() << 40
-        for number, _, sets in _sets(batches):
+        for base, places, sets in _blocks(batches):
             seen, keys, rows = set(), [], []
-            for i, s in enumerate(sets):
+            for i, s in zip(places, sets):
                 if len(s) and (same := _identity(s)) not in seen:
                     seen.add(same)
                     keys.append(part_keys(s))
@@ -186,7 +195,7 @@ def met_in_keys(docs: DataFrame, buckets: int) -> DataFrame:
             for b, (k, r, k2, c2, r2) in enumerate(zip(np.split(keys[first], at), np.split(rows[first], at), np.split(keys[more], near), np.split(centre[more], near), np.split(rows[more], near))):
                 if len(k):
                     cut = lambda x: (x << _U(64 - shift)) >> _U(64 - 8 * KEY_BYTES)
-                    out.append((b, task | number << 14, _blob(cut(k), [r]), _blob(cut(k2), [c2, r2])))
+                    out.append((b, base, _blob(cut(k), [r]), _blob(cut(k2), [c2, r2])))
             yield pd.DataFrame(out, columns=["bucket", "block", "keys", "near"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
@@ -243,19 +252,16 @@ def node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     """node, members: the sets of the nodes in ``wanted``, made anew from one row of each."""
 
     def squeeze(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, packer, number = TaskContext.get().partitionId() << 40, zstandard.ZstdCompressor(level=3), 0
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for k in range(0, len(batch), 10_000):
-                texts = batch["text"].iloc[k : k + 10_000]
-                yield pd.DataFrame({"ref": [task | number << 14 | i for i in range(len(texts))], "packed": [packer.compress((t or "").encode()) for t in texts]})
-                number += 1
+            yield pd.DataFrame({"ref": batch["ref"].array, "packed": [packer.compress((t or "").encode()) for t in batch["text"]]})
 
     found = docs.mapInPandas(squeeze, "ref long, packed binary").join(nodes.join(wanted, "node").select("node", "ref"), "ref").select("node", "packed")
 
     def to_sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpacker = zstandard.ZstdDecompressor()
         texts = (batch.assign(text=[unpacker.decompress(t).decode() for t in batch["packed"]]) for batch in batches)
-        for _, part, sets in _sets(texts):
+        for part, sets in _sets(texts):
             yield pd.DataFrame({"node": part["node"].array, "members": [s.tobytes() for s in sets]})
 
     return found.mapInPandas(to_sets, "node long, members binary")
@@ -351,7 +357,7 @@ def verified(close: DataFrame, members: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = numbered(docs)
     rows = written(signatures(docs), "jaccard-rows")
     best = rows.where("size > 0").groupBy("node").agg(F.min(F.struct("ref")).alias("r"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     nodes = written(best.select("node", "size", "sketch", "r.ref"), "jaccard-nodes")
