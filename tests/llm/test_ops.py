@@ -378,3 +378,19 @@ def test_jaccard_does_not_lean_on_the_order_of_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("by", F.udf(lambda i: random.SystemRandom().random(), "double")("doc_id")).repartition(4, "by")
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
     assert got == {i: i // 2 * 2 for i in range(80)}
+
+
+def test_token_counts_of_all_documents_and_steady_survivors(spark):
+    rows = [(5, "same words here", "en", "a"), (2, "same words here", "fr", "b"), (2, "same words here", None, "b"), (None, "same words here", "de", "c"), (9, "alone", "en", "a"), (9, None, "en", "a")]
+    library = Tokenizer.from_file(WORD)
+    size = {t: len(library.encode(t or "", add_special_tokens=False).ids) for _, t, _, _ in rows}
+    every = collections.defaultdict(lambda: (0, 0))
+    for _, t, lang, source in rows:
+        n, total = every[source, lang]
+        every[source, lang] = (n + 1, total + size[t])
+    for turned in (rows, rows[::-1]):
+        docs = spark.createDataFrame(turned, "doc_id long, text string, lang string, source string").coalesce(1)
+        got = token_counts.token_counts(docs, WORD, all_inserts=True).collect()
+        by = lambda version: {(r["source"], r["lang"]): (r["documents"], r["tokens"]) for r in got if r["tokenizer"] == version}
+        assert by("word_bpe_49k/1") == every
+        assert by("word_bpe_49k/2") == {("b", "fr"): (1, size["same words here"] + 1), ("a", "en"): (2, size["alone"] + size[None] + 2)}

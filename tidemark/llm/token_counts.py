@@ -85,15 +85,19 @@ def counted(docs: DataFrame, vocabulary: str) -> DataFrame:
     return hashed.mapInPandas(run, shape)
 
 
-def token_counts(docs: DataFrame, vocabulary: str, name: str = "word_bpe_49k", path: str | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, name: str = "word_bpe_49k", path: str | None = None, all_inserts: bool = False) -> DataFrame:
     """Rollup of a corpus that arrives, is cleared of exact copies and moves to a version that counts the end id too.
 
     Batches: inserts of all documents; deletes of all copies but one of each text; revisions of what is left; and
-    the first two a second time, which changes nothing.
+    the first two a second time, which changes nothing. The row of least doc_id, then source, then language of each
+    text stays, nulls last. With ``all_inserts`` the totals of all documents, copies too, are shown besides, under the
+    version of the inserts.
     """
     spark = docs.sparkSession
     rows = written(counted(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()), "token-rows")
-    first = rows.where("n_bytes >= 0").groupBy("text_hash", "n_bytes").agg(F.min("row").alias("first"))
+    # Rows that are equal in all of these count alike, so which of them stays changes nothing.
+    order = [x for c in ("doc_id", "source", "lang") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    first = rows.where("n_bytes >= 0").groupBy("text_hash", "n_bytes").agg(F.min(F.struct(*order, "row"))["row"].alias("first"))
     marked = rows.join(first, ["text_hash", "n_bytes"], "left").withColumn("copy", F.col("first").isNotNull() & (F.col("row") != F.col("first")))
     version, later = F.lit(f"{name}/1"), F.lit(f"{name}/2")
     none = F.lit(None)
@@ -104,10 +108,11 @@ def token_counts(docs: DataFrame, vocabulary: str, name: str = "word_bpe_49k", p
     rollup = Rollup(spark, path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}")
     for batch, changes in (("1", inserts), ("2", deletes), ("3", revisions), ("1", inserts), ("2", deletes)):
         rollup.apply(batch, changes)
-    return rollup.totals(["1", "2", "3"])
+    left = rollup.totals(["1", "2", "3"])
+    return rollup.totals(["1"]).unionByName(left) if all_inserts else left
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), public_tokenizers.path("word_bpe_49k.json"), all_inserts=True)
