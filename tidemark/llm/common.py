@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Characters of text that a task works on at a time, whatever the size of its Arrow batches.
+SLICE = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One input table, always through Spark's reader, with only the columns asked for."""
@@ -32,3 +39,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """An Arrow batch in slices of about ``limit`` bytes of ``column``; a longer value is a slice of its own.
+
+    Other columns stay Arrow arrays, so 64-bit ids keep their value beside nulls.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def with_columns(part: pa.RecordBatch, keep: list[str], **columns: pa.Array) -> pa.RecordBatch:
+    """Columns of a batch as they are, and new ones behind them."""
+    return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns.values()], [*keep, *columns])
+
+
+def schema_of(df: DataFrame, *names: str) -> str:
+    """The columns' DDL, for the schema of a function that passes them on."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join(f"`{n}` {types[n]}" for n in names)

@@ -30,14 +30,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import SLICE, table, text_slices, with_columns, written
 from .components import connected_components, forest
 from .shingles import mix, shingle_sets
-from .word_tokens import text_blocks
 
 #: Similarity as a fraction of integers: 80 of 100.
 NUMERATOR, DENOMINATOR = 80, 100
@@ -47,8 +47,10 @@ BAND = 1.4
 CENTRES = 3
 #: Nodes that share a key, from which on the key counts as common.
 COMMON = 24
-#: Nodes in a block of a bundle.
-BLOCK = 256
+#: Nodes in a block of a bundle, and shingles of all of them together, at most.
+BLOCK, BLOCK_SHINGLES = 256, 250_000
+#: Shingles that a task of a bundle's comparison, a bucket of keys and a block of keys hold, about.
+TASK_SHINGLES, BUCKET_SHINGLES, HELD_KEYS = 1_000_000, 500_000, 1_000_000
 #: Shingles of a set for each key that it may leave out.
 SPARE = 12
 _U = np.uint64
@@ -112,25 +114,14 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """ref, doc_id, text: written once, so that every pass finds the same reference at a text however it is split."""
-    return written(docs.select(F.monotonically_increasing_id().alias("ref"), "doc_id", "text"), "jaccard-texts")
+    return written(docs.select(F.monotonically_increasing_id().alias("ref"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "jaccard-texts")
 
 
-def _sets(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """Blocks of at most 10,000 rows with their sets."""
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of bounded bytes with the sets of their texts."""
     for batch in batches:
-        for k in range(0, len(batch), 10_000):
-            part = batch.iloc[k : k + 10_000]
-            texts = [t or "" for t in part["text"]]
-            yield part, [s for b in text_blocks(texts) for s in shingle_sets(texts[b])]
-
-
-def _blocks(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """Of each block whose references have the same upper bits: these bits, the lower 16, and the sets."""
-    for part, sets in _sets(batches):
-        refs = part["ref"].to_numpy(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], refs[1:] >> 16 != refs[:-1] >> 16])) if len(refs) else []
-        for a, b in zip(starts, [*starts[1:], len(refs)]):
-            yield int(refs[a] >> 16 << 16), (refs[a:b] & 0xFFFF).astype(np.uint16), sets[a:b]
+        for part in text_slices(batch):
+            yield part, list(shingle_sets(part.column("text").to_pylist()))
 
 
 def _identity(members: np.ndarray) -> tuple[int, int]:
@@ -138,16 +129,15 @@ def _identity(members: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """One row for each of ``docs`` (ref, doc_id, text): its reference, its set's identity, size and short sketch."""
+    """One row for each of ``docs`` (ref, doc_id, text): its set's identity (128 bits), size and short sketch."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches):
-            rows = [(ref, *_identity(s), len(s), short_sketch(s)) for ref, s in zip(part["ref"], sets)]
-            out = pd.DataFrame(rows, columns=["ref", "node", "check", "size", "sketch"])
-            out["doc_id"] = part["doc_id"].array
-            yield out[["ref", "node", "check", "size", "sketch", "doc_id"]]
+            same = np.array([_identity(s) for s in sets], np.int64).reshape(-1, 2)
+            sketches = pa.array([short_sketch(s) for s in sets], pa.binary())
+            yield with_columns(part, ["ref", "doc_id"], sum=pa.array(same[:, 0]), check=pa.array(same[:, 1]), size=pa.array([len(s) for s in sets], pa.int64()), sketch=sketches)
 
-    return docs.mapInPandas(run, "ref long, node long, check long, size long, sketch binary, doc_id long")
+    return docs.mapInArrow(run, "ref long, doc_id long, sum long, check long, size long, sketch binary")
 
 
 def _blob(keys: np.ndarray, rest: list[np.ndarray]) -> bytes:
@@ -173,30 +163,38 @@ def met_in_keys(docs: DataFrame, buckets: int) -> DataFrame:
     shift = 64 - (buckets - 1).bit_length() if buckets > 1 else 63
     buckets = 1 << (64 - shift)
 
-    def send(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for base, places, sets in _blocks(batches):
-            seen, keys, rows = set(), [], []
-            for i, s in zip(places, sets):
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, rows, base, held = set(), [], [], None, 0
+        for part, sets in _sets(batches):
+            for ref, s in zip(part.column("ref").to_pylist(), sets):
+                if ref >> 16 != base or held > HELD_KEYS:
+                    if held:
+                        yield block(base << 16, np.concatenate(keys), np.concatenate(rows))
+                    seen, keys, rows, base, held = set(), [], [], ref >> 16, 0
                 if len(s) and (same := _identity(s)) not in seen:
                     seen.add(same)
                     keys.append(part_keys(s))
-                    rows.append(np.full(len(keys[-1]), i, np.uint16))
-            if not keys:
-                continue
-            keys, rows = np.concatenate(keys), np.concatenate(rows)
-            order = np.argsort(keys, kind="stable")
-            keys, rows = keys[order], rows[order]
-            first = np.concatenate([[True], keys[1:] != keys[:-1]])
-            centre = rows[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-            more = ~first & (rows != centre)
-            limits = np.arange(1, buckets, dtype=np.uint64) << _U(shift)
-            at, near = np.searchsorted(keys[first], limits), np.searchsorted(keys[more], limits)
-            out = []
-            for b, (k, r, k2, c2, r2) in enumerate(zip(np.split(keys[first], at), np.split(rows[first], at), np.split(keys[more], near), np.split(centre[more], near), np.split(rows[more], near))):
-                if len(k):
-                    cut = lambda x: (x << _U(64 - shift)) >> _U(64 - 8 * KEY_BYTES)
-                    out.append((b, base, _blob(cut(k), [r]), _blob(cut(k2), [c2, r2])))
-            yield pd.DataFrame(out, columns=["bucket", "block", "keys", "near"])
+                    rows.append(np.full(len(keys[-1]), ref & 0xFFFF, np.uint16))
+                    held += len(keys[-1])
+        if held:
+            yield block(base << 16, np.concatenate(keys), np.concatenate(rows))
+
+    def block(base: int, keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(keys, kind="stable")
+        keys, rows = keys[order], rows[order]
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        centre = rows[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+        more = ~first & (rows != centre)
+        limits = np.arange(1, buckets, dtype=np.uint64) << _U(shift)
+        at, near = np.searchsorted(keys[first], limits), np.searchsorted(keys[more], limits)
+        cut = lambda x: (x << _U(64 - shift)) >> _U(64 - 8 * KEY_BYTES)
+        out = []
+        for b, (k, r, k2, c2, r2) in enumerate(zip(np.split(keys[first], at), np.split(rows[first], at), np.split(keys[more], near), np.split(centre[more], near), np.split(rows[more], near))):
+            if len(k):
+                out.append((b, _blob(cut(k), [r]), _blob(cut(k2), [c2, r2])))
+        number, own, others = zip(*out)
+        arrays = [pa.array(number, pa.int32()), pa.array([base] * len(out), pa.int64()), pa.array(own, pa.binary()), pa.array(others, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["bucket", "block", "keys", "near"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         keys, refs, near = [], [], []
@@ -240,7 +238,7 @@ def met_in_keys(docs: DataFrame, buckets: int) -> DataFrame:
         k, a, b = map(np.concatenate, (k, a, b))
         return pd.DataFrame({"key": k, "a": a, "b": b}).drop_duplicates()
 
-    sent = docs.mapInPandas(send, "bucket int, block long, keys binary, near binary")
+    sent = docs.mapInArrow(send, "bucket int, block long, keys binary, near binary")
     return sent.groupBy("bucket").applyInPandas(meet, "key long, a long, b long")
 
 
@@ -248,23 +246,26 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, members: the sets of the nodes in ``wanted``, made anew from one row of each."""
+def node_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, members: the sets of the nodes in ``wanted``, made anew from the text that each is named after."""
 
-    def squeeze(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pd.DataFrame({"ref": batch["ref"].array, "packed": [packer.compress((t or "").encode()) for t in batch["text"]]})
-
-    found = docs.mapInPandas(squeeze, "ref long, packed binary").join(nodes.join(wanted, "node").select("node", "ref"), "ref").select("node", "packed")
+            for part in text_slices(batch):
+                packed = pa.array([packer.compress((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("ref"), packed], ["node", "packed"])
 
-    def to_sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        texts = (batch.assign(text=[unpacker.decompress(t).decode() for t in batch["packed"]]) for batch in batches)
-        for part, sets in _sets(texts):
-            yield pd.DataFrame({"node": part["node"].array, "members": [s.tobytes() for s in sets]})
+        for batch in batches:
+            for part in text_slices(batch, "packed", SLICE // 4):
+                texts = [unpacker.decompress(t).decode() for t in part.column("packed").to_pylist()]
+                members = pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("node"), members], ["node", "members"])
 
-    return found.mapInPandas(to_sets, "node long, members binary")
+    found = docs.select("ref", "text").mapInArrow(squeeze, "node long, packed binary").join(wanted, "node")
+    return found.mapInArrow(to_sets, "node long, members binary")
 
 
 def links_between(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -287,25 +288,15 @@ def links_between(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.triu(DENOMINATOR * common >= NUMERATOR * total, 1))
 
 
-def bundle_links(common: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b), a spanning forest of them, between nodes that cannot do without their common keys.
+def _compared(dealt: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b), a forest of them, among the nodes of each (bundle, class, low, high) of ``dealt`` (with node, size).
 
-    Nodes that common keys join are a bundle (such as thousands of copies with some words changed). A bundle is
-    dealt into blocks, each pair of blocks is compared in memory, and only a forest of its links comes out.
+    The groups are dealt into tasks by their bytes, so a task holds about ``TASK_SHINGLES`` of them.
     """
-    spark = common.sparkSession
-    stars = common.join(common.groupBy("key").agg(F.min("node").alias("centre")), "key").select(F.col("node").alias("a"), F.col("centre").alias("b")).where("a <> b").distinct()
-    bundles = connected_components(stars, "jaccard-bundles").withColumnRenamed("component", "bundle")
-    # Sizes of linked sets are in one class or in two neighbouring ones.
-    step = math.log(DENOMINATOR / NUMERATOR)
-    sized = bundles.join(nodes.select("node", "size"), "node").withColumn("class", F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).cast("int"))
-    placed = sized.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1)))
-    counts = placed.groupBy("bundle", "class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = placed.join(counts, ["bundle", "class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    dealt = dealt.join(members, "node")
-    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bundle", "class", "low", "high"), F.lit(tasks))).select("task", "bundle", "class", "low", "high", "node", "members")
+    volume = dealt.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, -(-int(volume) // TASK_SHINGLES))
+    task = F.pmod(F.xxhash64("bundle", "class", "low", "high"), F.lit(tasks))
+    sets = dealt.join(members, "node").select(task.alias("task"), "bundle", "class", "low", "high", "node", "members")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -316,21 +307,70 @@ def bundle_links(common: DataFrame, nodes: DataFrame, members: DataFrame) -> Dat
                 out.append(pd.DataFrame({"a": node, "b": node[label]})[label != np.arange(len(g))])
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
 
-    return dealt.groupBy("task").applyInPandas(compare, "a long, b long")
+    return sets.groupBy("task").applyInPandas(compare, "a long, b long")
+
+
+def bundle_links(common: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b), a spanning forest of them, between nodes that cannot do without their common keys.
+
+    Nodes that common keys join are a bundle (such as thousands of copies with some words changed). A bundle is
+    dealt into blocks. Each block is compared in itself and with the bundle's first, which joins most near copies,
+    so a node is sent twice. What is still apart then is dealt anew by its component, and blocks of different
+    components are compared with each other.
+    """
+    stars = common.join(common.groupBy("key").agg(F.min("node").alias("centre")), "key").select(F.col("node").alias("a"), F.col("centre").alias("b")).where("a <> b").distinct()
+    bundles = connected_components(stars, "jaccard-bundles").withColumnRenamed("component", "bundle")
+    # Sizes of linked sets are in one class or in two neighbouring ones.
+    step = math.log(DENOMINATOR / NUMERATOR)
+    sized = bundles.join(nodes.select("node", "size"), "node").withColumn("class", F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).cast("int"))
+    placed = written(sized.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1))), "jaccard-placed")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    counts = placed.groupBy("bundle", "class").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")).where("n > 1").drop("n")
+    dealt = placed.join(counts, ["bundle", "class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    pairs = dealt.withColumn("low", F.lit(0)).withColumn("high", F.explode(F.when(F.col("part") == 0, F.sequence(F.least(F.lit(1), F.col("parts") - 1), F.col("parts") - 1)).otherwise(F.array("part"))))
+    links = written(_compared(pairs.select("bundle", "class", "low", "high", "node", "size"), members), "jaccard-bundled")
+    apart = written(_apart(placed, counts.where("parts > 2"), links), "jaccard-apart")
+    return links if apart.isEmpty() else links.unionByName(_compared(apart, members))
+
+
+def _apart(placed: DataFrame, counts: DataFrame, links: DataFrame) -> DataFrame:
+    """bundle, class, low, high, node, size: blocks of components of a bundle that have yet to meet each other."""
+    by = ["bundle", "class"]
+    classes = connected_components(links, "jaccard-bundled-classes")
+    labelled = placed.join(counts.select(*by), by).join(classes, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    several = labelled.groupBy(*by).agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(*by)
+    left = labelled.join(several, by).drop("component")
+    # Large components fill blocks of their own; the small ones share blocks, in which their pairs are compared as well.
+    filled = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    sizes = left.groupBy(*by, "label").agg(filled.alias("own"), F.count(F.lit(1)).alias("held"), F.sum("size").alias("volume"))
+    sizes = sizes.withColumn("small", (F.col("held") < BLOCK // 2) & (F.col("volume") < BLOCK_SHINGLES // 2))
+    shared = sizes.where("small").groupBy(*by).agg(F.ceil(F.greatest(F.sum("held") / BLOCK, F.sum("volume") / BLOCK_SHINGLES)).cast("int").alias("shared"))
+    left = left.join(sizes.select(*by, "label", "own", "small"), [*by, "label"]).join(shared, by, "left")
+    left = left.withColumn("owner", F.when(~F.col("small"), F.col("label")))
+    left = left.withColumn("part", F.when(F.col("small"), F.pmod(F.xxhash64("label"), F.col("shared"))).otherwise(F.pmod(F.xxhash64("node"), F.col("own"))).cast("int"))
+    block = left.groupBy(*by, "owner", "part").agg(F.count(F.lit(1)).alias("n"))
+    name = F.xxhash64("owner", "part").alias("name")
+    block = block.select(*by, "owner", name)
+    other = block.select(*by, F.col("owner").alias("owner2"), F.col("name").alias("name2"))
+    # Blocks of one large component need no look at each other; a shared block is looked at in itself too.
+    meet = block.join(other, by).where("name <= name2 and not (owner <=> owner2 and owner is not null)")
+    ends = meet.select(*by, F.col("name").alias("low"), F.col("name2").alias("high"), F.explode(F.array_distinct(F.array("name", "name2"))).alias("name"))
+    return left.select(*by, "node", "size", name).join(ends, [*by, "name"]).select(*by, "low", "high", "node", "size")
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs of nodes (a, b) that size and the Hamming bound of short sketches leave over."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
 
-    def near(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            limits = [largest_difference(int(n)) for n in batch["size_a"] + batch["size_b"]]
-            keep = [sketch_distance(x, y) <= most for x, y, most in zip(batch["sketch_a"], batch["sketch_b"], limits)]
-            yield batch.loc[keep, ["a", "b"]]
+            for part in text_slices(batch, "sketch_a"):
+                size_a, size_b, sketch_a, sketch_b = (part.column(c).to_pylist() for c in ("size_a", "size_b", "sketch_a", "sketch_b"))
+                keep = [sketch_distance(x, y) <= largest_difference(m + n) for x, y, m, n in zip(sketch_a, sketch_b, size_a, size_b)]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") * DENOMINATOR >= F.greatest("size_a", "size_b") * NUMERATOR)
-    return sized.mapInPandas(near, "a long, b long")
+    return sized.mapInArrow(near, "a long, b long")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -341,28 +381,30 @@ def verified(close: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs that link, by their sets."""
     held = lambda c: members.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}"))
 
-    def link(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["set_a"], batch["set_b"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
-            yield batch.loc[keep, ["a", "b"]]
+            for part in text_slices(batch, "set_a", 4 * SLICE):
+                keep = []
+                for x, y in zip(part.column("set_a"), part.column("set_b")):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    both = np.sort(np.concatenate([x, y]), kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return close.join(held("a"), "a").join(held("b"), "b").mapInPandas(link, "a long, b long")
+    return close.join(held("a"), "a").join(held("b"), "b").mapInArrow(link, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``."""
-    spark = docs.sparkSession
-    docs = numbered(docs)
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """ref, doc_id, n_shingles, label of every row of ``docs`` (ref, doc_id, text): rows of one label are linked."""
     rows = written(signatures(docs), "jaccard-rows")
-    best = rows.where("size > 0").groupBy("node").agg(F.min(F.struct("ref")).alias("r"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    nodes = written(best.select("node", "size", "sketch", "r.ref"), "jaccard-nodes")
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = met_in_keys(docs, min(buckets, 1 << 16))
+    same = rows.where("size > 0").groupBy("sum", "check").agg(F.min("ref").alias("node"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = written(same, "jaccard-nodes")
+    rows = written(rows.drop("sketch").join(nodes.select("sum", "check", "node"), ["sum", "check"], "left").select("ref", "doc_id", "size", "node"), "jaccard-rows")
+    nodes = nodes.drop("sum", "check")
+    volume = nodes.agg(F.sum("size")).first()[0] or 0
+    buckets = min(1 << 16, max(64, int(volume) // BUCKET_SHINGLES))
+    met = met_in_keys(docs, buckets)
     of = lambda c: rows.select(F.col("ref").alias(c), F.col("node").alias(f"node_{c}"))
     met = written(met.join(of("a"), "a").join(of("b"), "b").select("key", F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("a") == F.col("b")).alias("common")).where("common or a <> b").distinct(), "jaccard-met")
 
@@ -371,7 +413,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     common = written(common.join(bound, "node", "left_semi"), "jaccard-common")
     tried = written(_pairs(met.where("not common").select("a", "b")), "jaccard-tried")
     close = written(near_pairs(tried, nodes), "jaccard-close")
-    members = written(node_sets(ends(close).unionByName(common.select("node")).distinct(), nodes, docs), "jaccard-sets")
+    members = written(node_sets(ends(close).unionByName(common.select("node")).distinct(), docs), "jaccard-sets")
     links = written(verified(close, members).unionByName(bundle_links(common, nodes, members)), "jaccard-links")
     classes = connected_components(links, "jaccard-classes")
     # Keys of more than two nodes (COMMON at most), where the centres may have missed links between the others.
@@ -384,12 +426,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     more = left.withColumnRenamed("node", "a").join(other, "key").where("a < b and label <> label_b").select("a", "b").distinct()
     more = written(near_pairs(more.join(tried, ["a", "b"], "left_anti"), nodes), "jaccard-more")
     if not more.isEmpty():
-        new = written(verified(more, node_sets(ends(more).distinct(), nodes, docs)), "jaccard-links")
+        new = written(verified(more, node_sets(ends(more).distinct(), docs)), "jaccard-links")
         if not new.isEmpty():
             classes = connected_components(links.unionByName(new), "jaccard-classes")
-    placed = rows.join(classes, "node", "left").select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("component", "node")).alias("label"))
+    return rows.join(classes, "node", "left").select("ref", "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("label"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``."""
+    placed = jaccard_classes(numbered(docs))
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "label", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return placed.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without all but one of each group of near duplicates: the least doc_id stays, nulls last.
+
+    Of rows with that doc_id the first in the table stays. Rows are told apart by their place, so those that share a
+    doc_id but not their text, and those without one, are decided each for itself. Texts without words all stay.
+    """
+    held = written(docs.withColumn("_ref", F.monotonically_increasing_id()), "jaccard-held")
+    texts = held.select(F.col("_ref").alias("ref"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    placed = jaccard_classes(texts)
+    first = placed.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ref"))["ref"].alias("_ref"))
+    stay = first.select("_ref").unionByName(placed.where("label is null").select(F.col("ref").alias("_ref")))
+    return held.join(stay, "_ref", "left_semi").drop("_ref")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
