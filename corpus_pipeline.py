@@ -23,11 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id stays (the first of equal ones)."""
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    # Rows that share a doc_id: one of them stays if their id does; documents without an id stay all.
-    same = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return same.unionByName(docs.where("doc_id is null").select(*COLUMNS)).select(*COLUMNS)
+    return jaccard_join.one_of_each(docs.select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
