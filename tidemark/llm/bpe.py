@@ -7,7 +7,7 @@ for again and again, the boundary behind it is deleted, and the two ranks next t
 The special tokens' strings in a text become their ids, as the tokenizers library does by default.
 
 Edge cases: null and empty text give no ids and the hash of the empty string; texts are processed whole; repeated
-rows give repeated results.
+rows give repeated results; a null doc_id stays null; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ import heapq
 import json
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import schema_of, table, text_slices, with_columns
 
 #: Fixed pattern: pre-tokenisation of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -179,17 +179,20 @@ def load(path: str) -> RankArrayBpe:
 def bpe_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                packed = bpe.encode_packed(text or "")
-                decoded = bpe.decode_packed(packed).encode()
-                rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=batch["doc_id"].array)[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for part in text_slices(batch):
+                sizes, ids, decoded = [], [], []
+                for text in part.column("text").to_pylist():
+                    packed = bpe.encode_packed(text or "")
+                    sizes.append(len(packed) // 4)
+                    ids.append(hashlib.sha256(packed).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.decode_packed(packed).encode()).hexdigest())
+                yield with_columns(part, ["doc_id"], n_tokens=pa.array(sizes, pa.int64()), ids_sha256=pa.array(ids), decoded_sha256=pa.array(decoded))
+
+    docs = docs.select("doc_id", "text")
+    return docs.mapInArrow(run, f"{schema_of(docs, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

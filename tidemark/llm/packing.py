@@ -20,12 +20,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import word_tokens
-from .common import table
+from .common import schema_of, table, text_slices
 
 SEQUENCE = 2048
 SEGMENTS = 64
@@ -115,9 +116,11 @@ class Packer:
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, with_ids: bool = False, tokens: int = SEQUENCE, segments: int = SEGMENTS) -> DataFrame:
     """One row for each piece: its document, place in it, place in its sequence, CRC and, if asked for, ids."""
     end = int(end_id).to_bytes(4, "little")
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens int" + ", ids binary" * with_ids
+    docs = docs.select("doc_id", "text")
+    schema = f"{schema_of(docs, 'doc_id')}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens int" + ", ids binary" * with_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", *["ids"] * with_ids]
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = word_tokens.load(vocabulary), TaskContext.get().partitionId() << TASK_BITS
         packer, held, rows, made = Packer(tokens, segments), {}, [], 0
 
@@ -138,18 +141,18 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, with_ids:
             for k in [k for k in held if k not in still]:
                 del held[k]
 
-        def frame() -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in schema.split(", ")])
-            out["doc_id"] = pd.array([r[0] for r in rows], "Int64")
+        def frame(id_type: pa.DataType) -> pa.RecordBatch:
+            types = [id_type, *[pa.int64()] * 6, pa.int32(), *[pa.binary()] * with_ids]
+            out = pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*rows), types)], names)
             rows.clear()
             return out
 
-        number = 0
+        number, id_type = 0, pa.int64()
         for batch in batches:
-            ids = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
-            texts = [t or "" for t in batch["text"]]
-            for block in word_tokens.text_blocks(texts):
-                for doc, packed in zip(ids[block], encoder.encode_packed(texts[block])):
+            id_type = batch.column("doc_id").type
+            for part in text_slices(batch):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for doc, packed in zip(part.column("doc_id").to_pylist(), encoder.encode_packed(texts)):
                     packed += end
                     n = len(packed) // 4
                     for start in range(0, n - tokens + 1, tokens):
@@ -161,12 +164,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, with_ids:
                 if packer.tokens > POOL_HIGH or len(packer.items) > POOL_ITEMS:
                     settle(min(POOL_LOW, packer.tokens // 4))
                 if rows:
-                    yield frame()
+                    yield frame(id_type)
         settle(0)
         if rows:
-            yield frame()
+            yield frame(id_type)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def pack_examples(examples: DataFrame, tokens: int = SEQUENCE, segments: int = SEGMENTS, loss: int | None = None) -> DataFrame:
@@ -188,17 +191,20 @@ def pack_examples(examples: DataFrame, tokens: int = SEQUENCE, segments: int = S
                     offset += n
                 made += 1
             out = pd.DataFrame(rows, columns=["example_id", "sequence_id", "segment", "offset", "tokens", "loss_tokens"])
-            return out.assign(example_id=pd.array([r[0] for r in rows], "Int64"))
+            return out
 
         for batch in batches:
-            for key, n, b in zip(batch["example_id"], batch["tokens"].fillna(0), batch["loss_tokens"].fillna(0)):
-                packer.add(None if pd.isna(key) else int(key), 0, int(n), int(b))
+            for key, n, b in zip(batch["example_id"], batch["tokens"], batch["loss_tokens"]):
+                packer.add(key, 0, int(n), int(b))
             if packer.tokens > POOL_HIGH or len(packer.items) > POOL_ITEMS:
                 yield frame(min(POOL_LOW, packer.tokens // 4))
         yield frame(-1)
 
-    picked = examples.select(F.col("example_id").cast("long"), F.col("tokens").cast("long"), F.col("loss_tokens").cast("long"))
-    return picked.mapInPandas(run, "example_id long, sequence_id long, segment int, offset long, tokens long, loss_tokens long")
+    # Ids travel as text: pandas would turn numbers beside nulls into floating ones.
+    count = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).cast("long").alias(c)
+    picked = examples.select(F.col("example_id").cast("string").alias("example_id"), count("tokens"), count("loss_tokens"))
+    packed = picked.mapInPandas(run, "example_id string, sequence_id long, segment int, offset long, tokens long, loss_tokens long")
+    return packed.withColumn("example_id", F.col("example_id").cast(examples.schema["example_id"].dataType))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from .shingles import _BASE, _INVERSE, _U, _Powers, mix
 
 WINDOW, CORE, GRAM = 200, 50, 16
 REACH = WINDOW - CORE + 1
+#: Bytes that are parsed at a time; stretches overlap by a window, so places fit beside the hash's upper bits.
+STRETCH = 1 << 22
 _POSITION = _U((1 << 24) - 1)
 _RNG = np.random.default_rng(20240301)
 _TABLES = [(_RNG.integers(1, 1 << 63, 256, dtype=np.uint64) << _U(1)) | _U(1) for _ in range(2)]
@@ -48,15 +50,19 @@ class Block:
         sums = self.sums[which]
         return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
+    def _triggers(self, start: int, end: int) -> np.ndarray:
+        """The trigger of each window that lies between two places."""
+        place = np.arange(start, end - GRAM + 1)
+        rolling = self.hashes(place, place + GRAM)
+        rolling = (rolling & ~_POSITION) | (place - start).astype(np.uint64)
+        return (sliding_min(rolling, REACH) & _POSITION).astype(np.int64)[: end - start - WINDOW + 1] + start
+
     def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each phrase: its document, the first and the last start of its windows, and its trigger."""
         n = len(self.raw)
         if n < WINDOW:
             return (np.empty(0, np.int64),) * 4
-        place = np.arange(n - GRAM + 1)
-        rolling = self.hashes(place, place + GRAM)
-        rolling = (rolling & ~_POSITION) | place.astype(np.uint64)
-        trigger = (sliding_min(rolling, REACH) & _POSITION).astype(np.int64)
+        trigger = np.concatenate([self._triggers(a, min(n, a + STRETCH + WINDOW - 1)) for a in range(0, n - WINDOW + 1, STRETCH)])
         room = np.maximum(0, self.lengths - WINDOW + 1)
         doc = np.repeat(np.arange(len(room)), room)
         starts = np.arange(len(doc)) - np.repeat(np.cumsum(room) - room, room) + self.offsets[doc]

@@ -23,46 +23,86 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import SLICE, schema_of, table, text_slices, with_columns, written
 from .phrases import CORE, WINDOW, Block
-from .word_tokens import text_blocks
 
 #: Distinct phrases of one core that a task's suffix array takes: about 2 MB of bytes, whatever the corpus's size.
 HOT = 8192
+#: Texts that a task remembers, phrases that it counts at once, and bytes of phrases that a task sorts, about.
+MET, COUNTED, SORTED_BYTES = 200_000, 1_000_000, 4_000_000
 
 
 def _i64(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _phrases(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """core, phrase, text_hash, at, width: the phrases of a batch's texts, by place in their text."""
+def _phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, np.ndarray]]]:
+    """Slices of texts with their phrases: core, phrase, text (its place in the slice), at, width."""
     for batch in batches:
-        texts = [t or "" for t in batch["text"]]
-        for part in text_blocks(texts):
-            block = Block([t.encode() for t in texts[part]])
+        for part in text_slices(batch, limit=2 * SLICE):
+            block = Block([(t or "").encode() for t in part.column("text").to_pylist()])
             doc, first, last, trigger = block.phrases()
-            hashes = batch["text_hash"].to_numpy()[part]
-            yield pd.DataFrame({
+            yield part, {
                 "core": _i64(block.hashes(trigger, trigger + CORE)), "phrase": _i64(block.hashes(first, last + WINDOW)),
-                "text_hash": hashes[doc], "at": (first - block.offsets[doc]).astype(np.int32), "width": (last - first + 1).astype(np.int16),
-            })
+                "text": doc, "at": (first - block.offsets[doc]).astype(np.int32), "width": (last - first + 1).astype(np.int16),
+            }
 
 
-def _counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """core, phrase, times: a block's dictionary, each phrase once."""
-    for p in _phrases(batches):
-        yield p.groupby(["core", "phrase"], sort=False).size().rename("times").reset_index()
+def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """core, phrase, text_hash, at, width: the phrases of a batch's texts, by place in their text.
 
+    A text that the task has met already gives nothing new (of the last texts, as many as ``MET`` are remembered).
+    """
+    met: dict[int, None] = {}
+    for part, p in _phrases(batches):
+        hashes = part.column("text_hash").to_numpy()
+        new = np.array([h not in met and met.setdefault(h) is None for h in hashes.tolist()], bool)
+        while len(met) > MET:
+            del met[next(iter(met))]
+        text = p.pop("text")
+        if not (keep := new[text]).all():
+            text, p = text[keep], {k: v[keep] for k, v in p.items()}
+        yield pa.RecordBatch.from_pydict({"core": p["core"], "phrase": p["phrase"], "text_hash": hashes[text], "at": p["at"], "width": p["width"]})
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """core, phrase, times: the dictionary of each million phrases or so, each phrase once."""
+    cores, phrases, held = [], [], 0
+
+    def dictionary() -> pa.RecordBatch:
+        core, phrase = np.concatenate(cores), np.concatenate(phrases)
+        order = np.lexsort((core, phrase))
+        core, phrase = core[order], phrase[order]
+        starts = np.flatnonzero(np.concatenate([[True], (core[1:] != core[:-1]) | (phrase[1:] != phrase[:-1])]))
+        return pa.RecordBatch.from_pydict({"core": core[starts], "phrase": phrase[starts], "times": np.diff(np.concatenate([starts, [len(core)]]))})
+
+    for _, p in _phrases(batches):
+        cores.append(p["core"])
+        phrases.append(p["phrase"])
+        held += len(p["core"])
+        if held > COUNTED:
+            yield dictionary()
+            cores, phrases, held = [], [], 0
+    if held:
+        yield dictionary()
+
+
+def _squeezer(columns: list[str]):
+    """Texts packed under the name of the text column, other columns as they are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for part in text_slices(batch):
+                packed = pa.array([packer.compress((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())
+                yield with_columns(part, columns, packed=packed)
 
-def _squeezed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    packer = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        yield batch.assign(text=[packer.compress((t or "").encode()) for t in batch["text"]])
+    return run
 
 
 def suffix_ranks(raw: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -115,9 +155,8 @@ def repeated_windows(bytes_: list[bytes], cores: np.ndarray, times: np.ndarray)
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """text_hash, first, last: starts of repeated windows, as runs, of the texts of ``docs`` (text, text_hash)."""
-    spark = docs.sparkSession
     shape = "core long, phrase long, text_hash long, at int, width short"
-    counted = docs.mapInPandas(_counted, "core long, phrase long, times long").repartition("core")
+    counted = docs.mapInArrow(_counted, "core long, phrase long, times long").repartition("core")
     dictionary = counted.groupBy("core", "phrase").agg(F.sum("times").alias("times"))
     of_core = Window.partitionBy("core")
     dictionary = dictionary.withColumns({"all": F.sum("times").over(of_core), "phrases": F.count(F.lit(1)).over(of_core), "least": F.min("times").over(of_core)})
@@ -125,20 +164,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     dictionary = dictionary.where(F.col("all") >= 2).select("core", "phrase", "times", "phrases", ((F.col("phrases") > 1) & (F.col("least") == 1)).alias("mixed"))
     dictionary = written(dictionary, "suffix-dictionary")
 
-    met = docs.mapInPandas(_phrases, shape).join(dictionary, ["core", "phrase"])
-    met = written(met.groupBy("core", "phrase", "text_hash", "at", "width").agg(F.first("times").alias("times"), F.first("phrases").alias("phrases"), F.first("mixed").alias("mixed")), "suffix-met")
+    # Equal texts of several tasks stay in here; what they give is made distinct where it is gathered by text.
+    met = written(docs.mapInArrow(_placed, shape).join(dictionary, ["core", "phrase"]), "suffix-met")
     whole = met.where("times >= 2").select("text_hash", F.col("at").alias("first"), (F.col("at") + F.col("width") - 1).alias("last"))
 
     # The bytes of each phrase that needs its suffixes sorted, from one of its occurrences.
     sources = met.where("mixed").groupBy("core", "phrase").agg(F.min(F.struct("text_hash", "at", "width", "times", "phrases")).alias("s")).select("core", "phrase", "s.*")
     wanted = sources.groupBy("text_hash").agg(F.collect_list(F.struct("core", "at", "width", "times", "phrases")).alias("cuts"))
-    texts = docs.mapInPandas(_squeezed, "text binary, text_hash long").join(wanted, "text_hash")
+    texts = docs.mapInArrow(_squeezer(["text_hash"]), "text_hash long, packed binary").join(wanted, "text_hash")
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for h, text, cuts in zip(batch["text_hash"], batch["text"], batch["cuts"]):
+            for h, text, cuts in zip(batch["text_hash"], batch["packed"], batch["cuts"]):
                 text = unpacker.decompress(text)
                 out += [(h, c["core"], c["at"], c["times"], c["phrases"], text[c["at"] : c["at"] + c["width"] - 1 + WINDOW]) for c in cuts]
             yield pd.DataFrame(out, columns=["text_hash", "core", "at", "times", "phrases", "bytes"])
@@ -146,7 +185,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     phrases = texts.mapInPandas(cut, "text_hash long, core long, at int, times long, phrases long, bytes binary")
     phrases = written(phrases.dropDuplicates(["text_hash", "at"]), "suffix-phrases")
     span = "text_hash long, first int, last int"
-    groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    volume = phrases.where(F.col("phrases") <= HOT).agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    groups = max(1, -(-int(volume) // SORTED_BYTES))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -183,34 +223,33 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, keep: list[str] | N
     keep = keep or ["doc_id"]
     docs = docs.select(*keep, *(["text"] if "text" not in keep else [])).withColumn("text_hash", F.xxhash64("text"))
     spans = repeated_spans(docs.select("text", "text_hash").where(F.octet_length("text") >= WINDOW))
-    spans = spans.distinct().groupBy("text_hash").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    spans = written(spans.groupBy("text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "suffix-spans")
     kept = [c for c in keep if c != "text"]
-    shape = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "text binary", "text_hash long"])
-    squeezed = docs.mapInPandas(_squeezed, shape)
-    out_shape = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept_text string"] if with_text else [])])
+    squeezed = docs.mapInArrow(_squeezer([*kept, "text_hash"]), f"{schema_of(docs, *kept, 'text_hash')}, packed binary")
+    new = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), **({"kept_text": pa.string()} if with_text else {})}
+    out_shape = f"{schema_of(docs, *kept)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
 
-    def remove(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = []
-            for text, spans in zip(batch["text"], batch["spans"]):
-                text = unpacker.decompress(text)
-                n, removed, runs, left = len(text), 0, 0, text
-                if spans is not None and len(spans):
-                    change = np.zeros(n + 1, np.int32)
-                    first, last = (np.array([s[c] for s in spans]) for c in ("first", "last"))
-                    np.add.at(change, first, 1)
-                    np.add.at(change, last + WINDOW, -1)
-                    gone = np.cumsum(change[:-1]) > 0
-                    removed, runs = int(gone.sum()), len(_runs(gone)[0])
-                    left = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                row = (n, removed, runs, hashlib.sha256(left).hexdigest())
-                rows.append((*row, left.decode("utf-8", "replace")) if with_text else row)
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])]
-            yield pd.concat([batch[kept].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
-
-    return squeezed.join(spans, "text_hash", "left").mapInPandas(remove, out_shape)
+            for part in text_slices(batch, "packed"):
+                rows = []
+                for text, spans in zip(part.column("packed").to_pylist(), part.column("spans").to_pylist()):
+                    text = unpacker.decompress(text)
+                    n, removed, runs, left = len(text), 0, 0, text
+                    if spans:
+                        change = np.zeros(n + 1, np.int32)
+                        first, last = (np.array([s[c] for s in spans]) for c in ("first", "last"))
+                        np.add.at(change, first, 1)
+                        np.add.at(change, last + WINDOW, -1)
+                        gone = np.cumsum(change[:-1]) > 0
+                        removed, runs = int(gone.sum()), len(_runs(gone)[0])
+                        left = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                    row = (n, removed, runs, hashlib.sha256(left).hexdigest())
+                    rows.append((*row, left.decode("utf-8", "replace")) if with_text else row)
+                yield with_columns(part, kept, **{c: pa.array(v, t) for (c, t), v in zip(new.items(), zip(*rows))})
+
+    return squeezed.join(spans, "text_hash", "left").mapInArrow(remove, out_shape)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

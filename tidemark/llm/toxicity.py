@@ -2,13 +2,14 @@
 
 A word is the bag of its hashed character n-grams and itself; a text is the mean of the vectors of all its
 distinct words' subwords. Vectors and the softmax are trained together, in numpy, on a sample of labelled texts whose
-size is bounded by ``SAMPLE`` texts of each class. Misspellings that were never seen share n-grams with
+size is bounded by ``SAMPLE`` texts and ``SAMPLE_BYTES`` bytes of each class. Misspellings that were never seen share n-grams with
 words that were. As the softmax is linear, a text's logit is the mean of its words' projected scores, so only one
 number per subword travels to the executors.
 
 Edge cases: null and empty texts get the score of an empty bag (below one half); null labels and null doc_ids of
 labels teach nothing; of repeated labels the largest counts, of the texts of a repeated doc_id the first in order;
-where one class has no labelled text the score is that of the other class.
+where one class has no labelled text the score is that of the other class; an empty table gives an empty table;
+further columns are ignored; texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -17,20 +18,24 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import schema_of, table, text_slices, with_columns
 
 #: Labelled texts of each class that the model is fitted on, at most. The rest of the corpus is only scored.
 SAMPLE = 2500
+#: Bytes of these texts for each class, at most, so that the driver's share doesn't follow the length of texts.
+SAMPLE_BYTES = 64_000_000
 DIMENSIONS, BUCKETS, EPOCHS, RATE = 8, 1 << 17, 8, 0.05
 #: Scale of the means: a few telling words in a long text must be able to move it.
 GAIN = 30
-#: Evidence that a subword needs for a vector other than zero, and the scale of the vectors at the start.
-EVIDENCE, START = 3.0, 0.3
-SHORTEST, LONGEST = 3, 5
+#: Evidence from which on a subword's vector starts along the softmax's direction, how far, and the scale of chance.
+EVIDENCE, START, NOISE = 2.0, 0.2, 0.02
+#: Moves that a subword without evidence counts as made before: it learns in smaller steps.
+CAUTION = 10.0
+SHORTEST, LONGEST = 3, 6
 PUNCTUATION = ".,;:!?\"'()[]{}<>-_*"
 #: Subwords without a score that every bag holds besides its own: a few words prove little.
 NEUTRAL = 500
@@ -42,8 +47,6 @@ def subwords(word: str) -> list[int]:
     word = word.strip(PUNCTUATION)
     if not word:
         return []
-    if len(word) > 200:  # no word of a language: pieces stand for it, all of them
-        return [b for k in range(0, len(word), 100) for b in subwords(word[k : k + 100])]
     marked, crc, mask = f"<{word}>", zlib.crc32, BUCKETS - 1
     raw = [marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)]
     return [crc(g.encode()) & mask for g in [*raw, marked + "="]]
@@ -73,23 +76,25 @@ def subword_evidence(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarr
     return side * np.maximum(0, np.sqrt(np.maximum(0, 2 * ratio)) - EVIDENCE)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Projected score of every bucket (a multiple of the softmax's two rows' difference) and the bias.
+def train_vectors(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors of all buckets, the softmax's weights, its bias), trained together over all subwords of ``bags``.
 
-    Vectors start along the softmax's direction by their evidence and are trained together with it from there.
-    Plain averages are short where a text is long, so each bucket's step is scaled by what it has moved before.
+    Vectors start at random and, for subwords with evidence, along the softmax's first direction besides; buckets that no
+    text of the sample holds are zero. Each bucket's step is scaled by what it has moved before.
     """
-    share = float(labels.mean()) if len(labels) else 0.0
-    if share in (0.0, 1.0):
-        return np.zeros(BUCKETS, np.float32), 30.0 if share else -30.0
     rng = np.random.default_rng(seed)
-    evidence = subword_evidence(bags, labels)
-    weights, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
-    weights[1], weights[0] = 0.5, -0.5
-    vectors = np.repeat((evidence * (START / DIMENSIONS)).astype(np.float32)[:, None], DIMENSIONS, axis=1)
-    moved, moved_w = np.full(BUCKETS, 1e-2, np.float32), np.float32(1e-8)
-    telling = evidence != 0
-    bags = [(k[f], v[f] * np.float32(GAIN)) for k, v in bags for f in [telling[k]]]
+    share = float(labels.mean())
+    direction = rng.standard_normal(DIMENSIONS)
+    direction /= np.sqrt((direction**2).sum())
+    weights = (np.stack([-direction, direction]) + NOISE * rng.standard_normal((2, DIMENSIONS))).astype(np.float32)
+    bias = np.zeros(2, np.float32)
+    evidence, held = subword_evidence(bags, labels), np.zeros(BUCKETS, bool)
+    for keys, _ in bags:
+        held[keys] = True
+    vectors = NOISE * rng.standard_normal((BUCKETS, DIMENSIONS)) + START * evidence[:, None] * direction
+    vectors = (vectors * held[:, None]).astype(np.float32)
+    moved, moved_w = np.where(evidence != 0, 1e-2, CAUTION).astype(np.float32), np.float32(1e-8)
+    bags = [(k, v * np.float32(GAIN)) for k, v in bags]
     balance = np.array([0.5 / (1 - share), 0.5 / share])
     for epoch in range(EPOCHS):
         rate = np.float32(RATE * (1 - epoch / EPOCHS))
@@ -108,6 +113,15 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
             moved_w += float((grad * grad).sum() + (p * p).sum())
             weights -= rate * 0.3 * grad / np.sqrt(moved_w)
             bias -= rate * 3 * p / np.sqrt(moved_w)
+    return vectors, weights, bias
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Projected score of every bucket (its vector along the difference of the softmax's two rows) and the bias."""
+    share = float(labels.mean()) if len(labels) else 0.0
+    if share in (0.0, 1.0):
+        return np.zeros(BUCKETS, np.float32), 30.0 if share else -30.0
+    vectors, weights, bias = train_vectors(bags, labels, seed)
     return (GAIN * (vectors @ (weights[1] - weights[0]))).astype(np.float32), float(bias[1] - bias[0])
 
 
@@ -121,17 +135,20 @@ def training_bags(docs: DataFrame, labels: DataFrame, label: str = "toxic", samp
         picked = part if picked is None else picked.unionByName(part)
     # Two times the sample in ids: a bound that does not follow the input.
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    texts = texts.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id", "text", "label")
     texts = texts.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, y, k.tobytes(), v.tobytes()) for d, y, (k, v) in zip(batch["doc_id"], batch["label"], map(bag, batch["text"]))]
-            yield pd.DataFrame(rows, columns=["doc_id", "label", "keys", "parts"])
+            for part in text_slices(batch):
+                keys, parts = zip(*map(bag, part.column("text").to_pylist()))
+                yield with_columns(part, ["doc_id", "label"], keys=pa.array([k.tobytes() for k in keys], pa.binary()), parts=pa.array([v.tobytes() for v in parts], pa.binary()))
 
-    rows = texts.mapInPandas(run, "doc_id long, label int, keys binary, parts binary").toPandas().sort_values(["doc_id", "label"], kind="stable")
-    bags = [(np.frombuffer(k, np.int32), np.frombuffer(v, np.float32)) for k, v in zip(rows["keys"], rows["parts"])]
-    return bags, rows["label"].to_numpy(int)
+    rows = texts.mapInArrow(run, "doc_id long, label int, keys binary, parts binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    bags = [(np.frombuffer(k, np.int32), np.frombuffer(v, np.float32)) for k, v in zip(rows["keys"].to_pylist(), rows["parts"].to_pylist())]
+    return bags, rows["label"].to_numpy().astype(int)
 
 
 class _Scores(dict):
@@ -150,27 +167,29 @@ class _Scores(dict):
         return value
 
 
-def score_texts(docs: DataFrame, projected: np.ndarray, bias: float, columns: str) -> DataFrame:
-    """``docs`` with a score for every whole text; ``columns`` is the schema of what stays besides."""
+def score_texts(docs: DataFrame, projected: np.ndarray, bias: float) -> DataFrame:
+    """``docs`` with a score for every whole ``text``; other columns pass as they are."""
     model = docs.sparkSession.sparkContext.broadcast((projected, bias))  # of fixed size: one number per bucket
+    columns = docs.columns
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projected, bias = model.value
         known = _Scores(projected)
         for batch in batches:
-            logits = []
-            for text in batch["text"]:
-                total = sum(map(known.__getitem__, set(text.lower().split())), 0j) if text else 0j
-                logits.append(bias + total.real / (total.imag + NEUTRAL) if total.imag else min(bias, -1.0))
-            yield batch.assign(score=1 / (1 + np.exp(-np.clip(np.array(logits), -60, 60))))
+            for part in text_slices(batch):
+                logits = []
+                for text in part.column("text").to_pylist():
+                    total = sum(map(known.__getitem__, set(text.lower().split())), 0j) if text else 0j
+                    logits.append(bias + total.real / (total.imag + NEUTRAL) if total.imag else min(bias, -1.0))
+                yield with_columns(part, columns, score=pa.array(1 / (1 + np.exp(-np.clip(np.array(logits), -60, 60)))))
 
-    return docs.mapInPandas(run, f"{columns}, score double")
+    return docs.mapInArrow(run, f"{schema_of(docs, *columns)}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``."""
     projected, bias = train(*training_bags(training_docs if training_docs is not None else docs, labels))
-    scored = score_texts(docs.select("doc_id", "text"), projected, bias, "doc_id long, text string")
+    scored = score_texts(docs.select("doc_id", "text"), projected, bias)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
