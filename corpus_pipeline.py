@@ -17,8 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half stay. The model learns from labelled rows of the stage's own input."""
     model = toxicity.train(*toxicity.training_bags(docs.select("doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")))
-    shape = ", ".join(f"`{c}` {t}" for c, t in docs.select(*COLUMNS).dtypes)
-    return toxicity.score_texts(docs.select(*COLUMNS), *model, shape).where("score < 0.5").drop("score")
+    return toxicity.score_texts(docs.select(*COLUMNS), *model).where("score < 0.5").drop("score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
