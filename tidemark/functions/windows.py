@@ -5,7 +5,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -65,12 +66,21 @@ def rsi(delta: Column | str, n: int, w: WindowSpec, zero_loss: str = "hundred")
     return full(delta, F.when(loss == 0, at_zero).otherwise(value), w, n)
 
 
-def ema(x: Column | str, span: int, w: WindowSpec, depth: int = 400, warmup: int = 1) -> Column:
-    """Recursive average, seeded by the first value; beyond ``depth`` bars back its seed weighs next to nothing."""
-    keep = 1 - 2.0 / (span + 1)
-    back = F.collect_list(_c(x)).over(w.rowsBetween(-(depth - 1), 0))
-    value = F.aggregate(F.slice(back, 2, depth), back[0], lambda acc, v: acc * keep + v * (1 - keep))
-    return F.when(F.size(back) >= warmup, value)
+def with_ema(bars: DataFrame, averages: dict[str, tuple[str, int]], key: str = "symbol", at: str = "bar_date") -> DataFrame:
+    """``bars`` with recursive averages name -> (column, span), seeded by each symbol's first value.
+
+    One pass over a symbol's series in order of time, which no frame of a window can express; the series of one symbol
+    is as long as its days. Averages are made in the order given, so one may build on another.
+    """
+    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema] + [f"`{n}` double" for n in averages])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at, kind="stable")
+        for name, (column, span) in averages.items():
+            pdf[name] = pdf[column].ewm(span=span, adjust=False).mean()
+        return pdf
+
+    return bars.groupBy(key).applyInPandas(run, shape)
 
 
 def true_range(high: Column | str, low: Column | str, close: Column | str, w: WindowSpec) -> Column:

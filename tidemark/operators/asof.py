@@ -9,24 +9,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str], frame: tuple[int, int], pick, rank: tuple[int, int]) -> DataFrame:
-    """Rows of ``left`` with a struct of ``right``'s values at the nearest row on one side; ties count as met."""
+def _asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str], order: Column) -> DataFrame:
+    """Rows of ``left`` with a struct of ``right``'s values at the nearest row on one side; ties count as met.
+
+    The last value met along ``order`` is kept, so the frame only ever grows and each row is looked at once.
+    """
     held = F.struct(F.col(right_at).alias("_at"), *values)
-    a = left.select(F.col(key).alias("_key"), F.col(left_at).alias("_time"), F.lit(rank[0]).alias("_kind"), F.struct("*").alias("_left"), F.lit(None).cast(right.select(held.alias("s")).schema["s"].dataType).alias("_right"))
-    b = right.select(F.col(key).alias("_key"), F.col(right_at).alias("_time"), F.lit(rank[1]).alias("_kind"), F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType).alias("_left"), held.alias("_right"))
-    w = Window.partitionBy("_key").orderBy("_time", "_kind").rowsBetween(*frame)
-    out = a.unionByName(b).withColumn("_met", pick("_right", ignorenulls=True).over(w)).where("_left is not null")
+    a = left.select(F.col(key).alias("_key"), F.col(left_at).alias("_time"), F.lit(1).alias("_kind"), F.struct("*").alias("_left"), F.lit(None).cast(right.select(held.alias("s")).schema["s"].dataType).alias("_right"))
+    b = right.select(F.col(key).alias("_key"), F.col(right_at).alias("_time"), F.lit(0).alias("_kind"), F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType).alias("_left"), held.alias("_right"))
+    w = Window.partitionBy("_key").orderBy(order, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = a.unionByName(b).withColumn("_met", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
     return out.select("_left.*", F.col("_met").alias("met"))
 
 
 def backward_asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str]) -> DataFrame:
     """The last row of ``right`` at or before each row of ``left``, as struct ``met`` (its time is ``met._at``)."""
-    return _asof(left, right, key, left_at, right_at, values, (Window.unboundedPreceding, 0), F.last, (1, 0))
+    return _asof(left, right, key, left_at, right_at, values, F.asc("_time"))
 
 
 def forward_asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str]) -> DataFrame:
     """The first row of ``right`` at or after each row of ``left``."""
-    return _asof(left, right, key, left_at, right_at, values, (0, Window.unboundedFollowing), F.first, (0, 1))
+    return _asof(left, right, key, left_at, right_at, values, F.desc("_time"))
 
 
 def bar_index(bars: DataFrame, key: str = "symbol", at: str = "bar_date") -> DataFrame:

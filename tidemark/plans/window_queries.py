@@ -90,8 +90,8 @@ _INDEXED = M.with_views("bars", more=f"b AS (SELECT *, row_number() OVER w AS i
 SELECT b.symbol, b.bar_date, round(CASE WHEN b.i >= 12 THEN e12.v END, 6) AS ema_12, round(CASE WHEN b.i >= 26 THEN e26.v END, 6) AS ema_26
 FROM b JOIN e12 ON b.symbol = e12.symbol AND b.i = e12.i JOIN e26 ON b.symbol = e26.symbol AND b.i = e26.i""")
 def ema(spark: SparkSession, d: str) -> DataFrame:
-    w = W.by_symbol()
-    return _shown(M.bars(spark, d), ema_12=W.ema("close_px", 12, w, depth=1000, warmup=12), ema_26=W.ema("close_px", 26, w, depth=1000, warmup=26))
+    b = W.with_ema(M.bars(spark, d).withColumn("i", F.row_number().over(W.by_symbol())).select("symbol", "bar_date", "close_px", "i"), {"fast": ("close_px", 12), "slow": ("close_px", 26)})
+    return _shown(b, ema_12=F.when(F.col("i") >= 12, F.col("fast")), ema_26=F.when(F.col("i") >= 26, F.col("slow")))
 
 
 @query("win09_macd", _INDEXED + ",\n" + _ema_sql("b", "close_px", 12, "e12") + ",\n" + _ema_sql("b", "close_px", 26, "e26") + """,
@@ -100,10 +100,17 @@ m AS (SELECT b.symbol, b.bar_date, b.i - 24 AS i, e12.v - e26.v AS macd FROM b J
 SELECT m.symbol, m.bar_date, round(m.macd, 6) AS macd, round(CASE WHEN m.i >= 9 THEN sig.v END, 6) AS signal, round(CASE WHEN m.i >= 9 THEN m.macd - sig.v END, 6) AS hist
 FROM m JOIN sig ON m.symbol = sig.symbol AND m.i = sig.i""")
 def macd(spark: SparkSession, d: str) -> DataFrame:
-    w = W.by_symbol()
-    lines = M.bars(spark, d).withColumns({"macd": W.ema("close_px", 12, w, depth=1000) - W.ema("close_px", 26, w, depth=1000), "i": F.row_number().over(w)}).where("i >= 25")
-    lines = lines.withColumn("signal", W.ema("macd", 9, w, depth=1000, warmup=9))
-    return _shown(lines, macd=F.col("macd"), signal=F.col("signal"), hist=F.col("macd") - F.col("signal"))
+    return _shown(macd_lines(M.bars(spark, d)).where("i >= 25"), macd=F.col("macd"), signal=F.col("signal"), hist=F.col("macd") - F.col("signal"))
+
+
+def macd_lines(bars: DataFrame) -> DataFrame:
+    """symbol, bar_date, close_px, i, macd from the 25th bar on, signal from the ninth of these on."""
+    b = bars.select("symbol", "bar_date", "close_px").withColumn("i", F.row_number().over(W.by_symbol()))
+    lines = W.with_ema(b, {"fast": ("close_px", 12), "slow": ("close_px", 26)})
+    lines = lines.withColumn("macd", F.when(F.col("i") >= 25, F.col("fast") - F.col("slow")))
+    # The signal starts at the first value of macd: nulls before it leave the average alone.
+    lines = W.with_ema(lines, {"signal": ("macd", 9)})
+    return lines.select("symbol", "bar_date", "close_px", "i", "macd", F.when(F.col("i") >= 33, F.col("signal")).alias("signal"))
 
 
 @query("win10_atr", M.with_views("bars", more=f"t AS (SELECT *, CASE WHEN lag(close_px) OVER w IS NOT NULL THEN greatest(high_px - low_px, abs(high_px - lag(close_px) OVER w), abs(low_px - lag(close_px) OVER w)) END AS tr FROM bars {_W})")
