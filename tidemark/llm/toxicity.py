@@ -28,7 +28,10 @@ from .common import schema_of, table, text_slices, with_columns
 SAMPLE = 2500
 #: Bytes of these texts for each class, at most, so that the driver's share doesn't follow the length of texts.
 SAMPLE_BYTES = 64_000_000
-DIMENSIONS, BUCKETS, EPOCHS, RATE = 8, 1 << 17, 8, 0.05
+BUCKET_BITS = 17
+DIMENSIONS, BUCKETS, EPOCHS, RATE = 8, 1 << BUCKET_BITS, 4, 0.1
+#: Words of a text that count for a bucket, at most, by the width of a bag's integers.
+MOST = (1 << 32 - BUCKET_BITS) - 1
 #: Scale of the means: a few telling words in a long text must be able to move it.
 GAIN = 30
 #: Evidence from which on a subword's vector starts along the softmax's direction, how far, and the scale of chance.
@@ -52,19 +55,27 @@ def subwords(word: str) -> list[int]:
     return [crc(g.encode()) & mask for g in [*raw, marked + "="]]
 
 
-def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and their shares of a whole text."""
+def bag(text: str | None) -> np.ndarray:
+    """A whole text's buckets and how often its distinct words have them: one integer for each, its bucket in the low bits."""
     found = [b for w in set((text or "").lower().split()) for b in subwords(w)]
-    keys, counts = np.unique(np.array(found, np.int32), return_counts=True)
-    return keys, (counts / (len(found) + NEUTRAL)).astype(np.float32)
+    keys, counts = np.unique(np.array(found, np.uint32), return_counts=True)
+    return keys | np.minimum(counts, MOST).astype(np.uint32) << BUCKET_BITS
 
 
-def subword_evidence(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+def shares(bag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a bag and their shares in its mean."""
+    counts = bag >> BUCKET_BITS
+    return (bag & (BUCKETS - 1)).astype(np.int32), (counts / (counts.sum() + NEUTRAL)).astype(np.float32)
+
+
+def subword_evidence(bags: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Of each bucket the signed root of its log-likelihood ratio between the classes' texts, less ``EVIDENCE``.
 
     A bucket that a few texts share by chance stays at zero; one that many toxic and no clean texts hold does not.
     """
-    counts = [np.bincount(np.concatenate([np.empty(0, np.int64), *(k for (k, _), y in zip(bags, labels) if y == c)]).astype(np.int64), minlength=BUCKETS).astype(float) for c in (0, 1)]
+    counts = np.zeros((2, BUCKETS))
+    for bag, y in zip(bags, labels):
+        counts[y, bag & (BUCKETS - 1)] += 1
     texts = [max(1, int((labels == c).sum())) for c in (0, 1)]
     held, ratio = counts[0] + counts[1], np.zeros(BUCKETS)
     for c in (0, 1):
@@ -76,7 +87,7 @@ def subword_evidence(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarr
     return side * np.maximum(0, np.sqrt(np.maximum(0, 2 * ratio)) - EVIDENCE)
 
 
-def train_vectors(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train_vectors(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(vectors of all buckets, the softmax's weights, its bias), trained together over all subwords of ``bags``.
 
     Vectors start at random and, for subwords with evidence, along the softmax's first direction besides; buckets that no
@@ -89,17 +100,18 @@ def train_vectors(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     weights = (np.stack([-direction, direction]) + NOISE * rng.standard_normal((2, DIMENSIONS))).astype(np.float32)
     bias = np.zeros(2, np.float32)
     evidence, held = subword_evidence(bags, labels), np.zeros(BUCKETS, bool)
-    for keys, _ in bags:
-        held[keys] = True
-    vectors = NOISE * rng.standard_normal((BUCKETS, DIMENSIONS)) + START * evidence[:, None] * direction
-    vectors = (vectors * held[:, None]).astype(np.float32)
+    for bag in bags:
+        held[bag & (BUCKETS - 1)] = True
+    vectors = np.float32(NOISE) * rng.standard_normal((BUCKETS, DIMENSIONS), np.float32)
+    vectors += (START * evidence[:, None] * direction).astype(np.float32)
+    vectors[~held] = 0
     moved, moved_w = np.where(evidence != 0, 1e-2, CAUTION).astype(np.float32), np.float32(1e-8)
-    bags = [(k, v * np.float32(GAIN)) for k, v in bags]
     balance = np.array([0.5 / (1 - share), 0.5 / share])
     for epoch in range(EPOCHS):
         rate = np.float32(RATE * (1 - epoch / EPOCHS))
         for i in rng.permutation(len(bags)):
-            keys, parts = bags[i]
+            keys, parts = shares(bags[i])
+            parts *= np.float32(GAIN)
             mean = parts @ vectors[keys]
             z = weights @ mean + bias
             p = np.exp(z - z.max())
@@ -116,7 +128,7 @@ def train_vectors(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     return vectors, weights, bias
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """Projected score of every bucket (its vector along the difference of the softmax's two rows) and the bias."""
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
@@ -125,7 +137,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     return (GAIN * (vectors @ (weights[1] - weights[0]))).astype(np.float32), float(bias[1] - bias[0])
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> tuple[list, np.ndarray]:
+def training_bags(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
     """Bags of at most ``sample`` labelled texts of each class, chosen by a hash of doc_id."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
@@ -143,12 +155,13 @@ def training_bags(docs: DataFrame, labels: DataFrame, label: str = "toxic", samp
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                keys, parts = zip(*map(bag, part.column("text").to_pylist()))
-                yield with_columns(part, ["doc_id", "label"], keys=pa.array([k.tobytes() for k in keys], pa.binary()), parts=pa.array([v.tobytes() for v in parts], pa.binary()))
+                bags = pa.array([bag(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())
+                yield with_columns(part, ["doc_id", "label"], bag=bags)
 
-    rows = texts.mapInArrow(run, "doc_id long, label int, keys binary, parts binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    bags = [(np.frombuffer(k, np.int32), np.frombuffer(v, np.float32)) for k, v in zip(rows["keys"].to_pylist(), rows["parts"].to_pylist())]
-    return bags, rows["label"].to_numpy().astype(int)
+    rows = texts.mapInArrow(run, "doc_id long, label int, bag binary").toArrow()
+    order = np.lexsort((rows["label"].to_numpy(), rows["doc_id"].to_numpy()))
+    bags = [np.frombuffer(b.as_buffer(), np.uint32) for b in rows["bag"]]
+    return [bags[i] for i in order], rows["label"].to_numpy().astype(int)[order]
 
 
 class _Scores(dict):
