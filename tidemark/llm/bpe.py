@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import schema_of, table, text_slices, with_columns
+from .common import hold, schema_of, table, text_slices, with_columns
 
 #: Fixed pattern: pre-tokenisation of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -166,14 +166,9 @@ class _Missing(dict):
         return value
 
 
-_LOADED: dict[str, RankArrayBpe] = {}
-
-
 def load(path: str) -> RankArrayBpe:
     """One encoder for each vocabulary file and worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = RankArrayBpe(path)
-    return _LOADED[path]
+    return hold(("RankArrayBpe", path), lambda: RankArrayBpe(path))
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -64,3 +65,18 @@ def schema_of(df: DataFrame, *names: str) -> str:
     """The columns' DDL, for the schema of a function that passes them on."""
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     return ", ".join(f"`{n}` {types[n]}" for n in names)
+
+
+_HELD: dict[object, Any] = {}
+
+
+def hold(key: object = None, make: Callable[[], Any] | None = None) -> Any:
+    """What a Python worker keeps from task to task: one operator's memory at a time; without a key, nothing.
+
+    Workers serve the tasks of all operators, one after another, so what one remembers must not stay with the next.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        if make is not None:
+            _HELD[key] = make()
+    return _HELD.get(key)

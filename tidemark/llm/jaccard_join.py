@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, table, text_slices, with_columns, written
+from .common import SLICE, hold, table, text_slices, with_columns, written
 from .components import connected_components, forest
 from .shingles import mix, shingle_sets
 
@@ -119,6 +119,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of bounded bytes with the sets of their texts."""
+    hold()
     for batch in batches:
         for part in text_slices(batch):
             yield part, list(shingle_sets(part.column("text").to_pylist()))

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, schema_of, table, text_slices, with_columns, written
+from .common import SLICE, hold, schema_of, table, text_slices, with_columns, written
 from .phrases import CORE, WINDOW, Block
 
 #: Distinct phrases of one core that a task's suffix array takes: about 2 MB of bytes, whatever the corpus's size.
@@ -43,6 +43,7 @@ def _i64(x: np.ndarray) -> np.ndarray:
 
 def _phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, np.ndarray]]]:
     """Slices of texts with their phrases: core, phrase, text (its place in the slice), at, width."""
+    hold()
     for batch in batches:
         for part in text_slices(batch, limit=2 * SLICE):
             block = Block([(t or "").encode() for t in part.column("text").to_pylist()])

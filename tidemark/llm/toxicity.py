@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import schema_of, table, text_slices, with_columns
+from .common import hold, schema_of, table, text_slices, with_columns
 
 #: Labelled texts of each class that the model is fitted on, at most. The rest of the corpus is only scored.
 SAMPLE = 2500
@@ -186,6 +186,7 @@ def score_texts(docs: DataFrame, projected: np.ndarray, bias: float) -> DataFram
     columns = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         projected, bias = model.value
         known = _Scores(projected)
         for batch in batches:

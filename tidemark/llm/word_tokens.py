@@ -11,6 +11,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import hold
+
 #: Chunks kept in each of two generations.
 CACHE = 1_000_000
 
@@ -98,14 +100,9 @@ class WordTokens:
         return [b"".join(map(get, chunks)) if chunks is not None else self._whole(t) for t, chunks in zip(texts, split)]
 
 
-_LOADED: dict[str, WordTokens] = {}
-
-
 def load(path: str) -> WordTokens:
     """One for each vocabulary file and worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokens(path)
-    return _LOADED[path]
+    return hold(("WordTokens", path), lambda: WordTokens(path))
 
 
 def text_blocks(texts: list[str], limit: int = 2_000_000) -> Iterable[slice]:
