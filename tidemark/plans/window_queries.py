@@ -143,13 +143,6 @@ def benchmark_features(spark: SparkSession, d: str) -> DataFrame:
     return b.select("bar_date", F.col("close_px").alias("bench_close"), W.lagged_return("close_px", 1, w).alias("bench_ret"), W.lagged_return("close_px", 5, w).alias("bench_ret5"), W.moving_average("close_px", 20, w).alias("bench_sma20"))
 
 
-@query("win13_beta", M.with_views("bars", "bench", more=_BENCH_RET + f", r AS (SELECT *, close_px / lag(close_px) OVER w - 1 AS ret FROM bars {_W}), j AS (SELECT r.*, bench_ret FROM r JOIN s USING (bar_date) WHERE ret IS NOT NULL AND bench_ret IS NOT NULL)")
-    + f"SELECT symbol, bar_date, round(CASE WHEN count(ret) {_f(20)} = 20 AND var_pop(bench_ret) {_f(20)} > 0 THEN covar_pop(ret, bench_ret) {_f(20)} / var_pop(bench_ret) {_f(20)} END, 6) AS beta_20 FROM j")
-def beta(spark: SparkSession, d: str) -> DataFrame:
-    joined = _with_returns(spark, d).join(benchmark_features(spark, d), "bar_date").where("ret is not null and bench_ret is not null")
-    return _shown(joined, beta_20=W.rolling_beta("ret", "bench_ret", 20, W.by_symbol()))
-
-
 @query("win14_regime", M.with_views("bench", more=_BENCH_RET) + "SELECT bar_date, CASE WHEN bench_ret5 > 0 AND bench_close >= bench_sma20 THEN 1 ELSE 0 END AS regime FROM s WHERE bench_sma20 IS NOT NULL")
 def regime(spark: SparkSession, d: str) -> DataFrame:
     up = (F.col("bench_ret5") > 0) & (F.col("bench_close") >= F.col("bench_sma20"))
