@@ -14,6 +14,7 @@ def test_query_equals_sql(spark, sf_dir, tmp_path, name):
     out = str(tmp_path / "out")
     QUERIES[name](spark, sf_dir).write.parquet(out)
     con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
     for f in glob.glob(f"{sf_dir}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
     con.execute(f"CREATE TABLE o AS {ORACLE_SQL[name]}")
@@ -26,4 +27,5 @@ def test_query_equals_sql(spark, sf_dir, tmp_path, name):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(QUERIES) - set(ORACLE_SQL) == set()
+    # Fitted by an optimiser, so not in SQL; tests/test_models.py holds them against brute force.
+    assert set(QUERIES) - set(ORACLE_SQL) == {"ml01_logistic_fit", "ml16_contributions", "ml19_train_and_score"}

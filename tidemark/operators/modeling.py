@@ -139,3 +139,21 @@ def undominated(models: DataFrame, key: str, objectives: list[str]) -> DataFrame
     for c in no_worse:
         condition = condition & c
     return models.join(F.broadcast(other), condition, "left_anti")
+
+
+def interpolated(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], exclusive: bool = False) -> DataFrame:
+    """Percentiles between neighbours: at (n-1)*q of the sorted values, or at (n+1)*q where ``exclusive``.
+
+    Values are counted first, and ranks are running sums over the distinct ones, so no row holds a group's values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by)
+    run = counts.withColumns({"_upto": F.sum("_n").over(w.orderBy(value)), "_all": F.sum("_n").over(w)})
+    picks = []
+    for name, q in shares.items():
+        at = (F.col("_all") + 1) * q - 1 if exclusive else (F.col("_all") - 1) * q
+        low = F.min(F.when(F.col("_upto") > F.floor(at), F.col(value)))
+        high = F.coalesce(F.min(F.when(F.col("_upto") > F.floor(at) + 1, F.col(value))), low)
+        part = F.max(at - F.floor(at))
+        picks.append((low + (high - low) * part).alias(name))
+    return run.groupBy(*by).agg(*picks)
