@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+_LIBC = ctypes.CDLL(None)
 #: Characters of text that a task works on at a time, whatever the size of its Arrow batches.
 SLICE = 500_000
 
@@ -73,10 +75,14 @@ _HELD: dict[object, Any] = {}
 def hold(key: object = None, make: Callable[[], Any] | None = None) -> Any:
     """What a Python worker keeps from task to task: one operator's memory at a time; without a key, nothing.
 
-    Workers serve the tasks of all operators, one after another, so what one remembers must not stay with the next.
+    Workers serve the tasks of all operators, one after another, so what one remembers must not stay with the next, and
+    what it freed goes back to the machine.
     """
     if key not in _HELD:
         _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        if hasattr(_LIBC, "malloc_trim"):
+            _LIBC.malloc_trim(0)
         if make is not None:
             _HELD[key] = make()
     return _HELD.get(key)

@@ -123,6 +123,7 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
     for batch in batches:
         for part in text_slices(batch):
             yield part, list(shingle_sets(part.column("text").to_pylist()))
+    hold()
 
 
 def _identity(members: np.ndarray) -> tuple[int, int]:

@@ -34,7 +34,7 @@ from .phrases import CORE, WINDOW, Block
 #: Distinct phrases of one core that a task's suffix array takes: about 2 MB of bytes, whatever the corpus's size.
 HOT = 8192
 #: Texts that a task remembers, phrases that it counts at once, and bytes of phrases that a task sorts, about.
-MET, COUNTED, SORTED_BYTES = 200_000, 1_000_000, 4_000_000
+MET, COUNTED, SORTED_BYTES = 200_000, 500_000, 1_000_000
 
 
 def _i64(x: np.ndarray) -> np.ndarray:

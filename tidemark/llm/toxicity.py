@@ -42,7 +42,7 @@ SHORTEST, LONGEST = 3, 6
 PUNCTUATION = ".,;:!?\"'()[]{}<>-_*"
 #: Subwords without a score that every bag holds besides its own: a few words prove little.
 NEUTRAL = 500
-CACHE = 500_000
+CACHE = 150_000
 
 
 def subwords(word: str) -> list[int]:
@@ -196,6 +196,8 @@ def score_texts(docs: DataFrame, projected: np.ndarray, bias: float) -> DataFram
                     total = sum(map(known.__getitem__, set(text.lower().split())), 0j) if text else 0j
                     logits.append(bias + total.real / (total.imag + NEUTRAL) if total.imag else min(bias, -1.0))
                 yield with_columns(part, columns, score=pa.array(1 / (1 + np.exp(-np.clip(np.array(logits), -60, 60)))))
+        known.clear()
+        hold()
 
     return docs.mapInArrow(run, f"{schema_of(docs, *columns)}, score double")
 
