@@ -54,11 +54,11 @@ def strict_splits(spark: SparkSession, d: str) -> DataFrame:
     return S.read_splits_strict(spark, path)
 
 
-@query("src07_provider_bars", _BARS)
+@query("src07_provider_bars", M.with_views("bars") + "SELECT *, (high_px + low_px) / 2 AS vwap, CAST(volume AS BIGINT) AS trades FROM bars WHERE volume <> 7")
 def provider_bars(spark: SparkSession, d: str) -> DataFrame:
     """Bars as a provider's nested JSON, a document for each symbol and year, flattened again."""
     ms = F.unix_millis(F.col("bar_date").cast("timestamp"))
-    r = F.struct(F.col("open_px").alias("o"), F.col("high_px").alias("h"), F.col("low_px").alias("l"), F.col("close_px").alias("c"), F.col("volume").alias("v"), ms.alias("t"))
+    r = F.struct(F.col("open_px").alias("o"), F.col("high_px").alias("h"), F.col("low_px").alias("l"), F.col("close_px").alias("c"), F.col("volume").alias("v"), ((F.col("high_px") + F.col("low_px")) / 2).alias("vw"), F.when(F.col("volume") != 7, F.col("volume").cast("bigint")).alias("n"), ms.alias("t"))
     packed = M.bars(spark, d).groupBy("symbol", F.year("bar_date")).agg(F.to_json(F.struct(F.col("symbol").alias("ticker"), F.collect_list(r).alias("results"))).alias("value"))
     return S.provider_bars(packed)
 

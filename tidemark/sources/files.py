@@ -36,7 +36,9 @@ def read_json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a schema; lines that don't parse go, a missing path is an empty table."""
     try:
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -57,9 +59,9 @@ def read_splits_strict(spark: SparkSession, path: str) -> DataFrame:
 
 def provider_bars(raw: DataFrame, payload: Column | str = "value") -> DataFrame:
     """Bars from a provider's JSON with results[] of o, h, l, c, v and t in milliseconds; incomplete ones go."""
-    x = raw.select(F.from_json(payload, "ticker string, results array<struct<o: double, h: double, l: double, c: double, v: double, t: bigint>>").alias("p"))
+    x = raw.select(F.from_json(payload, "ticker string, results array<struct<o: double, h: double, l: double, c: double, v: double, vw: double, n: bigint, t: bigint>>").alias("p"))
     rows = x.select(F.col("p.ticker").alias("symbol"), F.explode("p.results").alias("r"))
-    named = rows.select("symbol", F.to_date(F.timestamp_millis("r.t")).alias("bar_date"), *[F.col(f"r.{a}").alias(b) for a, b in (("o", "open_px"), ("h", "high_px"), ("l", "low_px"), ("c", "close_px"), ("v", "volume"))])
+    named = rows.select("symbol", F.to_date(F.timestamp_millis("r.t")).alias("bar_date"), *[F.col(f"r.{a}").alias(b) for a, b in (("o", "open_px"), ("h", "high_px"), ("l", "low_px"), ("c", "close_px"), ("v", "volume"), ("vw", "vwap"), ("n", "trades"))])
     return named.na.drop()
 
 

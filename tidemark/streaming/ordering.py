@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "symbol string, type string, event_id long, sequence long, status string"
-STATE = "sequence long, event_id long"
+STATE = "sequence long, recent array<long>"
+#: Event ids of a key that are remembered, to tell a repeated one from a late one.
+RECENT = 64
 
 
 def classify_batch(ticks: DataFrame) -> DataFrame:
@@ -27,23 +29,29 @@ def classify_batch(ticks: DataFrame) -> DataFrame:
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["event_ts", "event_id"])
-    last, last_id = state.get if state.exists else (None, None)
-    found = []
-    for event_id, sequence in zip(rows["event_id"], rows["sequence"]):
-        if last is None:
-            status = "first"
-        elif sequence == last or event_id == last_id:
-            status = "duplicate"
-        elif sequence < last:
-            status = "late"
-        else:
-            status = "gap" if sequence > last + 1 else "ok"
-        if status in ("first", "ok", "gap"):
-            last, last_id = int(sequence), int(event_id)
-        found.append((key[0], key[1], int(event_id), int(sequence), status))
-    state.update((last, last_id))
-    yield pd.DataFrame(found, columns=["symbol", "type", "event_id", "sequence", "status"])
+    """Ticks of one key in order of (event_ts, event_id) within what a trigger brings, one Arrow batch at a time.
+
+    The input is sorted by time before it is grouped, so a key's batches arrive in order and none is held beside another.
+    """
+    last, recent = state.get if state.exists else (None, [])
+    recent = list(recent)
+    for rows in batches:
+        rows, found = rows.sort_values(["event_ts", "event_id"]), []
+        for event_id, sequence in zip(rows["event_id"].tolist(), rows["sequence"].tolist()):
+            if last is None:
+                status = "first"
+            elif sequence == last or event_id in recent:
+                status = "duplicate"
+            elif sequence < last:
+                status = "late"
+            else:
+                status = "gap" if sequence > last + 1 else "ok"
+            if status in ("first", "ok", "gap"):
+                last = sequence
+                recent = [*recent[-(RECENT - 1) :], event_id]
+            found.append((key[0], key[1], event_id, sequence, status))
+        yield pd.DataFrame(found, columns=["symbol", "type", "event_id", "sequence", "status"])
+    state.update((last, recent))
 
 
 def classify_stream(ticks: DataFrame) -> DataFrame:
@@ -51,6 +59,130 @@ def classify_stream(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol", "type").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def on_time(statuses: DataFrame) -> DataFrame:
+    """Ticks that count: late and repeated ones are dropped at once, whatever a watermark would still let in."""
+    return statuses.where(F.col("status").isin("first", "ok", "gap"))
+
+
+def queued_gaps(gaps: DataFrame, cooldown: str = "30 seconds") -> DataFrame:
+    """Symbols to be read again: at most one request for each symbol and ``cooldown``, at the first gap of a window.
+
+    Windows are of the cooldown's length and fixed in time, so a symbol waits less than two of them.
+    """
+    return gaps.groupBy("symbol", F.window("event_ts", cooldown).alias("w")).agg(F.min("event_ts").alias("first_gap"), F.count(F.lit(1)).alias("gaps")).select("symbol", "first_gap", "gaps")
+
+
+TRIGGER_OUT = "user_id long, symbol string, event_id long, fired boolean, reason string"
+TRIGGER_STATE = "price double, pending string, since double, fired_at double, fired_rule string"
+
+
+def trigger_steps(prices: Iterator[tuple[int, float, float | None, bool]], threshold: float, memory: tuple, hysteresis: float = 0.5, debounce: float = 60.0, cooldown: float = 900.0) -> tuple[list[tuple[int, bool, str]], tuple]:
+    """(event_id, fired, reason) of ticks (event_id, seconds, price, closes a bar) of one user and symbol, and the memory.
+
+    A rule has to hold for ``debounce`` seconds; it fires once per ``cooldown`` and not twice in a row.
+    """
+    last, pending, since, fired_at, fired_rule = memory
+    band, out = abs(threshold) * hysteresis / 100, []
+    for event_id, now, price, closes in prices:
+        rule = None
+        if closes:
+            rule = "bar_closed"
+        elif price is not None and price >= threshold + band and (pending == "price_crossed" or (last is not None and last < threshold - band)):
+            rule = "price_crossed"
+        last = price if price is not None else last
+        if rule is None:
+            pending = since = None
+            out.append((event_id, False, "no_boundary"))
+        elif pending != rule:
+            pending, since = rule, now
+            out.append((event_id, False, "debouncing"))
+        elif now - since < debounce:
+            out.append((event_id, False, "debouncing"))
+        elif fired_at is not None and now - fired_at < cooldown:
+            out.append((event_id, False, "cooldown"))
+        elif fired_rule == rule:
+            out.append((event_id, False, "duplicate"))
+        else:
+            fired_rule, fired_at, pending, since = rule, now, None, None
+            out.append((event_id, True, rule))
+    return out, (last, pending, since, fired_at, fired_rule)
+
+
+def alert_stream(ticks: DataFrame, ttl: str = "7 days", late: str = "1 day") -> DataFrame:
+    """Alerts of a stream of (user_id, symbol, event_id, event_ts, price, threshold, closes).
+
+    A memory ends when the watermark, ``late`` behind the newest tick, has passed its last tick by ``ttl``.
+    """
+    idle = int(pd.Timedelta(ttl).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        memory = state.get if state.exists else (None,) * 5
+        for rows in batches:
+            rows = rows.sort_values(["event_ts", "event_id"])
+            seconds = (rows["event_ts"] - pd.Timestamp(0)).dt.total_seconds()
+            prices = [None if pd.isna(p) else float(p) for p in rows["price"]]
+            out, memory = trigger_steps(zip(rows["event_id"].tolist(), seconds.tolist(), prices, rows["closes"].tolist()), float(rows["threshold"].iloc[0]), memory)
+            yield pd.DataFrame([(key[0], key[1], *x) for x in out], columns=["user_id", "symbol", "event_id", "fired", "reason"])
+        state.update(memory)
+        state.setTimeoutTimestamp(max(int(seconds.max() * 1000), state.getCurrentWatermarkMs()) + idle)
+
+    watched = ticks.withWatermark("event_ts", late).groupBy("user_id", "symbol")
+    return watched.applyInPandasWithState(step, TRIGGER_OUT, TRIGGER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+FRAME = "ev string, sym string, e long, t long, q long, i string, o double, h double, l double, c double, v double, p double, s double, bp double, ap double, status string, message string"
+
+
+def parsed_frames(raw: DataFrame, payload: str = "value") -> DataFrame:
+    """Typed events of raw frames, each a JSON object or an array of them: kind event, status or bad.
+
+    Times are milliseconds for bars (A, AM) and nanoseconds for quotes and trades; flags name what is missing. Works on
+    streams as on tables.
+    """
+    text = F.trim(F.col(payload))
+    array = F.when(F.startswith(text, F.lit("[")), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    items = raw.withColumn("_items", F.from_json(array, f"array<struct<{', '.join(f'{n}: {t}' for n, t in (x.split(' ') for x in FRAME.split(', ')))}>>"))
+    x = items.select(*[c for c in raw.columns if c != payload], F.explode_outer("_items").alias("x"))
+    kind, at = F.upper("x.ev"), F.when(F.upper("x.ev").isin("A", "AM"), F.col("x.e") * 1000).otherwise(F.floor(F.col("x.t") / 1000))
+    symbol = F.upper(F.trim("x.sym"))
+    good = kind.isin("A", "AM", "Q", "T") & (symbol != "") & (symbol != "*") & (at > 0)
+    flags = F.array_compact(F.array(
+        F.when(kind.isin("A", "AM") & F.expr("x.o is null or x.h is null or x.l is null or x.c is null or x.v is null"), "partial_aggregate"),
+        F.when((kind == "Q") & (F.col("x.ap") < F.col("x.bp")), "crossed_market"), F.when((kind == "Q") & F.expr("x.bp is null or x.ap is null"), "incomplete_nbbo"), F.when((kind == "T") & F.col("x.p").isNull(), "missing_trade_price"),
+    ))
+    price = F.when(kind == "T", F.col("x.p")).when(kind == "Q", F.when(F.col("x.ap") >= F.col("x.bp"), (F.col("x.bp") + F.col("x.ap")) / 2)).otherwise(F.col("x.c"))
+    return x.select(
+        *[c for c in raw.columns if c != payload], F.when(kind == "STATUS", "status").when(F.coalesce(good, F.lit(False)), "event").otherwise("bad").alias("kind"), kind.alias("event_type"), symbol.alias("symbol"),
+        F.timestamp_micros(at).alias("event_ts"), F.col("x.q").alias("sequence"), price.alias("price"), F.concat_ws(",", flags).alias("flags"),
+    )
+
+
+#: Bids are p and asks P, which are one name to Spark, so a quote is read as a map.
+SNAPSHOT = "ticker struct<lastQuote: map<string, double>, lastTrade: struct<p: double, t: bigint, i: string>, min: struct<c: double, t: bigint>, day: struct<c: double>, prevDay: struct<c: double>, todaysChangePerc: double>"
+
+
+def flat_quotes(raw: DataFrame, payload: str = "value", received: str = "received", limit: float = 15) -> DataFrame:
+    """One flat quote for each nested snapshot: the first fresh of trade, midpoint and minute, else a stale one, flagged."""
+    x = raw.withColumn("x", F.from_json(payload, SNAPSHOT, {"mode": "PERMISSIVE"}).getField("ticker"))
+    quote = lambda k: F.try_element_at("x.lastQuote", F.lit(k))
+    bid, ask, quoted = quote("p"), quote("P"), quote("t") / 1e9
+    midpoint = F.when((bid > 0) & (ask >= bid), (bid + ask) / 2)
+    seconds = lambda c: F.col(c) / 1e9
+    offers = [("last_trade", F.col("x.lastTrade.p"), seconds("x.lastTrade.t")), ("nbbo_midpoint", midpoint, quoted), ("minute_close", F.col("x.min.c"), F.col("x.min.t") / 1e3), ("day_close", F.col("x.day.c"), F.lit(None).cast("double"))]
+    offer = lambda name, price, ok: F.when((price > 0) & ok, F.struct(F.lit(name).alias("source"), price.alias("price")))
+    fresh = F.coalesce(*[offer(n, p, t.isNull() | (F.col(received) - t <= limit)) for n, p, t in offers[:3]])
+    stale = F.coalesce(*[offer(n, p, F.lit(True)) for n, p, _ in offers])
+    newest = F.greatest(seconds("x.lastTrade.t"), quoted, F.col("x.min.t") / 1e3)
+    picked = F.coalesce(fresh, stale)
+    flags = F.array_compact(F.array(F.when(newest.isNull(), "missing_event_timestamp"), F.when(ask < bid, "crossed_market"), F.when(bid.isNull() | ask.isNull(), "incomplete_nbbo"), F.when(fresh.isNull() & stale.isNotNull(), "stale_price_fallback")))
+    previous = F.col("x.prevDay.c")
+    change = F.when(previous > 0, (picked["price"] - previous) / previous * 100).otherwise(F.col("x.todaysChangePerc"))
+    return x.select(*[c for c in raw.columns if c not in (payload, received)], bid.alias("bid"), ask.alias("ask"), midpoint.alias("midpoint"), picked["source"].alias("price_source"), picked["price"].alias("price"), (F.col(received) - newest).alias("age"), change.alias("change_percent"), F.concat_ws(",", flags).alias("flags"))
+
+
 def latest_values(ticks: DataFrame) -> DataFrame:
     """The newest tick of each (symbol, type)."""
     newest = F.max_by(F.struct("event_ts", "price", "sequence"), F.struct("event_ts", "event_id"))
