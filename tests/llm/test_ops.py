@@ -320,6 +320,97 @@ def test_wrapper_has_groups_and_slots():
     assert '"+"' in wrapper and '"?"' in wrapper and '"#"' in wrapper
 
 
+CHANGES = "op string, source string, lang string, tokenizer string, tokens long, old_tokenizer string, old_tokens long"
+
+
+def test_rollup_counts_a_batch_once_whoever_commits_it(spark, tmp_path):
+    path = str(tmp_path / "r")
+    rollup = token_counts.Rollup(spark, path)
+    assert rollup.totals().count() == 0 and not rollup.committed("a")
+    rows = spark.createDataFrame([("insert", "s", "en", "t", 5, None, None), ("insert", "s", "en", "t", 7, None, None), ("delete", "s", "en", "t", 5, None, None)], CHANGES)
+    sums = spark.createDataFrame([("s", "en", "t", 1, 7)], "source string, lang string, tokenizer string, documents long, tokens long")
+    # A writer that broke off before its record leaves a folder that nobody counts; two that commit at once count as one.
+    sums.write.parquet(f"{path}/data-broken")
+    assert rollup.apply("a", rows) and not rollup.apply("a", rows)
+    rollup._commit("a", sums, [])
+    assert [(r["documents"], r["tokens"]) for r in rollup.totals().collect()] == [(1, 7)]
+    rollup.apply("b", rows)
+    rollup.compact(["a", "b"], "ab")
+    rollup.compact(["a", "b"], "ab")
+    assert [(r["documents"], r["tokens"]) for r in rollup.totals().collect()] == [(2, 14)]
+
+
+def test_ids_above_2_to_the_53_beside_nulls(spark):
+    ids = [2**53 + 1, 2**53 + 3, None, -(2**62) - 1]
+    text = "some words of a text that is long enough to hold a few shingles in it"
+    df = spark.createDataFrame([(i, f"{text} {k}" if k else text) for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(ids[0], 1), (ids[1], 0)], "doc_id long, toxic int")
+    for out in (bpe.bpe_round_trip(df, BYTE), suffix_dedup.remove_repeats(df), packing.pack_documents(df, WORD), toxicity.toxicity(df, labels), jaccard_join.jaccard_components(df), sharding.shard_documents(df, 8)):
+        assert {r["doc_id"] for r in out.select("doc_id").collect()} == set(ids)
+    pages = df.select(df["doc_id"].alias("page_id"), F.lit("http://a.b/").alias("url"), df["text"].alias("html"))
+    assert {r["page_id"] for r in html_extract.extract(pages).collect()} == set(ids)
+    examples = spark.createDataFrame([(i, 10, 5) for i in ids], "example_id long, tokens long, loss_tokens long").coalesce(1)
+    assert {r["example_id"] for r in packing.pack_examples(examples).collect()} == set(ids)
+
+
+def test_toxicity_vectors_have_rank_and_know_misspellings(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(800):
+        t = words(rng, rng.randint(30, 80)).split()
+        if i % 3 == 0:
+            for _ in range(3):
+                t.insert(rng.randrange(len(t)), rng.choice(["scummiest", "rottenly", "vilenesses"]))
+        rows.append((i, " ".join(t)))
+        labels.append(int(i % 3 == 0))
+    bags, y = [toxicity.bag(t) for _, t in rows], np.array(labels)
+    vectors, weights, _ = toxicity.train_vectors(bags, y)
+    held = vectors[np.abs(vectors).sum(axis=1) > 0]
+    assert np.linalg.matrix_rank(held, tol=1e-2) > 1 and np.linalg.matrix_rank(weights) > 1
+    projected, bias = toxicity.train(bags, y)
+    score = lambda t: bias + sum(projected[k] @ v for k, v in [toxicity.shares(toxicity.bag(t))])
+    clean = [words(rng, 50) for _ in range(40)]
+    assert np.mean([score(t) < 0 for t in clean]) > 0.9
+    # None of these spellings was seen; they share n-grams with words that were.
+    assert np.mean([score(t + " sccummiest rotttenly vileneses scummmiest") > 0 for t in clean]) > 0.9
+
+
+def test_html_long_unbalanced_pages_and_joined_class_words(spark):
+    long = "<div class='a'><p title=\"open>text " * 120_000
+    rows = [(1, "http://x.y/1", long), (2, "http://x.y/2", "<article><div class='side-by-side'>one</div><p class='alert-level'>two</p><section class='search-results-study'>three</section><div class='site-footer'>no</div></article>")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "one\n\ntwo\n\nthree" and got[1]
+
+
+def test_jaccard_large_bundles_in_blocks(spark, monkeypatch):
+    """Near copies in blocks of few, so that both passes over blocks take part."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "COMMON", 2)
+    monkeypatch.setattr(jaccard_join, "SPARE", 10_000)
+    rng = random.Random(11)
+    bases = [words(rng, 60).split() for _ in range(3)]
+    rows = []
+    for k in range(90):
+        t = list(bases[k % 3])
+        t[rng.randrange(60)] = f"w{k}"
+        rows.append((k, " ".join(bases[(k + 1) % 3][:12] + t) if k % 5 == 0 else " ".join(t)))
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for _, t in rows]
+    label = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, z = label[a], label[b]
+            label = [min(x, z) if v in (x, z) else v for v in label]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == dict(enumerate(label))
+
+
+def test_one_of_each_group_whatever_its_doc_id(spark):
+    base = " ".join(f"word{k}" for k in range(30))
+    rows = [(7, base, "x"), (7, "quite another text of the same id and more words", "y"), (None, base, "z"), (None, "a lone text without an id at all here", "u"), (3, base + " tail", "v"), (9, None, "n"), (9, "", "e")]
+    got = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r["source"] for r in got) == ["e", "n", "u", "v", "y"]
+
+
 def test_token_counts(docs, empty, tmp_path):
     library = Tokenizer.from_file(WORD)
     want = collections.Counter()
@@ -336,7 +427,9 @@ def test_token_counts(docs, empty, tmp_path):
     rollup = token_counts.Rollup(docs.sparkSession, str(tmp_path / "r"))
     assert rollup.committed("1") and not rollup.committed("9")
     rollup.compact(["1", "2", "3"], "all")
-    assert sorted(map(tuple, rollup.totals(["all"]).collect()), key=str) == sorted(map(tuple, got), key=str)
+    for all_ in (rollup.totals(["all"]), rollup.totals()):
+        assert sorted(map(tuple, all_.collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert not rollup.apply("1", docs.sparkSession.createDataFrame([("insert", "s", "en", "t", 5, None, None)], CHANGES)) and rollup.committed("2")
     assert token_counts.token_counts(empty, WORD, path=str(tmp_path / "e")).count() == 0
 
 

@@ -1,9 +1,9 @@
 """Token counts by source, language and tokenizer version, kept up by signed deltas.
 
-A batch of changes (inserts, deletes, revised counts) becomes signed sums for each group and is committed as one
-folder of the rollup. A batch that is committed already is left alone, so repeats and retries change nothing;
-one that broke off has no mark of success and is written anew. Totals are the sums over all committed batches;
-``compact`` folds many batches into one.
+A batch of changes (inserts, deletes, revised counts) becomes signed sums for each group, written to a folder of its own
+and committed by one record. A batch that is committed already is left alone, so repeats and retries change nothing;
+one that broke off has no record and is written anew. Totals are the sums over all committed batches; ``compact`` folds
+many batches into one that takes their place.
 
 Edge cases: null sources and languages are groups of their own; null and empty texts count one document and no
 tokens; a null text is no copy of another; equal rows are documents of their own; groups without documents
@@ -15,30 +15,59 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import word_tokens
-from .common import ensure_checkpoint_dir, table, written
+from .common import ensure_checkpoint_dir, schema_of, table, text_slices, with_columns, written
 
 GROUP = ["source", "lang", "tokenizer"]
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
 
 
 class Rollup:
-    """A folder with one sub-folder of signed sums for each committed batch."""
+    """Folders of signed sums, and commits that say which folder holds which batch.
+
+    A batch's sums are written to a folder of their own first; one record then commits it. Of several records of one
+    batch (two writers at once, or a retry) the one of the least folder name counts, for every reader alike, so a batch
+    counts once. A commit may take the place of others (``compact``), which readers leave out from then on.
+    """
+
+    COMMIT = "batch string, folder string, checksum long, replaces array<string>"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+    def commits(self) -> DataFrame:
+        """batch, folder, checksum and replaces of every batch that counts."""
+        try:
+            records = self.spark.read.schema(self.COMMIT).parquet(f"{self.path}/commits")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.COMMIT)
+        one = records.groupBy("batch").agg(F.min(F.struct("folder", "checksum", "replaces")).alias("c")).select("batch", "c.*")
+        gone = one.select(F.explode("replaces").alias("batch")).distinct()
+        return one.join(F.broadcast(gone), "batch", "left_anti")  # names of batches
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self.path}/batch={batch}/_SUCCESS")
+        """Whether the batch counts, by itself or in a batch that took its place."""
+        try:
+            records = self.spark.read.schema(self.COMMIT).parquet(f"{self.path}/commits")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return not records.where(F.col("batch") == batch).isEmpty()
+
+    def _commit(self, batch: str, sums: DataFrame, replaces: list[str]) -> None:
+        folder = f"data-{uuid.uuid4().hex}"
+        sums.coalesce(1).write.parquet(f"{self.path}/{folder}")
+        held = self.spark.read.schema(sums.schema).parquet(f"{self.path}/{folder}")
+        checksum = held.agg(F.coalesce(F.bit_xor(F.xxhash64(*held.columns)), F.lit(0)).alias("x")).first()["x"]
+        self.spark.createDataFrame([(batch, folder, checksum, replaces)], self.COMMIT).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit ``changes`` (op, source, lang, tokenizer, tokens, old_tokenizer, old_tokens) once; False if it was there.
@@ -50,39 +79,41 @@ class Rollup:
         signed = changes.select("source", "lang", F.explode(F.when(F.col("op") == INSERT, F.array(self._entry("tokenizer", "tokens", 1)))
             .when(F.col("op") == DELETE, F.array(self._entry("tokenizer", "tokens", -1)))
             .when(F.col("op") == REVISE, F.array(self._entry("old_tokenizer", "old_tokens", -1), self._entry("tokenizer", "tokens", 1)))).alias("e")).select("source", "lang", "e.*")
-        sums = signed.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        self._commit(batch, signed.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")), [])
         return True
 
     @staticmethod
     def _entry(tokenizer: str, tokens: str, sign: int):
         return F.struct(F.col(tokenizer).alias("tokenizer"), F.lit(sign).cast("long").alias("documents"), (F.coalesce(F.col(tokens), F.lit(0)) * sign).cast("long").alias("tokens"))
 
-    def totals(self, batches: list[str]) -> DataFrame:
-        """source, lang, tokenizer, documents, tokens over ``batches``."""
-        parts = self.spark.read.parquet(*(f"{self.path}/batch={b}" for b in batches))
+    def totals(self, batches: list[str] | None = None) -> DataFrame:
+        """source, lang, tokenizer, documents, tokens over ``batches``, or over all that count."""
+        found = self.commits() if batches is None else self.commits().where(F.col("batch").isin(batches))
+        folders = [r["folder"] for r in found.select("folder").collect()]
+        schema = "source string, lang string, tokenizer string, documents long, tokens long"
+        parts = self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], schema)
         out = parts.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return out.where("documents <> 0 or tokens <> 0")
 
     def compact(self, batches: list[str], into: str) -> None:
-        """Commit the sums over ``batches`` as the batch ``into``, which readers then name in their place."""
+        """Commit the sums over ``batches`` as the batch ``into``, which takes their place."""
         if not self.committed(into):
-            self.totals(batches).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={into}")
+            self._commit(into, self.totals(batches), batches)
 
 
 def counted(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, source, lang, text_hash and tokens of every whole text."""
-    shape = "doc_id long, source string, lang string, text_hash long, n_bytes int, tokens long"
+    kept = ["doc_id", "source", "lang", "text_hash", "n_bytes"]
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens.load(vocabulary)
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            sizes = [len(p) // 4 for block in word_tokens.text_blocks(texts) for p in encoder.encode_packed(texts[block])]
-            yield batch.drop(columns="text").assign(tokens=sizes)
+            for part in text_slices(batch):
+                packed = encoder.encode_packed([t or "" for t in part.column("text").to_pylist()])
+                yield with_columns(part, kept, tokens=pa.array([len(p) // 4 for p in packed], pa.int64()))
 
     hashed = docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("n_bytes"), "text")
-    return hashed.mapInPandas(run, shape)
+    return hashed.mapInArrow(run, f"{schema_of(hashed, *kept)}, tokens long")
 
 
 def token_counts(docs: DataFrame, vocabulary: str, name: str = "word_bpe_49k", path: str | None = None, all_inserts: bool = False) -> DataFrame:
