@@ -25,15 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (local tests)."""
+    """The shared folder that the cluster names; a temporary one only where none is set and one machine does all."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if named is None and current.isDefined():
-        return current.get()
-    if not current.isDefined():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getCheckpointDir()
+    return named
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
