@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..functions import decisions as D
 from ..functions import windows as W
 from ..operators import evaluation as E
 from ..sources import market as M
+from ..sources.files import work_folder
 from ..streaming import ordering as S
 from .evaluation_queries import _SCORED, scored
 from .registry import query
@@ -19,7 +18,7 @@ from .window_queries import _W, _f, _with_returns
 
 
 def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return work_folder(spark)
 
 
 _SIG = M.with_views("bars", more=f"""r AS (SELECT *, close_px / lag(close_px) OVER w - 1 AS ret, close_px - lag(close_px) OVER w AS delta FROM bars {_W}),

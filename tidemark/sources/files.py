@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,17 @@ DECISION = "seq long, ts long, symbol string, endpoint string, decision_source s
 SPLIT = "ticker string, execution_date date, adjustment_type string, split_from double, split_to double, id string"
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names for intermediate tables; a temporary one only on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+    return named
+
+
 def read_bar_files(spark: SparkSession, path: str, symbols: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Bars from JSON lines or CSV under ``path`` (gzip as well, files with a leading _ are skipped).
 
