@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, hold, table, text_slices, with_columns, written
+from .common import SLICE, hold, table, text_slices, tidy, with_columns, written
 from .components import connected_components, forest
 from .shingles import mix, shingle_sets
 
@@ -50,7 +50,7 @@ COMMON = 24
 #: Nodes in a block of a bundle, and shingles of all of them together, at most.
 BLOCK, BLOCK_SHINGLES = 256, 250_000
 #: Shingles that a task of a bundle's comparison, a bucket of keys and a block of keys hold, about.
-TASK_SHINGLES, BUCKET_SHINGLES, HELD_KEYS = 1_000_000, 500_000, 1_000_000
+TASK_SHINGLES, BUCKET_SHINGLES, HELD_KEYS = 500_000, 500_000, 500_000
 #: Shingles of a set for each key that it may leave out.
 SPARE = 12
 _U = np.uint64
@@ -123,7 +123,6 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
     for batch in batches:
         for part in text_slices(batch):
             yield part, list(shingle_sets(part.column("text").to_pylist()))
-    hold()
 
 
 def _identity(members: np.ndarray) -> tuple[int, int]:
@@ -139,7 +138,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             sketches = pa.array([short_sketch(s) for s in sets], pa.binary())
             yield with_columns(part, ["ref", "doc_id"], sum=pa.array(same[:, 0]), check=pa.array(same[:, 1]), size=pa.array([len(s) for s in sets], pa.int64()), sketch=sketches)
 
-    return docs.mapInArrow(run, "ref long, doc_id long, sum long, check long, size long, sketch binary")
+    return docs.mapInArrow(tidy(run), "ref long, doc_id long, sum long, check long, size long, sketch binary")
 
 
 def _blob(keys: np.ndarray, rest: list[np.ndarray]) -> bytes:
@@ -238,9 +237,10 @@ def met_in_keys(docs: DataFrame, buckets: int) -> DataFrame:
             a.append(centre[pick])
             b.append(refs[pick])
         k, a, b = map(np.concatenate, (k, a, b))
+        hold()
         return pd.DataFrame({"key": k, "a": a, "b": b}).drop_duplicates()
 
-    sent = docs.mapInArrow(send, "bucket int, block long, keys binary, near binary")
+    sent = docs.mapInArrow(tidy(send), "bucket int, block long, keys binary, near binary")
     return sent.groupBy("bucket").applyInPandas(meet, "key long, a long, b long")
 
 
@@ -266,8 +266,8 @@ def node_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 members = pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("node"), members], ["node", "members"])
 
-    found = docs.select("ref", "text").mapInArrow(squeeze, "node long, packed binary").join(wanted, "node")
-    return found.mapInArrow(to_sets, "node long, members binary")
+    found = docs.select("ref", "text").mapInArrow(tidy(squeeze), "node long, packed binary").join(wanted, "node")
+    return found.mapInArrow(tidy(to_sets), "node long, members binary")
 
 
 def links_between(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -307,6 +307,7 @@ def _compared(dealt: DataFrame, members: DataFrame) -> DataFrame:
             if len(i):
                 node, label = g["node"].to_numpy(), forest(len(g), i, j)
                 out.append(pd.DataFrame({"a": node, "b": node[label]})[label != np.arange(len(g))])
+        hold()
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
 
     return sets.groupBy("task").applyInPandas(compare, "a long, b long")
@@ -372,7 +373,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") * DENOMINATOR >= F.greatest("size_a", "size_b") * NUMERATOR)
-    return sized.mapInArrow(near, "a long, b long")
+    return sized.mapInArrow(tidy(near), "a long, b long")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -394,7 +395,7 @@ def verified(close: DataFrame, members: DataFrame) -> DataFrame:
                     keep.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return close.join(held("a"), "a").join(held("b"), "b").mapInArrow(link, "a long, b long")
+    return close.join(held("a"), "a").join(held("b"), "b").mapInArrow(tidy(link), "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:

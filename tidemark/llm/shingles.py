@@ -32,7 +32,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 20)
+            n = max(n, 1 << 19)
             one = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]))
             self.up, self.down = one(_U(_BASE)), one(_U(_INVERSE))
         return self.up, self.down

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, hold, schema_of, table, text_slices, with_columns, written
+from .common import SLICE, hold, schema_of, table, text_slices, tidy, with_columns, written
 from .phrases import CORE, WINDOW, Block
 
 #: Distinct phrases of one core that a task's suffix array takes: about 2 MB of bytes, whatever the corpus's size.
@@ -103,7 +103,7 @@ def _squeezer(columns: list[str]):
                 packed = pa.array([packer.compress((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())
                 yield with_columns(part, columns, packed=packed)
 
-    return run
+    return tidy(run)
 
 
 def suffix_ranks(raw: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -157,7 +157,7 @@ def repeated_windows(bytes_: list[bytes], cores: np.ndarray, times: np.ndarray)
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """text_hash, first, last: starts of repeated windows, as runs, of the texts of ``docs`` (text, text_hash)."""
     shape = "core long, phrase long, text_hash long, at int, width short"
-    counted = docs.mapInArrow(_counted, "core long, phrase long, times long").repartition("core")
+    counted = docs.mapInArrow(tidy(_counted), "core long, phrase long, times long").repartition("core")
     dictionary = counted.groupBy("core", "phrase").agg(F.sum("times").alias("times"))
     of_core = Window.partitionBy("core")
     dictionary = dictionary.withColumns({"all": F.sum("times").over(of_core), "phrases": F.count(F.lit(1)).over(of_core), "least": F.min("times").over(of_core)})
@@ -166,7 +166,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     dictionary = written(dictionary, "suffix-dictionary")
 
     # Equal texts of several tasks stay in here; what they give is made distinct where it is gathered by text.
-    met = written(docs.mapInArrow(_placed, shape).join(dictionary, ["core", "phrase"]), "suffix-met")
+    met = written(docs.mapInArrow(tidy(_placed), shape).join(dictionary, ["core", "phrase"]), "suffix-met")
     whole = met.where("times >= 2").select("text_hash", F.col("at").alias("first"), (F.col("at") + F.col("width") - 1).alias("last"))
 
     # The bytes of each phrase that needs its suffixes sorted, from one of its occurrences.
@@ -183,7 +183,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 out += [(h, c["core"], c["at"], c["times"], c["phrases"], text[c["at"] : c["at"] + c["width"] - 1 + WINDOW]) for c in cuts]
             yield pd.DataFrame(out, columns=["text_hash", "core", "at", "times", "phrases", "bytes"])
 
-    phrases = texts.mapInPandas(cut, "text_hash long, core long, at int, times long, phrases long, bytes binary")
+    phrases = texts.mapInPandas(tidy(cut), "text_hash long, core long, at int, times long, phrases long, bytes binary")
     phrases = written(phrases.dropDuplicates(["text_hash", "at"]), "suffix-phrases")
     span = "text_hash long, first int, last int"
     volume = phrases.where(F.col("phrases") <= HOT).agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
@@ -195,6 +195,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         for h, at, times, flags in zip(pdf["text_hash"], pdf["at"], pdf["times"], again):
             if times == 1:
                 out += [(h, at + a, at + b - 1) for a, b in zip(*_runs(flags))]
+        hold()
         return pd.DataFrame(out, columns=["text_hash", "first", "last"])
 
     sorted_ = phrases.where(F.col("phrases") <= HOT).withColumn("bucket", F.pmod(F.xxhash64("core"), F.lit(groups))).groupBy("bucket").applyInPandas(settle, span)
@@ -210,7 +211,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 out = batch[["text_hash", "times"]].iloc[owner].reset_index(drop=True)
                 yield out.assign(at=batch["at"].to_numpy()[owner] + start, one=_i64(block.hashes(place, place + WINDOW, 0)), two=_i64(block.hashes(place, place + WINDOW, 1)))
 
-    hot = phrases.where(F.col("phrases") > HOT).mapInPandas(windows, "text_hash long, times long, at int, one long, two long")
+    hot = phrases.where(F.col("phrases") > HOT).mapInPandas(tidy(windows), "text_hash long, times long, at int, one long, two long")
     twice = hot.groupBy("one", "two").agg(F.sum("times").alias("n")).where("n >= 2").select("one", "two")
     counted_hot = hot.where("times = 1").join(twice, ["one", "two"], "left_semi").select("text_hash", F.col("at").alias("first"), F.col("at").alias("last"))
     return whole.unionByName(sorted_).unionByName(counted_hot)
@@ -250,7 +251,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, keep: list[str] | N
                     rows.append((*row, left.decode("utf-8", "replace")) if with_text else row)
                 yield with_columns(part, kept, **{c: pa.array(v, t) for (c, t), v in zip(new.items(), zip(*rows))})
 
-    return squeezed.join(spans, "text_hash", "left").mapInArrow(remove, out_shape)
+    return squeezed.join(spans, "text_hash", "left").mapInArrow(tidy(remove), out_shape)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
