@@ -101,3 +101,25 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
 def last_bars(rows: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy(F.desc("bar_date"))
     return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+
+
+def read_one_lineage(spark: SparkSession, path: str, schema: str, lineage: list[str]) -> DataFrame:
+    """JSON lines of one lineage: each of these columns has one value in all rows, anything else is an error."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    found = rows.agg(*[F.count_distinct(c).alias(f"n_{c}") for c in lineage], *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"null_{c}") for c in lineage]).first()
+    wrong = [c for c in lineage if found[f"n_{c}"] != 1 or found[f"null_{c}"]]
+    if wrong:
+        raise ValueError(f"not of one lineage: {', '.join(wrong)}")
+    return rows
+
+
+def land(rows: DataFrame, root: str, prefix: str, day: str) -> str:
+    """Write ``rows`` into a dated folder that nothing may overwrite; returns the folder."""
+    at = f"{root.rstrip('/')}/{'/'.join(p for p in prefix.split('/') if p not in ('', '.', '..'))}/ingest_date={day}"
+    try:
+        rows.write.mode("errorifexists").parquet(at)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_ALREADY_EXISTS":
+            raise ValueError(f"{at} is there already") from e
+        raise
+    return at
