@@ -90,3 +90,9 @@ def ledger(trades: Column) -> Column:
         return F.struct(F.greatest(F.lit(0.0), acc["held"] + n).alias("held"), bought.alias("cost"), (acc["realised"] + gain).alias("realised"))
 
     return F.aggregate(trades, start, step)
+
+
+def scored_call(probability: Column) -> tuple[Column, Column, Column]:
+    """(call, confidence from 0 to 1, whether the probability was missing and counts as one half)."""
+    p = F.coalesce(probability, F.lit(0.5))
+    return F.when(p >= 0.75, "STRONG BUY").when(p >= 0.55, "BUY").otherwise("HOLD OFF FOR NOW"), F.abs(p - 0.5) * 2, probability.isNull()
