@@ -42,7 +42,7 @@ SHORTEST, LONGEST = 3, 6
 PUNCTUATION = ".,;:!?\"'()[]{}<>-_*"
 #: Subwords without a score that every bag holds besides its own: a few words prove little.
 NEUTRAL = 500
-CACHE = 150_000
+CACHE = 250_000
 
 
 def subwords(word: str) -> list[int]:
@@ -168,11 +168,11 @@ class _Scores(dict):
     """Word to (sum of projected scores, number of subwords), as one complex number."""
 
     def __init__(self, projected: np.ndarray):
-        self.projected = projected
+        self.projected = projected.tolist()
 
     def __missing__(self, word: str) -> complex:
         buckets = subwords(word)
-        value = complex(float(self.projected[buckets].sum()) if buckets else 0.0, len(buckets))
+        value = complex(sum(map(self.projected.__getitem__, buckets)), len(buckets))
         if len(word) <= 64:
             if len(self) >= CACHE:
                 self.clear()
