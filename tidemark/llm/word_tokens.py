@@ -14,7 +14,7 @@ import numpy as np
 from .common import hold
 
 #: Chunks kept in each of two generations.
-CACHE = 1_000_000
+CACHE = 700_000
 
 
 class WordTokens:
