@@ -150,7 +150,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, with_ids:
         number, id_type = 0, pa.int64()
         for batch in batches:
             id_type = batch.column("doc_id").type
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=2_000_000):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc, packed in zip(part.column("doc_id").to_pylist(), encoder.encode_packed(texts)):
                     packed += end

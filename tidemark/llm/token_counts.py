@@ -108,7 +108,7 @@ def counted(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens.load(vocabulary)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=2_000_000):
                 packed = encoder.encode_packed([t or "" for t in part.column("text").to_pylist()])
                 yield with_columns(part, kept, tokens=pa.array([len(p) // 4 for p in packed], pa.int64()))
 
