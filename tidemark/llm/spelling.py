@@ -148,17 +148,18 @@ def near_by_tries(words: DataFrame) -> DataFrame:
 
 @tidy
 def _without_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each long word the hash of it without a letter, for every run of equal letters, and of the whole."""
+    """A long word's keys: without a letter, with its place; the same for each run of equal letters, at -1; whole, at -2."""
     for batch in batches:
         for id_, word in zip(batch.column("id").to_pylist(), batch.column("word").to_pylist()):
             values = _VALUES[np.frombuffer(word.encode("latin-1"), np.uint8)]
             power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(word), _BASE)]))
             before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[:-1])])
-            last = np.flatnonzero(np.append(values[1:] != values[:-1], True))
             # Letters behind the one that is left out move up by one place.
-            short = before[last] * _BASE + (before[-1] - before[last + 1])
-            key = np.concatenate([mix(short), mix(before[-1:] * _BASE)]).view(np.int64)
-            at = np.append(last, -1)
+            short = before[:-1] * _BASE + (before[-1] - before[1:])
+            place = np.arange(len(word))
+            last = np.append(values[1:] != values[:-1], True)
+            key = np.concatenate([mix(short + mix(place.astype(np.uint64))), mix(short[last]), mix(before[-1:] * _BASE)]).view(np.int64)
+            at = np.concatenate([place, np.full(last.sum(), -1), [-2]])
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(at), pa.array(np.full(len(key), id_))], ["key", "at", "id"])
 
 
@@ -168,7 +169,7 @@ def near_by_keys(words: DataFrame) -> DataFrame:
     keys = written(long.select("id", "word").mapInArrow(_without_one, "key long, at long, id long"), "spelling-keys")
     a, b = (keys.select(F.col("id").alias(s), "key", F.col("at").alias(f"at_{s}")) for s in "ab")
     same_place = (F.col("at_a") == F.col("at_b")) & (F.col("at_a") >= 0) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, "key").where(same_place | ((F.col("at_a") >= 0) & (F.col("at_b") < 0))).select("a", "b").distinct()
+    pairs = a.join(b, "key").where(same_place | ((F.col("at_a") == -1) & (F.col("at_b") == -2))).select("a", "b").distinct()
     named = lambda s: long.select(F.col("id").alias(s), F.col("word").alias(f"word_{s}"), F.col("n").alias(f"n_{s}"))
     found = pairs.join(named("a"), "a").join(named("b"), "b").where("greatest(length(word_a), length(word_b)) > " + str(LONG))
     return found.select(F.col("word_a").alias("a"), "n_a", F.col("word_b").alias("b"), "n_b").where(F.levenshtein("a", "b", 1) == 1)
