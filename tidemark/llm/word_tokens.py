@@ -1,20 +1,24 @@
 """Token ids of whole texts by a word-level BPE vocabulary of the tokenizers library, remembered by word.
 
 White space never lies inside a token of such a vocabulary, so a text's ids are those of its space-separated
-chunks, one after another. Chunks seen before come from a bounded memory; new ones go to the library in batches.
+chunks, one after another. Chunks seen before come from a memory of bounded bytes; new ones go to the library in
+batches. Long chunks are never remembered, so texts without spaces leave nothing behind.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
+import sys
 from collections.abc import Iterable
 
 import numpy as np
 
 from .common import hold
 
-#: Chunks kept in each of two generations.
-CACHE = 700_000
+#: Bytes of chunks with their ids in each of two generations, the entry in the dictionary included, and the longest
+#: chunk that is kept.
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 150_000_000, 100, 64
 
 
 class WordTokens:
@@ -32,6 +36,7 @@ class WordTokens:
         self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.young_bytes = 0
         self.marks = {c: self._whole(c) for c in ",."}
 
     def _whole(self, text: str) -> bytes:
@@ -88,16 +93,24 @@ class WordTokens:
             young[c] = young[c[:-1]] + self.marks[c[-1]]
 
     def encode_packed(self, texts: Iterable[str]) -> list[bytes]:
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
         split = [self._chunks(t) for t in texts]
         missing: set[str] = set()
         for chunks in split:
             if chunks is not None:
                 missing.update(chunks)
-        self._learn(missing - self.young.keys())
-        get = self.young.__getitem__
-        return [b"".join(map(get, chunks)) if chunks is not None else self._whole(t) for t, chunks in zip(texts, split)]
+        young = self.young
+        before = len(young)
+        self._learn(missing - young.keys())
+        get = young.__getitem__
+        out = [b"".join(map(get, chunks)) if chunks is not None else self._whole(t) for t, chunks in zip(texts, split)]
+        for c in list(itertools.islice(young, before, None)):
+            if len(c) > LONGEST:
+                del young[c]
+            else:
+                self.young_bytes += sys.getsizeof(c) + sys.getsizeof(young[c]) + ENTRY_BYTES
+        if self.young_bytes > CACHE_BYTES:
+            self.old, self.young, self.young_bytes = young, {}, 0
+        return out
 
 
 def load(path: str) -> WordTokens:
