@@ -130,7 +130,8 @@ _TICK_STATUS = M.with_views("ticks", more="l AS (SELECT *, lag(sequence) OVER (P
 def ordered_stream(spark: SparkSession, d: str) -> DataFrame:
     """Ordering state kept over a stream of all ticks."""
     folder = _folder(spark)
-    return S.run_to_table(S.classify_stream(S.replay(spark, M.ticks(spark, d).select("symbol", "type", "event_ts", "event_id", "sequence"), folder)), folder)
+    ticks = M.ticks(spark, d).select("symbol", "type", F.col("event_ts").cast("timestamp").alias("event_ts"), "event_id", "sequence")
+    return S.classify_stream(S.replay(spark, ticks, folder, triggers=3), folder)
 
 
 @query("str01_ordered_batch", _TICK_STATUS)
@@ -147,5 +148,5 @@ def latest_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query("str11_stream_health", M.with_views("ticks", more="l AS (SELECT *, lag(sequence) OVER (PARTITION BY symbol, type ORDER BY event_ts, event_id) AS b FROM ticks)") + "SELECT type, count(*) AS n, count(*) FILTER (sequence > b + 1) AS gaps, count(*) FILTER (sequence = b) AS duplicates FROM l GROUP BY type")
 def stream_health(spark: SparkSession, d: str) -> DataFrame:
-    s = S.classify_batch(M.ticks(spark, d))
+    s = S.classify_sequenced(M.ticks(spark, d))
     return s.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("status") == "gap", 1)).alias("gaps"), F.count(F.when(F.col("status") == "duplicate", 1)).alias("duplicates"))

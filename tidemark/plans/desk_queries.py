@@ -135,9 +135,9 @@ def subscriptions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("str03_stale_symbols", M.with_views("ticks", more="l AS (SELECT *, lag(sequence) OVER (PARTITION BY symbol, type ORDER BY event_ts, event_id) AS b FROM ticks), g AS (SELECT DISTINCT symbol FROM l WHERE sequence > b + 1)") + "SELECT DISTINCT symbol, type, symbol IN (SELECT symbol FROM g) AS stale FROM ticks")
 def stale_symbols(spark: SparkSession, d: str) -> DataFrame:
-    from ..streaming.ordering import classify_batch
+    from ..streaming.ordering import classify_sequenced
 
-    c = classify_batch(M.ticks(spark, d)).groupBy("symbol", "type").agg(F.max((F.col("status") == "gap").cast("int")).alias("gap"))
+    c = classify_sequenced(M.ticks(spark, d)).groupBy("symbol", "type").agg(F.max((F.col("status") == "gap").cast("int")).alias("gap"))
     return c.select("symbol", "type", (F.max("gap").over(Window.partitionBy("symbol")) == 1).alias("stale"))
 
 

@@ -1,67 +1,75 @@
-"""Ordered latest-value state over tick streams.
+"""Ordered ticks, alerts, latest values and windows over streams.
 
-One state per (symbol, type): the last sequence, time and event id. A tick with a known id or an equal sequence
-is a duplicate, a smaller sequence is late, a sequence above the next is a gap (kept and flagged).
+One memory per (symbol, type): time, sequence, id and price of the last tick that counted. A tick with that id, or
+with that sequence, is a duplicate; a smaller sequence is late; a sequence above the next is a gap (kept and flagged).
+Where either sequence is missing, times decide: an earlier tick is late, one of the same time and price a duplicate.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "symbol string, type string, event_id long, sequence long, status string"
-STATE = "sequence long, recent array<long>"
-#: Event ids of a key that are remembered, to tell a repeated one from a late one.
-RECENT = 64
+from .folding import Machine, Row, folded, run_folded, said
+from .keyed_table import KeyedTable
+
+TICK = ("event_ts", "event_id", "sequence", "price")
+
+
+def _status(last: Row | None, tick: Row) -> str:
+    if last is None:
+        return "first"
+    if tick["event_id"] is not None and tick["event_id"] == last["event_id"]:
+        return "duplicate"
+    if tick["sequence"] is not None and last["sequence"] is not None:
+        ahead = tick["sequence"] - last["sequence"]
+        return "late" if ahead < 0 else {0: "duplicate", 1: "ok"}.get(ahead, "gap")
+    if tick["event_ts"] < last["event_ts"]:
+        return "late"
+    return "duplicate" if (tick["event_ts"], tick["price"]) == (last["event_ts"], last["price"]) else "ok"
+
+
+COUNTED = ("first", "ok", "gap")
+
+
+def _order_step(last: Row | None, tick: Row) -> tuple[Row | None, Row]:
+    status = _status(last, tick)
+    memory = {k: tick[k] for k in TICK} if status in COUNTED else last
+    return memory, {"event_id": tick["event_id"], "sequence": tick["sequence"], "status": status}
+
+
+#: Ticks of a trigger are taken by time and id, and by sequence where these are equal.
+ORDER = Machine(("symbol", "type"), ("event_ts", "event_id", "sequence"), _order_step, "event_id long, sequence long, status string", "event_ts timestamp, event_id long, sequence long, price double")
+
+
+def _ticks(ticks: DataFrame) -> DataFrame:
+    price = F.col("price").cast("double") if "price" in ticks.columns else F.lit(None).cast("double")
+    return ticks.select("symbol", "type", F.col("event_ts").cast("timestamp").alias("event_ts"), "event_id", F.col("sequence").cast("long").alias("sequence"), price.alias("price"))
 
 
 def classify_batch(ticks: DataFrame) -> DataFrame:
-    """The same rule over a table: first, ok, gap or duplicate for ticks in the provider's order."""
-    w = Window.partitionBy("symbol", "type").orderBy("event_ts", "event_id")
-    before = F.lag("sequence").over(w)
-    status = F.when(before.isNull(), "first").when(F.col("sequence") == before, "duplicate").when(F.col("sequence") > before + 1, "gap").otherwise("ok")
-    return ticks.select("symbol", "type", "event_id", "sequence", status.alias("status"))
+    """symbol, type, event_id, sequence and status of each tick of a table, in the order of time."""
+    return said(folded(ORDER, _ticks(ticks)))
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Ticks of one key in order of (event_ts, event_id) within what a trigger brings, one Arrow batch at a time.
+def classify_sequenced(ticks: DataFrame) -> DataFrame:
+    """The same as one window, for ticks that all have a sequence and an id of their own: the largest sequence so far decides."""
+    so_far = Window.partitionBy("symbol", "type").orderBy("event_ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("sequence") - F.max("sequence").over(so_far)
+    status = F.when(ahead.isNull(), "first").when(ahead == 0, "duplicate").when(ahead < 0, "late").when(ahead > 1, "gap").otherwise("ok")
+    return ticks.select("symbol", "type", "event_id", "sequence", status.alias("status"))
 
-    The input is sorted by time before it is grouped, so a key's batches arrive in order and none is held beside another.
-    """
-    last, recent = state.get if state.exists else (None, [])
-    recent = list(recent)
-    for rows in batches:
-        rows, found = rows.sort_values(["event_ts", "event_id"]), []
-        for event_id, sequence in zip(rows["event_id"].tolist(), rows["sequence"].tolist()):
-            if last is None:
-                status = "first"
-            elif sequence == last or event_id in recent:
-                status = "duplicate"
-            elif sequence < last:
-                status = "late"
-            else:
-                status = "gap" if sequence > last + 1 else "ok"
-            if status in ("first", "ok", "gap"):
-                last = sequence
-                recent = [*recent[-(RECENT - 1) :], event_id]
-            found.append((key[0], key[1], event_id, sequence, status))
-        yield pd.DataFrame(found, columns=["symbol", "type", "event_id", "sequence", "status"])
-    state.update((last, recent))
-
-
-def classify_stream(ticks: DataFrame) -> DataFrame:
-    """A streaming DataFrame of ticks (symbol, type, event_ts, event_id, sequence) with the status of each."""
-    return ticks.groupBy("symbol", "type").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+def classify_stream(ticks: DataFrame, folder: str) -> DataFrame:
+    """The same over all that a stream of ticks holds now; the memory lasts from trigger to trigger."""
+    return run_folded(ORDER, _ticks(ticks), folder)
 
 
 def on_time(statuses: DataFrame) -> DataFrame:
     """Ticks that count: late and repeated ones are dropped at once, whatever a watermark would still let in."""
-    return statuses.where(F.col("status").isin("first", "ok", "gap"))
+    return statuses.where(F.col("status").isin(*COUNTED))
 
 
 def queued_gaps(gaps: DataFrame, cooldown: str = "30 seconds") -> DataFrame:
@@ -72,65 +80,86 @@ def queued_gaps(gaps: DataFrame, cooldown: str = "30 seconds") -> DataFrame:
     return gaps.groupBy("symbol", F.window("event_ts", cooldown).alias("w")).agg(F.min("event_ts").alias("first_gap"), F.count(F.lit(1)).alias("gaps")).select("symbol", "first_gap", "gaps")
 
 
-TRIGGER_OUT = "user_id long, symbol string, event_id long, fired boolean, reason string"
-TRIGGER_STATE = "price double, pending string, since double, fired_at double, fired_rule string"
+def recovery_requests(cooldown: float = 30.0) -> Machine:
+    """Requests to read a symbol again at its gaps: none while the last request is younger than ``cooldown`` seconds."""
+
+    def step(last: Row | None, gap: Row) -> tuple[Row | None, Row]:
+        waits = last is not None and (gap["event_ts"] - last["queued"]).total_seconds() < cooldown
+        return (last if waits else {"queued": gap["event_ts"]}), {"event_ts": gap["event_ts"], "event_id": gap["event_id"], "queued": not waits}
 
+    return Machine(("symbol",), ("event_ts", "event_id"), step, "event_ts timestamp, event_id long, queued boolean", "queued timestamp")
 
-def trigger_steps(prices: Iterator[tuple[int, float, float | None, bool]], threshold: float, memory: tuple, hysteresis: float = 0.5, debounce: float = 60.0, cooldown: float = 900.0) -> tuple[list[tuple[int, bool, str]], tuple]:
-    """(event_id, fired, reason) of ticks (event_id, seconds, price, closes a bar) of one user and symbol, and the memory.
 
-    A rule has to hold for ``debounce`` seconds; it fires once per ``cooldown`` and not twice in a row.
+#: Sessions outside regular hours, and the change of spread (basis points) that counts.
+OFF_HOURS = ("pre", "after", "closed")
+SPREAD_MOVE = 25.0
+ALERT_MEMORY = "price double, spread double, pending string, since double, fired string, fired_state string, fired_at double"
+
+
+def _crossed(memory: Row, tick: Row, hysteresis: float) -> bool:
+    """Up through the threshold's band, or still above it while that waits to be fired."""
+    if tick["price"] is None or tick["threshold"] is None:
+        return False
+    band = abs(tick["threshold"]) * hysteresis / 100
+    from_below = memory["price"] is not None and memory["price"] < tick["threshold"] - band
+    return tick["price"] >= tick["threshold"] + band and (from_below or memory["pending"] == "price_threshold_crossed")
+
+
+def _spread_moved(memory: Row, tick: Row, hysteresis: float) -> bool:
+    return None not in (tick["spread_bps"], memory["spread"]) and abs(tick["spread_bps"] - memory["spread"]) >= SPREAD_MOVE
+
+
+#: What may fire, the first that holds.
+GUARDS = {
+    "snapshot_invalidated": lambda memory, tick, hysteresis: bool(tick["invalidation_reason"]),
+    "minute_bar_closed": lambda memory, tick, hysteresis: tick["type"] == "AM",
+    "suitability_boundary_crossed": lambda memory, tick, hysteresis: bool(tick["concentration_crossed"]),
+    "price_threshold_crossed": _crossed,
+    "liquidity_changed": _spread_moved,
+}
+
+
+def alert_machine(enabled: bool = True, hysteresis: float = 0.5, debounce: float = 15.0, cooldown: float = 300.0) -> Machine:
+    """Alerts per user and symbol: a rule has to hold on for ``debounce`` seconds, then fires unless one fired in the last
+    ``cooldown`` seconds, or the same one last, in the same state of advice. Switched off, or out of hours for a user who
+    does not want that, nothing is noted.
     """
-    last, pending, since, fired_at, fired_rule = memory
-    band, out = abs(threshold) * hysteresis / 100, []
-    for event_id, now, price, closes in prices:
-        rule = None
-        if closes:
-            rule = "bar_closed"
-        elif price is not None and price >= threshold + band and (pending == "price_crossed" or (last is not None and last < threshold - band)):
-            rule = "price_crossed"
-        last = price if price is not None else last
+    fresh = dict.fromkeys(c.split()[0] for c in ALERT_MEMORY.split(", "))
+
+    def silence(memory: Row, rule: str, tick: Row) -> str | None:
+        """Why a rule that held long enough does not fire."""
+        if memory["fired_at"] is not None and tick["at"] - memory["fired_at"] < cooldown:
+            return "cooldown"
+        same = (memory["fired"], memory["fired_state"]) == (rule, tick["recommendation_state"])
+        return "duplicate" if same else None
+
+    def step(memory: Row | None, tick: Row) -> tuple[Row | None, Row]:
+        says = lambda reason, fired=False: {"event_id": tick["event_id"], "fired": fired, "reason": reason}
+        memory = memory or fresh
+        if not enabled:
+            return memory, says("emergency_disabled")
+        if tick["session"] in OFF_HOURS and not tick["after_hours_allowed"]:
+            return memory, says("after_hours_disabled")
+        rule = next((name for name, holds in GUARDS.items() if holds(memory, tick, hysteresis)), None)
+        seen = memory | {k: tick[c] for k, c in (("price", "price"), ("spread", "spread_bps")) if tick[c] is not None}
         if rule is None:
-            pending = since = None
-            out.append((event_id, False, "no_boundary"))
-        elif pending != rule:
-            pending, since = rule, now
-            out.append((event_id, False, "debouncing"))
-        elif now - since < debounce:
-            out.append((event_id, False, "debouncing"))
-        elif fired_at is not None and now - fired_at < cooldown:
-            out.append((event_id, False, "cooldown"))
-        elif fired_rule == rule:
-            out.append((event_id, False, "duplicate"))
-        else:
-            fired_rule, fired_at, pending, since = rule, now, None, None
-            out.append((event_id, True, rule))
-    return out, (last, pending, since, fired_at, fired_rule)
-
-
-def alert_stream(ticks: DataFrame, ttl: str = "7 days", late: str = "1 day") -> DataFrame:
-    """Alerts of a stream of (user_id, symbol, event_id, event_ts, price, threshold, closes).
-
-    A memory ends when the watermark, ``late`` behind the newest tick, has passed its last tick by ``ttl``.
+            return seen | {"pending": None, "since": None}, says("no_controlled_boundary")
+        if rule != memory["pending"]:
+            return seen | {"pending": rule, "since": tick["at"]}, says("debouncing")
+        if tick["at"] - memory["since"] < debounce:
+            return seen, says("debouncing")
+        if (why := silence(memory, rule, tick)) is not None:
+            return seen, says(why)
+        return seen | {"pending": None, "since": None, "fired": rule, "fired_state": tick["recommendation_state"], "fired_at": tick["at"]}, says(rule, True)
+
+    return Machine(("user_id", "symbol"), ("at", "event_id"), step, "event_id long, fired boolean, reason string", ALERT_MEMORY)
+
+
+def alert_stream(ticks: DataFrame, folder: str, **policy: float) -> DataFrame:
+    """Alerts over a stream of (user_id, symbol, event_id, at: seconds, type, price, threshold, spread_bps, session,
+    after_hours_allowed, recommendation_state, concentration_crossed, invalidation_reason).
     """
-    idle = int(pd.Timedelta(ttl).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        memory = state.get if state.exists else (None,) * 5
-        for rows in batches:
-            rows = rows.sort_values(["event_ts", "event_id"])
-            seconds = (rows["event_ts"] - pd.Timestamp(0)).dt.total_seconds()
-            prices = [None if pd.isna(p) else float(p) for p in rows["price"]]
-            out, memory = trigger_steps(zip(rows["event_id"].tolist(), seconds.tolist(), prices, rows["closes"].tolist()), float(rows["threshold"].iloc[0]), memory)
-            yield pd.DataFrame([(key[0], key[1], *x) for x in out], columns=["user_id", "symbol", "event_id", "fired", "reason"])
-        state.update(memory)
-        state.setTimeoutTimestamp(max(int(seconds.max() * 1000), state.getCurrentWatermarkMs()) + idle)
-
-    watched = ticks.withWatermark("event_ts", late).groupBy("user_id", "symbol")
-    return watched.applyInPandasWithState(step, TRIGGER_OUT, TRIGGER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return run_folded(alert_machine(**policy), ticks, folder)
 
 
 FRAME = "ev string, sym string, e long, t long, q long, i string, o double, h double, l double, c double, v double, p double, s double, bp double, ap double, status string, message string"
@@ -194,6 +223,16 @@ def windowed_prices(ticks: DataFrame, width: str = "1 hour", late: str = "2 hour
     return ticks.withWatermark("event_ts", late).groupBy(F.window("event_ts", width).alias("w"), "type").agg(F.count(F.lit(1)).alias("n"), F.avg("price").alias("mean_price")).select(F.col("w.start").alias("start"), "type", "n", "mean_price")
 
 
+def latest_table(folder: str) -> KeyedTable:
+    """Newest tick of each (symbol, type), until that expires."""
+    return KeyedTable(f"{folder.rstrip('/')}/latest-{uuid.uuid4().hex}", ("symbol", "type"), ("at", "event_id"), "expires")
+
+
+def demand_table(folder: str) -> KeyedTable:
+    """Symbols that each source asked for last, until that expires."""
+    return KeyedTable(f"{folder.rstrip('/')}/demand-{uuid.uuid4().hex}", ("source",), ("at", "event_id"), "expires")
+
+
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     """Run a streaming DataFrame over all that its source holds now, into Parquet, and read that."""
     at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -202,8 +241,14 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def replay(spark: SparkSession, ticks: DataFrame, folder: str) -> DataFrame:
-    """A table of ticks as a stream."""
+def replay(spark: SparkSession, ticks: DataFrame, folder: str, triggers: int = 1, by: str = "event_ts") -> DataFrame:
+    """A table of ticks as a stream; with several triggers, each brings a range of ``by``, in order."""
     at = f"{folder.rstrip('/')}/ticks-{uuid.uuid4().hex}"
-    ticks.write.parquet(at)
-    return spark.readStream.schema(ticks.schema).parquet(at)
+    if triggers == 1:
+        ticks.write.parquet(at)
+        return spark.readStream.schema(ticks.schema).parquet(at)
+    ends = ticks.select(F.percentile_approx(by, [k / triggers for k in range(1, triggers)]).alias("p")).first()["p"]
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = ticks if low is None else ticks.where(F.col(by) >= low)
+        (part if high is None else part.where(F.col(by) < high)).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(at)
