@@ -440,23 +440,24 @@ def test_wrapper_of_all_pages_and_whole_pages(spark):
     elements = {}
     signatures = html_extract.host_signatures(spark.createDataFrame([("l.m", p) for _, _, p in rows], "host string, html string"))
     assert signatures.count() == 1
-    for r in html_extract.host_elements(html_extract.placed_signatures(signatures)).collect():
+    for r in html_extract.host_elements(html_extract.host_votes(signatures)).collect():
         elements[r["host"]] = r["main"]
     assert elements == {"l.m": "<div.story"}
-    # Every template of a host takes part, however many there are.
-    many = [("t.m", f"<body>{'<hr><em>e</em>' if k % 2 else ''}<div class='t{k}'><p>text {k} {j}</p></div></body>") for k in range(40) for j in range(2)]
+    # Every shape of a host takes part, however many there are, in wrappers of a bounded number of shapes.
+    many = [("t.m", f"<body>{'<hr><em>e</em>' * (k % 2)}<div class='all'><div class='t{k}'><p>text {k} {j}</p></div></div><i>foot</i></body>") for k in range(200) for j in range(2)]
     signatures = html_extract.host_signatures(spark.createDataFrame(many, "host string, html string").repartition(5))
-    wrapper = html_extract.host_wrappers(signatures).collect()[0]["wrapper"]
-    assert all(f'"<div.t{k}"' in wrapper for k in range(40))
+    votes = html_extract.host_votes(signatures)
+    assert votes.where("element = ''").count() == 4 and {r["main"] for r in html_extract.host_elements(votes).collect()} == {"<div.all"}
+    assert {r["element"] for r in votes.collect()} >= {f"<div.t{k}" for k in range(200)}
 
 
 def test_html_takes_slots_of_the_hosts_element(spark):
-    story = lambda k: f"<div class='story'><h2>Title {k}</h2><em>Posted by the desk</em><p>Unlike words number {k} of a long story</p></div>"
+    story = lambda k: f"<div class='story'><h2>Title {k}</h2><p><em>Posted by the desk</em></p><p>Unlike words number {k} of a long story</p></div>"
     rows = [(k, "http://h.i/1", f"<body><nav class='main-nav'><a>Home</a></nav>{story(k)}<article class='comment'><p>reader {k} says</p></article></body>") for k in range(5)]
     rows += [(9, "http://j.k/1", "<body><nav class='main-nav'><a>Home</a></nav><p>only text</p></body>"), (10, "http://j.k/2", "<body><article class='comment'>no</article><p>more text</p></body>")]
     copies = [(20 + k, "http://c.o/1", f"<body><article><p>{'One article copied with care. ' * 5}</p><b>{k} May</b></article></body>") for k in range(5)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows + copies, "page_id long, url string, html string")).collect()}
-    assert all(got[k] == f"Title {k}\n\nUnlike words number {k} of a long story" for k in range(5))
+    assert all(got[k] == f"Title {k}\n\nPosted by the desk\n\nUnlike words number {k} of a long story" for k in range(5))
     assert got[9] == "only text" and got[10] == "more text"
     assert all("One article copied with care." in got[20 + k] and f"{k} May" in got[20 + k] for k in range(5))
 

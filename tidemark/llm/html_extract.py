@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 
 from .common import hold, schema_of, table, text_slices, with_columns, written
 
-#: Fan-in of the tree of merges is about this for hosts of many signatures.
-SALTS = 16
-#: Unlike pages of a host that have a string in one place, from which on it counts as its template's.
-TEMPLATE = 3
-#: Characters of signatures that a task holds before it passes them on.
+#: Shapes that a wrapper is made of.
+GROUP = 64
+#: Share of the slots' text that an element has to hold.
+NEARLY_ALL = 0.8
+#: Characters of signatures that a task holds before it passes them on, and that a wrapper is made of.
 HELD = 8_000_000
-#: Strings of all signatures together up to which their table is broadcast: some 30 MB.
-SMALL = 500_000
+#: Bytes up to which the table of hosts is broadcast.
+SMALL = 16_000_000
 
 #: Fixed values of HTML: elements without an end, elements of raw text, elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -303,10 +303,10 @@ class Signature:
     def add(self, other: Signature) -> None:
         self.items = [merge_texts([x, y], max) for x, y in zip(self.items, other.items)]
         self.sizes = [x + y for x, y in zip(self.sizes, other.sizes)]
-        self.seen = sorted({*self.seen, *other.seen})[:TEMPLATE]
+        self.seen = sorted({*self.seen, *other.seen})[:2]
 
     def counted(self) -> list:
-        """Items whose strings carry the number of unlike pages, TEMPLATE at most."""
+        """Items whose strings carry the number of unlike pages, two at most."""
         mark = lambda x: (x.partition("*")[0] + f"*{len(self.seen)}" if x[:1] == "#" and x != "#" else x) if isinstance(x, str) else (x[0], [*map(mark, x[1])])
         return [*map(mark, self.items)]
 
@@ -319,28 +319,29 @@ class Signature:
 
 
 def placed(signature: Signature, wrapper: list) -> tuple[list[str], list[int]]:
-    """(element that holds it or '' if put aside, unlike pages that have it there or 0 for a slot) of every string."""
+    """(named elements around it, or '' if put aside; unlike pages that have it there, or 0 for a slot) of every string."""
     mine = signature.counted()
     kept = list(mine)
     for op, a, b, c, d in matches(wrapper, mine):
         if op == "equal":
             kept[c:d] = [_strip(x) for x in wrapper[a:b]]
-    # Of each open element: its name, whether it or one around it is put aside, the article or main around it, the block.
-    elements, counts, stack, names = [], [], [("", False, "", "")], Counter()
+    # Of each open element: its name, whether it or one around it is put aside, the named ones around it.
+    around, counts, stack, names = [], [], [("", False, "<body")], Counter()
     for token in _leaves(kept):
         if token[0] == "#":
-            _, aside, article, block = stack[-1]
+            _, aside, path = stack[-1]
             counts.append(int(token.partition("*")[2] or 0))
-            elements.append("" if aside else article or block)
+            around.append("" if aside else path)
         elif token[1] != "/":
             name, *words = token[1:].split(".")
-            _, aside, article, block = stack[-1]
+            _, aside, path = stack[-1]
             aside = aside or name in ASIDE or marks_aside(words)
-            stack.append((name, aside, article or (token if name in ("article", "main") else ""), token if name in ("section", "div", "td", "body") else block))
+            tells = name in ("article", "main") or words and name in ("section", "div", "td", "body")
+            stack.append((name, aside, f"{path} {token}" if tells and f" {token} " not in f"{path} " else path))
             names[name] += 1
         else:
             _close(stack, names, token[2:])
-    return elements, counts
+    return around, counts
 
 
 def _close(stack: list[tuple], names: Counter, name: str) -> None:
@@ -358,49 +359,53 @@ def merged(wrappers: Iterable[list]) -> list:
     return out or []
 
 
+def vote(rows: Iterable[tuple[list[str], list[int], list[int]]]) -> dict[str, tuple[int, int]]:
+    """For each element the text of slots within it, and that times its depth; '' has all."""
+    held: dict[str, tuple[int, int]] = {}
+    for around, counts, sizes in rows:
+        for path, count, size in zip(around, counts, sizes):
+            if path and count < 2:
+                for depth, element in enumerate(["", *path.split(" ")]):
+                    text, deep = held.get(element, (0, 0))
+                    held[element] = text + size, deep + size * depth
+    return held
+
+
 def infer(pages: list[str]) -> tuple[str, str]:
-    """(wrapper as JSON, start tag of the element whose slots hold most text in these pages)."""
+    """(wrapper as JSON, start tag of the innermost element that holds nearly all of the slots' text in these pages)."""
     found: dict[str, Signature] = {}
     for key, one in map(Signature.of, pages):
         found[key].add(one) if key in found else found.update({key: one})
     wrapper = merged(s.counted() for s in found.values())
-    held: dict[str, int] = {}
-    for s in found.values():
-        for element, count, size in zip(*placed(s, wrapper), s.sizes):
-            if element and count < 2:
-                held[element] = held.get(element, 0) + size
-    return json.dumps(wrapper), max(sorted(held), key=held.get, default="")
+    held = vote((*placed(s, wrapper), s.sizes) for s in found.values())
+    whole = held.pop("", (0, 0))[0]
+    able = {e: (deep / text, text, e) for e, (text, deep) in held.items() if text and text >= NEARLY_ALL * whole}
+    return json.dumps(wrapper), max(able, key=able.get, default="")
 
 
-def main_text(page: str | None, main: str = "", template: frozenset[int] | set[int] = frozenset()) -> str:
+def main_text(page: str | None, main: str = "") -> str:
     """Blocks of a page's main text, joined by empty lines.
 
-    ``main`` is the start tag of the host's element, ``template`` the numbers of the page's strings that are its host's.
-    The first of these that yields text decides: the host's element, the page's own article, its own main element, the
-    body. A host's element without a class says less than the page's own and comes after them.
+    ``main`` is the start tag of the host's element. The first of these that yields text decides: that element, the
+    page's own article, its own main element, the body.
     """
     if not page:
         return ""
     found = [(k, n, v, labels(v) if k == "open" else []) for k, n, v in tokens(page)]
     name_, *words_ = (main[1:] or "?").split(".")
-    host = lambda name, words: name == name_ and words == words_
-    own = [lambda name, words: name == "article", lambda name, words: name == "main" or "main" in words]
-    order = [host, *own] if words_ or name_ in ("article", "main") else [*own, host]
-    for inside in order:
-        if any(k == "open" and inside(n, w) for k, n, _, w in found):
-            for gone in (template, frozenset()) if template else (template,):
-                if text := _within(found, inside, gone):
-                    return text
-    return _within(found, None, template) or _within(found, None, frozenset())
-
-
-def _within(found: list, inside: Callable[[str, list[str]], bool] | None, template: frozenset[int] | set[int]) -> str:
+    order = [lambda name, words: name == name_ and words == words_] if name_ != "body" or words_ else []
+    for inside in [*order, lambda name, words: name == "article", lambda name, words: name == "main" or "main" in words]:
+        if any(k == "open" and inside(n, w) for k, n, _, w in found) and (text := _within(found, inside)):
+            return text
+    return _within(found, None)
+
+
+def _within(found: list, inside: Callable[[str, list[str]], bool] | None) -> str:
     """Blocks of text in the elements that ``inside`` names, or in all, without what is put aside."""
     blocks: list[str] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, within the main element, put aside
     open_names: Counter = Counter()
-    number = -1
 
     def end_block() -> None:
         if text := " ".join(html.unescape("".join(parts)).split()):
@@ -410,8 +415,7 @@ def _within(found: list, inside: Callable[[str, list[str]], bool] | None, templa
     for kind, name, value, words in found:
         within, aside = (stack[-1][1], stack[-1][2]) if stack else (inside is None, False)
         if kind == "text":
-            number += bool(value.strip())
-            if within and not aside and not (template and number in template):
+            if within and not aside:
                 parts.append(value)
             continue
         if name in BLOCK:
@@ -436,17 +440,6 @@ def _within(found: list, inside: Callable[[str, list[str]], bool] | None, templa
     return "\n\n".join(blocks)
 
 
-def template_strings(leaf: Iterable[int], elements: list[str], counts: list[int], sizes: list[int], main: str) -> set[int]:
-    """Numbers of a page's strings that its host's wrapper has as its own in the article region.
-
-    Where these hold more of the region's text than its slots, the pages are copies of an article and all is text.
-    """
-    region = [(n >= TEMPLATE, size) for e, n, size in zip(elements, counts, sizes) if e == main]
-    if not any(fixed for fixed, _ in region) or sum(s for f, s in region if f) >= sum(s for f, s in region if not f):
-        return set()
-    return {k for k, n in enumerate(leaf) if elements[n] == main and counts[n] >= TEMPLATE}
-
-
 def signature_hash(key: str) -> int:
     return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "replace"), digest_size=8).digest(), signed=True)
 
@@ -488,46 +481,27 @@ def host_signatures(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(partial, schema).groupBy("host", "sig").applyInPandas(total, schema)
 
 
-def host_wrappers(signatures: DataFrame) -> DataFrame:
-    """host, wrapper: every signature of a host aligned whole, in a tree of merges."""
-    schema = "host string, salt long, wrapper string"
+def host_votes(signatures: DataFrame) -> DataFrame:
+    """host, element, text, deep: what the slots of each wrapper of a host say (element '': all of them)."""
+    sized = signatures.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("signature")).alias("size"))
+    groups = F.greatest(F.ceil(F.col("n") / GROUP), F.ceil(F.col("size") / HELD))
+    dealt = signatures.join(sized, "host").select("host", "sig", "signature", F.pmod("sig", groups).alias("part"))
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sig")
-        wrapper = merged(Signature.load(s).counted() for s in pdf["signature"])
-        return pdf[["host", "salt"]].head(1).assign(wrapper=json.dumps(wrapper))
+    def wrap(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = [Signature.load(s) for s in pdf.sort_values("sig")["signature"]]
+        wrapper = merged(one.counted() for one in held)
+        found = vote((*placed(one, wrapper), one.sizes) for one in held)
+        return pd.DataFrame([(pdf["host"].iloc[0], e, text, deep) for e, (text, deep) in found.items()], columns=["host", "element", "text", "deep"])
 
-    def further(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["salt", "wrapper"])
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "salt": pdf["salt"].iloc[:1], "wrapper": [json.dumps(merged(map(json.loads, pdf["wrapper"])))]})
+    return dealt.groupBy("host", "part").applyInPandas(wrap, "host string, element string, text long, deep long")
 
-    tree = signatures.withColumn("salt", F.pmod("sig", F.lit(SALTS * SALTS))).groupBy("host", "salt").applyInPandas(first, schema)
-    tree = tree.groupBy("host", F.pmod("salt", F.lit(SALTS)).alias("by")).applyInPandas(further, schema)
-    return tree.groupBy("host").applyInPandas(further, schema).select("host", "wrapper")
 
-
-def placed_signatures(signatures: DataFrame) -> DataFrame:
-    """host, sig, elements, counts, sizes: the strings of each signature in their host's wrapper."""
-    salted = signatures.withColumn("salt", F.pmod("sig", F.lit(SALTS * SALTS)))
-    parts = salted.select(F.col("host").alias("of"), F.col("salt").alias("part")).distinct()
-    wrappers = host_wrappers(signatures).join(parts, F.col("host") == F.col("of")).select("of", "part", "wrapper")
-
-    def match(pdf: pd.DataFrame, wrapper: pd.DataFrame) -> pd.DataFrame:
-        whole, out = json.loads(wrapper["wrapper"].iloc[0]) if len(wrapper) else [], []
-        for host, sig, text in zip(pdf["host"], pdf["sig"], pdf["signature"]):
-            one = Signature.load(text)
-            out.append((host, sig, *placed(one, whole), one.sizes))
-        return pd.DataFrame(out, columns=["host", "sig", "elements", "counts", "sizes"])
-
-    schema = "host string, sig long, elements array<string>, counts array<long>, sizes array<long>"
-    return salted.groupBy("host", "salt").cogroup(wrappers.groupBy("of", "part")).applyInPandas(match, schema)
-
-
-def host_elements(matched: DataFrame) -> DataFrame:
-    """host, main: start tag of the element whose slots hold most text in all pages of the host."""
-    each = matched.select("host", F.explode(F.arrays_zip("elements", "counts", "sizes")).alias("s")).where("s.elements <> '' and s.counts < 2")
-    held = each.groupBy("host", F.col("s.elements").alias("main")).agg(F.sum("s.sizes").alias("n"))
-    return held.groupBy("host").agg(F.max_by("main", F.struct("n", "main")).alias("main"))
+def host_elements(votes: DataFrame) -> DataFrame:
+    """host, main: start tag of the innermost element that holds nearly all of the slots' text."""
+    held = votes.groupBy("host", "element").agg(F.sum("text").alias("text"), F.sum("deep").alias("deep"))
+    whole = held.where("element = ''").select(F.col("host").alias("_host"), F.col("text").alias("whole"))
+    able = held.where("element <> '' AND text > 0").join(whole, F.col("host") == F.col("_host")).where(F.col("text") >= NEARLY_ALL * F.col("whole"))
+    return able.groupBy("host").agg(F.max_by("element", F.struct(F.col("deep") / F.col("text"), "text", "element")).alias("main"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -535,33 +509,16 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
     signatures = written(host_signatures(pages.select("host", "html")), "html-signatures")
-    matched = written(placed_signatures(signatures), "html-matched")
-    matched = written(matched.join(host_elements(matched), "host", "left"), "html-wrapped")
-
-    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "html"):
-                sigs, of = [], []
-                for page in part.column("html").to_pylist():
-                    items, where, flat = folded(page or "")
-                    sigs.append(signature_hash(" ".join(map(_key, items))) if page else 0)
-                    of.append(leaves(items, where, flat))
-                yield with_columns(part, columns, sig=pa.array(sigs, pa.int64()), leaf=pa.array(of, pa.list_(pa.int32())))
+    hosts = written(host_elements(host_votes(signatures)), "html-hosts")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "html"):
-                texts = []
-                for page, leaf, main, *strings in zip(*(part.column(c).to_pylist() for c in ("html", "leaf", "main", "elements", "counts", "sizes"))):
-                    known = bool(page) and main is not None and strings[0] is not None
-                    texts.append(main_text(page, main or "", template_strings(leaf, *strings, main) if known else frozenset()))
+                texts = [main_text(page, main or "") for page, main in zip(part.column("html").to_pylist(), part.column("main").to_pylist())]
                 yield with_columns(part, ["page_id", "url"], text=pa.array(texts, pa.string()), n_chars=pa.array([len(t) for t in texts], pa.int64()))
 
-    columns = ["page_id", "url", "html", "host"]
-    signed = pages.mapInArrow(sign, f"{schema_of(pages, *columns)}, sig long, leaf array<int>")
-    weight = matched.agg(F.sum(F.size("elements"))).first()[0] or 0
-    matched = F.broadcast(matched) if weight <= SMALL else matched  # else a join by (host, sig), which may split a host
-    joined = signed.join(matched, ["host", "sig"], "left").select("page_id", "url", "html", "leaf", "main", "elements", "counts", "sizes")
+    weight = hosts.agg(F.sum(F.octet_length("host") + F.octet_length("main") + 64)).first()[0] or 0
+    joined = pages.join(F.broadcast(hosts) if weight <= SMALL else hosts, "host", "left").select("page_id", "url", "html", "main")
     return joined.mapInArrow(run, f"{schema_of(pages, 'page_id', 'url')}, text string, n_chars long")
 
 
