@@ -18,7 +18,7 @@ from .common import hold
 
 #: Bytes of chunks with their ids in each of two generations, the entry in the dictionary included, and the longest
 #: chunk that is kept.
-CACHE_BYTES, ENTRY_BYTES, LONGEST = 150_000_000, 100, 64
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 60_000_000, 100, 64
 
 
 class WordTokens:
