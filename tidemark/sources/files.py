@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -123,3 +124,10 @@ def land(rows: DataFrame, root: str, prefix: str, day: str) -> str:
             raise ValueError(f"{at} is there already") from e
         raise
     return at
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: it is computed once, and lost executors cost nothing."""
+    path = f"{work_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
