@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import suite as S
+from ..operators import thresholds as T
 from ..sources.files import stored
 from .evaluation_queries import _SCORED, scored
 from .registry import query
@@ -96,3 +97,48 @@ def scopes(spark: SparkSession, d: str) -> DataFrame:
     s = suite(spark, d).withColumn("l", S.scope_limits(F.col("scope")))
     within = F.col("positive_rate").between(F.col("l.min_positive_rate"), F.col("l.max_positive_rate")) & (F.col("big_loss_rate") <= F.col("l.max_big_loss_rate"))
     return s.select("model", "lane", "scope", "l.*", within.alias("within"))
+
+
+#: Cells of (window, symbol, step) as SQL, and every threshold's measures from them.
+_STEP = " + ".join(f"CASE WHEN probability_up >= {t}e0 THEN 1 ELSE 0 END" for t in T.THRESHOLDS)
+_GRID = _SCORED.rstrip() + f""", w AS (SELECT *, CAST(ntile(3) OVER (ORDER BY event_date, seq) AS INTEGER) AS wnd FROM s), w2 AS (SELECT * FROM w UNION ALL BY NAME SELECT * REPLACE (0 AS wnd) FROM w),
+th AS (SELECT unnest(range(1, {len(T.THRESHOLDS) + 1})) AS step, unnest([{", ".join(f"{t}e0" for t in T.THRESHOLDS)}]) AS threshold),
+m0 AS (SELECT wnd, step, threshold, count(*) FILTER (hit) AS picks, avg(r5) FILTER (hit) - avg(greatest(-r5, 0)) FILTER (hit) - avg(CASE WHEN r5 < -0.03e0 THEN 1e0 ELSE 0e0 END) FILTER (hit) + 0.1e0 * coalesce(count(*) FILTER (hit AND r5 >= 0.03e0) / nullif(count(*) FILTER (r5 >= 0.03e0), 0)::DOUBLE, 0) AS utility,
+  count(*) FILTER (hit AND r5 < -0.03e0) AS losses, coalesce(count(*) FILTER (hit AND r5 < -0.03e0) / nullif(count(*) FILTER (r5 < -0.03e0), 0)::DOUBLE, 0) AS loss_rate, coalesce(count(*) FILTER (hit AND r5 >= 0.03e0) / nullif(count(*) FILTER (r5 >= 0.03e0), 0)::DOUBLE, 0) AS capture
+  FROM (SELECT *, probability_up >= threshold AS hit FROM w2, th) GROUP BY ALL),
+sy AS (SELECT wnd, step, symbol, count(*) AS n FROM w2, th WHERE probability_up >= threshold GROUP BY ALL), sc AS (SELECT wnd, step, max(n) / sum(n)::DOUBLE AS concentration FROM sy GROUP BY ALL),
+m1 AS (SELECT m0.*, coalesce(concentration, 0) AS concentration FROM m0 LEFT JOIN sc USING (wnd, step))
+"""
+_BROKEN = """, gd AS (SELECT m1.*, n.utility AS now_utility, concat_ws(',', CASE WHEN m1.losses > 0 AND m1.losses > n.losses THEN 'big_losses' END, CASE WHEN m1.loss_rate > n.loss_rate THEN 'big_loss_rate' END, CASE WHEN m1.capture < 0.1e0 THEN 'big_gain_capture' END,
+  CASE WHEN m1.picks < greatest(10e0, 0.25e0 * n.picks) THEN 'picks' END, CASE WHEN m1.concentration > 0.5e0 THEN 'concentration' END) AS broken FROM m1 JOIN m1 n ON n.wnd = m1.wnd AND n.step = {0}),
+ab AS (SELECT *, max(utility) OVER (PARTITION BY wnd) AS best FROM gd WHERE broken = '' AND utility IS NOT NULL), nr AS (SELECT *, step - row_number() OVER (PARTITION BY wnd ORDER BY step) AS run FROM ab WHERE utility >= best - {1}e0),
+ru AS (SELECT wnd, run, count(*) AS width, max(utility) AS top, list(step ORDER BY step) AS steps, any_value(now_utility) AS now FROM nr GROUP BY 1, 2), rb AS (SELECT *, steps[(width - 1) // 2 + 1] AS mid FROM (SELECT *, row_number() OVER (PARTITION BY wnd ORDER BY width DESC, top DESC, run) AS r FROM ru) WHERE r = 1),
+ch AS (SELECT x.wnd, CASE WHEN rb.wnd IS NULL OR list_contains(steps, {0}) OR coalesce(now, -1e300) >= m1.utility THEN {0} ELSE mid END AS step FROM (SELECT DISTINCT wnd FROM m1) x LEFT JOIN rb USING (wnd) LEFT JOIN m1 ON m1.wnd = rb.wnd AND m1.step = rb.mid),
+ct AS (SELECT ch.wnd, ch.step, threshold FROM ch JOIN th USING (step))"""
+
+
+def _windowed(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.row_windows(scored(spark, d), "event_date", ["seq"], 3)
+    return stored(rows.select("window", "symbol", "event_date", "probability_up", "ret_5"), "threshold-rows")
+
+
+@query("evl16_threshold_windows", _GRID + _BROKEN.format(7, 0.02) + "SELECT CAST(wnd AS INTEGER) AS wnd, threshold, picks, round(utility, 6) AS utility, losses, round(capture, 6) AS capture, round(concentration, 6) AS concentration, broken FROM gd")
+def threshold_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Every threshold in every window from one histogram, with the guardrails it breaks beside the highest one."""
+    g = T.guarded(T.grid(T.cells(_windowed(spark, d), "probability_up", "ret_5")), 7)
+    return g.select(F.col("window").alias("wnd"), "threshold", "picks", F.round("utility", 6).alias("utility"), "losses", F.round("capture", 6).alias("capture"), F.round("concentration", 6).alias("concentration"), "broken")
+
+
+_CHOICE = """, su AS (SELECT count(DISTINCT event_date) AS dates, count(DISTINCT symbol) AS symbols, count(*) FILTER (r5 >= 0.03e0) AS gains FROM s),
+sp AS (SELECT picks >= 10 AND gains >= 10 AND dates >= 5 AND symbols >= 5 AND capture > 0 AND coalesce(utility, -1) >= {2} AND concentration <= 0.5 AS supported FROM su, m1 WHERE wnd = 0 AND step = {0}),
+be AS (SELECT supported, CASE WHEN supported THEN ct.step ELSE {0} END AS best_step FROM sp, ct WHERE wnd = 0), bt AS (SELECT be.*, th.threshold AS best FROM be JOIN th ON th.step = be.best_step),
+fw AS (SELECT count(*) AS evaluated, bool_and(broken = '' AND coalesce(utility > now_utility, false)) AS all_win FROM gd, bt WHERE wnd > 0 AND gd.step = best_step),
+st AS (SELECT max(threshold) AS high, min(threshold) AS low, count(*) AS k, count(*) FILTER (abs(threshold - best) <= 0.025e0 + 1e-9) AS agree FROM ct, bt WHERE wnd > 0),
+fi AS (SELECT (SELECT threshold FROM th WHERE step = {0}) AS cur, best, supported, best_step <> {0} AND evaluated >= 2 AND all_win AS consistent, best_step <> {0} AND k >= 2 AND high - low <= 0.05e0 + 1e-9 AND agree >= greatest(2, ceil(k * 2 / 3e0)) AS stable, evaluated FROM bt, fw, st)
+SELECT cur AS current, best, supported, consistent, stable, evaluated, CASE WHEN consistent AND stable THEN best ELSE cur END AS recommended FROM fi"""
+
+
+@query("evl16_recommendation", _GRID + _BROKEN.format(3, 0.002) + _CHOICE.format(3, 0.002, 0))
+def threshold_recommendation(spark: SparkSession, d: str) -> DataFrame:
+    rows = _windowed(spark, d)
+    return T.recommendation(rows, stored(T.cells(rows, "probability_up", "ret_5"), "threshold-cells"), 3)
