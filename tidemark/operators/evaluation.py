@@ -21,14 +21,34 @@ def expected_calibration_error(binned: DataFrame) -> DataFrame:
     return binned.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))) / F.sum("n")).alias("ece"))
 
 
-def nearest_rank(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], upper: bool = False) -> DataFrame:
-    """Percentiles by nearest rank: the lower one (index int((n-1)*q)), or the ceiling of n*q.
+#: Ranges into which the values of a group are cut before they are ranked.
+RANGES = 64
+
+
+def running_counts(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, _n, _upto, _all): how often each value occurs in its group, up to it, and altogether.
 
-    Counts per distinct value are summed up to ranks, so no group is sorted as a whole list in one row.
+    The values of a group are cut into ranges of about equal numbers of distinct values. Ranges are counted, and their running
+    sums (a few rows for each group) carry a range's count into it; only within a range are values ordered. So a group
+    of any size is spread over RANGES tasks.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value) if by else Window.partitionBy(F.lit(0)).orderBy(value)
-    run = counts.withColumns({"_upto": F.sum("_n").over(w), "_all": F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])))})
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("_cuts"))
+    keyed = lambda df: df.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    met = counts.join(keyed(cuts), same, "inner") if by else counts.crossJoin(F.broadcast(cuts))  # one row
+    ranged = met.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts", *(f"_{c}" for c in by))
+    whole = Window.partitionBy(*by)
+    sizes = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_of"))
+    sizes = sizes.withColumns({"_before": F.sum("_of").over(whole.orderBy("_range")) - F.col("_of"), "_all": F.sum("_of").over(whole)}).drop("_of")
+    within = Window.partitionBy(*by, "_range").orderBy(value)
+    run = ranged.withColumn("_within", F.sum("_n").over(within)).join(keyed(sizes.withColumnRenamed("_range", "_part")), [*same, F.col("_range") == F.col("_part")])
+    return run.select(*by, value, "_n", (F.col("_before") + F.col("_within")).alias("_upto"), "_all")
+
+
+def nearest_rank(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], upper: bool = False) -> DataFrame:
+    """Percentiles by nearest rank: the lower one (index int((n-1)*q)), or the ceiling of n*q."""
+    run = running_counts(rows, by, value)
     rank = lambda q: F.greatest(F.ceil(F.col("_all") * q), F.lit(1)) if upper else F.floor((F.col("_all") - 1) * q) + 1
     return run.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") >= rank(q), F.col(value))).alias(name) for name, q in shares.items()])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decisions as D
 from ..functions import windows as W
+from .evaluation import running_counts
 
 FEATURES = ["ret_1", "ret_5", "ret_20", "rsi_14", "macd_hist", "volume_ratio", "vs_sma_20", "volatility_20", "bench_ret_5", "relative_5", "risk_on"]
 
@@ -29,9 +30,10 @@ def shared_features(bars: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def medians(rows: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Medians of the columns; counted per distinct value in partial aggregates."""
-    found = rows.agg(*[F.median(c).alias(c) for c in columns]).first()
-    return {c: found[c] for c in columns if found[c] is not None}
+    """Medians of the columns, ranked by ranges of their values."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))
+    found = interpolated(rows.select(F.inline(pairs)), ["column"], "value", {"median": 0.5}).collect()
+    return {r["column"]: r["median"] for r in found}
 
 
 def standardised(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
@@ -144,11 +146,9 @@ def undominated(models: DataFrame, key: str, objectives: list[str]) -> DataFrame
 def interpolated(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], exclusive: bool = False) -> DataFrame:
     """Percentiles between neighbours: at (n-1)*q of the sorted values, or at (n+1)*q where ``exclusive``.
 
-    Values are counted first, and ranks are running sums over the distinct ones, so no row holds a group's values.
+    Values are counted and ranked by ranges, so neither a row nor a task holds a group's values.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by)
-    run = counts.withColumns({"_upto": F.sum("_n").over(w.orderBy(value)), "_all": F.sum("_n").over(w)})
+    run = running_counts(rows, by, value)
     picks = []
     for name, q in shares.items():
         at = (F.col("_all") + 1) * q - 1 if exclusive else (F.col("_all") - 1) * q

@@ -9,6 +9,7 @@ from ..functions import advice as A
 from ..functions import decisions as D
 from ..functions import windows as W
 from ..operators import evaluation as E
+from ..operators import lineage as N
 from ..sources import market as M
 from .decision_queries import _SIG, signals
 from .evaluation_queries import _O, _SCORED, _SPLIT, judged, scored
@@ -215,19 +216,34 @@ def validation_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("agg15_extreme_rows", M.with_views("bars", more="r AS (SELECT symbol, bar_date, close_px / lag(close_px) OVER w - 1 AS ret FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date)), k AS (SELECT ret, row_number() OVER (ORDER BY ret) AS k, count(*) OVER () AS n FROM r WHERE ret IS NOT NULL), q AS (SELECT min(ret) FILTER (k >= floor((n - 1) * 0.01e0) + 1) AS lo, min(ret) FILTER (k >= floor((n - 1) * 0.99e0) + 1) AS hi FROM k)")
-    + "SELECT symbol, bar_date, round(ret, 6) AS ret, CASE WHEN ret <= lo THEN 'low' ELSE 'high' END AS tail FROM r, q WHERE ret <= lo OR ret >= hi")
+    + "SELECT symbol, bar_date, round(ret, 6) AS ret, CASE WHEN ret <= (SELECT lo FROM q) THEN 'low' ELSE 'high' END AS tail FROM r WHERE ret <= (SELECT lo FROM q) OR ret >= (SELECT hi FROM q)")
 def extreme_rows(spark: SparkSession, d: str) -> DataFrame:
     r = M.bars(spark, d).select("symbol", "bar_date", W.lagged_return("close_px", 1, W.by_symbol()).alias("ret"))
     q = E.nearest_rank(r, [], "ret", {"lo": 0.01, "hi": 0.99})
     return r.crossJoin(F.broadcast(q)).where("ret <= lo or ret >= hi").select("symbol", "bar_date", F.round("ret", 6).alias("ret"), F.when(F.col("ret") <= F.col("lo"), "low").otherwise("high").alias("tail"))  # one row
 
 
-@query("agg20_holdout_identity", M.with_views("decisions") + "SELECT event_date, count(DISTINCT (symbol, endpoint)) AS identities, count(*) - count(DISTINCT (symbol, endpoint)) AS duplicates, sha256(string_agg(symbol || ':' || endpoint, ',' ORDER BY symbol || ':' || endpoint)) AS fingerprint FROM decisions GROUP BY 1")
+@query("agg20_holdout_identity", M.with_views("decisions", more=N.fingerprint_sql("decisions", "event_date", "symbol || ':' || endpoint", "fp")) + "SELECT event_date, identities, n - identities AS duplicates, fingerprint FROM fp JOIN (SELECT event_date, count(DISTINCT (symbol, endpoint)) AS identities FROM decisions GROUP BY 1) USING (event_date)")
 def holdout_identity(spark: SparkSession, d: str) -> DataFrame:
-    """A fingerprint for each day over its rows in order, so no group holds more than a day."""
-    key = F.concat_ws(":", "symbol", "endpoint")
-    g = M.decisions(spark, d).groupBy("event_date").agg(F.count_distinct("symbol", "endpoint").alias("identities"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(key)).alias("keys"))
-    return g.select("event_date", "identities", (F.col("n") - F.col("identities")).alias("duplicates"), F.sha2(F.array_join("keys", ","), 256).alias("fingerprint"))
+    """A fingerprint for each day over its rows, whatever their layout."""
+    rows = M.decisions(spark, d)
+    known = rows.groupBy("event_date").agg(F.count_distinct("symbol", "endpoint").alias("identities"))
+    f = N.fingerprints(rows, ["event_date"], F.concat_ws(":", "symbol", "endpoint")).join(known, "event_date")
+    return f.select("event_date", "identities", (F.col("n") - F.col("identities")).alias("duplicates"), "fingerprint")
+
+
+_LINEAGE = ("symbol || ':' || seq || ':' || action")
+
+
+@query("evl18_lineage", M.with_views("decisions", more="a AS (SELECT * FROM decisions WHERE seq % 2 = 0), b AS (SELECT * FROM decisions WHERE model_version = 'v1-5d'), c AS (SELECT * FROM decisions WHERE seq % 2 = 0 AND seq % 97 <> 0), " + ", ".join(N.fingerprint_sql(x, "event_date", _LINEAGE, f"f{x}") for x in "abc"))
+    + """SELECT event_date, coalesce(fa.n, 0) AS rows, concat_ws(',', CASE WHEN fa.n IS NULL THEN 'candidate_missing' END, CASE WHEN fb.n IS NULL THEN 'comparator_missing' WHEN fa.n IS NULL OR fa.fingerprint <> fb.fingerprint THEN 'comparator_differs' END,
+  CASE WHEN fc.n IS NULL THEN 'holdout_missing' WHEN fa.n IS NULL OR fa.fingerprint <> fc.fingerprint THEN 'holdout_differs' END) AS issues, coalesce(fa.fingerprint = fb.fingerprint AND fa.fingerprint = fc.fingerprint, false) AS comparable FROM fa FULL JOIN fb USING (event_date) FULL JOIN fc USING (event_date)""")
+def lineage(spark: SparkSession, d: str) -> DataFrame:
+    """Days on which candidate, comparator and holdout were built from the same decisions."""
+    rows = M.decisions(spark, d)
+    key = F.concat_ws(":", "symbol", F.col("seq").cast("string"), "action")
+    of = lambda condition: N.fingerprints(rows.where(condition), ["event_date"], key)
+    return N.compared(of("seq % 2 = 0"), {"comparator": of("model_version = 'v1-5d'"), "holdout": of("seq % 2 = 0 AND seq % 97 <> 0")}, "event_date")
 
 
 @query("agg25_universe_benchmark", _SCORED.rstrip() + ", c AS (SELECT event_date, avg(r5) AS m FROM s GROUP BY 1) SELECT (SELECT round(avg(r5), 6) FROM s) AS universe_mean, round(avg(m), 6) AS cohort_mean, round(median(m), 6) AS cohort_median FROM c")

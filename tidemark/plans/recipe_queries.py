@@ -9,10 +9,12 @@ from ..functions import decisions as D
 from ..operators import modeling as L
 from ..operators import recipes as R
 from ..operators import suite as S
+from ..operators import trees as T
 from ..sources.files import stored
 from .evaluation_queries import _SCORED, scored
 from .model_queries import labelled
 from .registry import query
+from .suite_queries import _ROWS, FEATURES, suite_rows
 
 #: First day of each validation year; a fold fits on what ends a week before.
 FOLDS = {"f1": "1998-01-01", "f2": "1999-01-01", "f3": "2000-01-01"}
@@ -192,3 +194,30 @@ def hard_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weights of a second fit: the worst mistakes of a first one, of at most 15 % of all rows."""
     s = scored(spark, d).withColumn("bucket", D.return_bucket(F.col("ret_5")))
     return R.hard_examples(s, "probability_up", 0.6, "bucket", "seq").select("seq", "weight")
+
+
+_LONG = _ROWS + ", f AS (SELECT up, unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature, unnest([" + ", ".join(FEATURES) + "]) AS v FROM x)"
+_SIDE = "coalesce(2 * sum(up) FILTER ({0}) * (1 - sum(up) FILTER ({0}) / nullif(count(*) FILTER ({0}), 0)), 0)"
+
+
+@query("ml12_first_splits", _LONG + f""", q AS (SELECT feature, unnest([quantile_cont(v, 0.25), quantile_cont(v, 0.5), quantile_cont(v, 0.75)]) AS cut FROM f GROUP BY feature), c AS (SELECT DISTINCT * FROM q)
+SELECT feature, round(cut, 6) AS cut, count(*) FILTER (v < cut) AS below, round({_SIDE.format('v < cut')} + {_SIDE.format('v >= cut')}, 4) AS impurity FROM c JOIN f USING (feature) GROUP BY feature, cut""")
+def first_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The quartile cuts of the root and their impurities."""
+    c = T.candidates(stored(suite_rows(spark, d).select(*FEATURES, "up"), "tree-rows").withColumn("node", F.lit(1)), FEATURES, "up")
+    return c.select("feature", F.round("cut", 6).alias("cut"), F.col("left").alias("below"), F.round(T.impurity(F.col("rows"), F.col("positives"), F.col("left"), F.col("left_positives")), 4).alias("impurity"))
+
+
+@query("ml12_stumps", _LONG + """, m AS (SELECT feature, quantile_cont(v, 0.5) AS threshold FROM f GROUP BY feature), st AS (SELECT feature, threshold, direction, avg(CASE WHEN (v >= threshold) = (up = CASE WHEN direction = 'gte_positive' THEN 1 ELSE 0 END) THEN 1e0 ELSE 0e0 END) AS accuracy
+  FROM f JOIN m USING (feature), (SELECT unnest(['gte_positive', 'lt_positive']) AS direction) GROUP BY ALL) SELECT feature, round(threshold, 6) AS threshold, direction, round(accuracy, 6) AS accuracy FROM st ORDER BY st.accuracy DESC, feature, direction LIMIT 8""")
+def stump_ranks(spark: SparkSession, d: str) -> DataFrame:
+    s = T.stumps(stored(suite_rows(spark, d).select(*FEATURES, "up"), "stump-rows"), FEATURES, "up")
+    return s.select("feature", F.round("threshold", 6).alias("threshold"), "direction", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("ml12_tree")
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves of a tree of depth three over all decisions, with their rows and returns."""
+    rows = stored(suite_rows(spark, d), "tree-rows")
+    found = T.fit_tree(rows, FEATURES, "up", max_depth=3, min_leaf=50)
+    return rows.withColumn("score", F.round(T.tree_score(found), 6)).groupBy("score").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("up"), 6).alias("share_up"), F.round(F.avg("ret_5"), 6).alias("mean_return"))
