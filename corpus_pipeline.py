@@ -5,6 +5,8 @@ Each stage takes (spark, docs, sf_dir); all but the last keep the columns of doc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,20 @@ from tidemark.llm import jaccard_join, packing, suffix_dedup, toxicity
 from tidemark.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows of a batch between Spark and Python: texts are long, and tasks of all stages share an executor's memory.
+BATCH = 2000
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The session's batches stay at most BATCH rows from a stage on, as its result is only computed when it is written."""
+
+    def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= BATCH:
+            spark.conf.set(name, BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run_
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +55,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
-STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("repeated passages", drop_repeated_passages), ("packing", pack)]
+STAGES = [(name, in_small_batches(stage)) for name, stage in (("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("repeated passages", drop_repeated_passages), ("packing", pack))]
 
-#: The trained classifier, the tokenizer and the byte-wise cuts have no SQL; tests hold the stages against brute force.
+#: The trained classifier, the tokenizer and the byte-wise cuts have no SQL; tests hold the stages against their operators, and the operators against brute force.
 ORACLE_SQL = None
 
 
