@@ -5,9 +5,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType
 
 
 def by_symbol(symbol: str = "symbol", at: str = "bar_date") -> WindowSpec:
@@ -66,21 +66,64 @@ def rsi(delta: Column | str, n: int, w: WindowSpec, zero_loss: str = "hundred")
     return full(delta, F.when(loss == 0, at_zero).otherwise(value), w, n)
 
 
-def with_ema(bars: DataFrame, averages: dict[str, tuple[str, int]], key: str = "symbol", at: str = "bar_date") -> DataFrame:
-    """``bars`` with recursive averages name -> (column, span), seeded by each symbol's first value.
+#: Days of a stretch of time; times that are plain numbers count as seconds. Rows of a block within a stretch.
+STRETCH, BLOCK = 128, 64
 
-    One pass over a symbol's series in order of time, which no frame of a window can express; the series of one symbol
-    is as long as its days. Averages are made in the order given, so one may build on another.
-    """
-    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema] + [f"`{n}` double" for n in averages])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at, kind="stable")
-        for name, (column, span) in averages.items():
-            pdf[name] = pdf[column].ewm(span=span, adjust=False).mean()
-        return pdf
+def stretch(rows: DataFrame, at: str, days: float = STRETCH) -> Column:
+    """Number of the stretch of time that a row lies in."""
+    kind = rows.schema[at].dataType
+    if isinstance(kind, DateType):
+        return F.floor(F.unix_date(at) / days)
+    moment = F.col(at).cast("timestamp") if isinstance(kind, TimestampNTZType) else F.col(at)
+    return F.floor(moment.cast("double") / (days * 86400))
+
 
-    return bars.groupBy(key).applyInPandas(run, shape)
+def with_ema(bars: DataFrame, averages: dict[str, tuple[str, int]], key: str = "symbol", at: str = "bar_date", days: float = STRETCH) -> DataFrame:
+    """``bars`` with recursive averages name -> (column, span), seeded by each symbol's first value.
+
+    The recurrence e = (1 - a) e + a x is linear, so a series is cut into stretches of time and these into blocks of BLOCK
+    rows. Within a block an average is a weighted running sum; a block passes on its sum and its decay, and only these
+    are followed along the series. Nulls before the first value stay null, later ones keep the value before them.
+    Averages are made in the order given, so one may build on another.
+    """
+    waiting: dict[str, tuple[str, int]] = {}
+    for name, (column, span) in averages.items():
+        if waiting and (column in waiting or column != next(iter(waiting.values()))[0]):
+            bars, waiting = _with_averages(bars, waiting, key, at, days), {}
+        waiting[name] = (column, span)
+    return _with_averages(bars, waiting, key, at, days)
+
+
+def _with_averages(bars: DataFrame, averages: dict[str, tuple[str, int]], key: str, at: str, days: float) -> DataFrame:
+    """Averages of one column."""
+    x = F.col(next(iter(averages.values()))[0]).cast("double")
+    decay = {name: 1 - 2 / (span + 1) for name, (_, span) in averages.items()}
+    so_far = Window.partitionBy(key, "_part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    rows = bars.withColumn("_part", stretch(bars, at, days)).withColumn("_k", F.count(x).over(so_far))
+    place = F.greatest(F.col("_k") - 1, F.lit(0))
+    rows = rows.withColumns({"_block": F.floor(place / BLOCK).cast("int"), "_i": (place % BLOCK).cast("int")})
+    # A span of 1 has no memory: its decay is 0, and the last value counts alone.
+    weighed = {n: (1 - d) * x * F.pow(F.lit(d), -F.col("_i")) if d else x for n, d in decay.items()}
+    within = Window.partitionBy(key, "_part", "_block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    summed = {f"_s_{n}": F.sum(w).over(within) if decay[n] else F.last(w, ignorenulls=True).over(within) for n, w in weighed.items()}
+    ends = [(F.pow(F.lit(d), F.max("_i")) * F.sum(weighed[n]) if d else F.max_by(weighed[n], F.when(x.isNotNull(), F.col("_i")))).alias(n) for n, d in decay.items()]
+    blocks = rows.groupBy(key, "_part", "_block").agg(F.count(x).alias("m"), *ends, F.min_by(x, F.when(x.isNotNull(), F.col("_i"))).alias("x"))
+    entry = F.struct("_block", "m", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in decay))
+    parts = blocks.groupBy(key, "_part").agg(F.sort_array(F.collect_list(entry)).alias("_blocks"), F.min_by("x", F.when(F.col("x").isNotNull(), F.col("_block"))).alias("_x"))
+    order = Window.partitionBy(key).orderBy("_part")  # a row for each stretch
+    seed = F.first("_x", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = F.flatten(F.collect_list("_blocks").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    follow = lambda blocks_, start, n: F.aggregate(blocks_, start, lambda e, b: e * F.pow(F.lit(decay[n]), b["m"]) + b[n])
+    parts = parts.withColumns({"_seed": seed, "_before": before}).select(
+        F.col(key).alias("_of"), F.col("_part").alias("_stretch"), "_blocks", F.aggregate("_before", F.lit(0).cast("long"), lambda n, b: n + b["m"]).alias("_seen"), *(follow("_before", F.col("_seed"), n).alias(f"_c_{n}") for n in decay))
+    met = rows.withColumns(summed).join(parts, F.col(key).eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_stretch")))
+    out = {}
+    for n, d in decay.items():
+        carried = follow(F.slice("_blocks", 1, F.col("_block")), F.col(f"_c_{n}"), n)
+        own = F.col(f"_s_{n}") * F.pow(F.lit(d), F.col("_i")) + carried * F.pow(F.lit(d), F.col("_i") + 1) if d else F.col(f"_s_{n}")
+        out[n] = F.when(F.col("_k") + F.col("_seen") > 0, F.when(F.col(f"_s_{n}").isNotNull(), own).otherwise(carried))
+    return met.withColumns(out).select(*bars.columns, *averages)
 
 
 def true_range(high: Column | str, low: Column | str, close: Column | str, w: WindowSpec) -> Column:

@@ -1,6 +1,8 @@
 """Joins in event time: backward and forward as-of, interval and split-factor joins.
 
-As-of joins are a union and one window per key, so they shuffle once by key and never build pairs.
+As-of joins are a union and one window for each key and stretch of time, so they shuffle once and never build pairs. What
+a stretch does not hold itself comes from the last one before it that holds anything: a table of one row for each key
+and stretch. So a key with many rows is spread over as many tasks as its time has stretches.
 """
 
 from __future__ import annotations
@@ -8,28 +10,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import STRETCH, stretch
 
-def _asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str], order: Column) -> DataFrame:
+
+def _asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str], backward: bool, days: float) -> DataFrame:
     """Rows of ``left`` with a struct of ``right``'s values at the nearest row on one side; ties count as met.
 
-    The last value met along ``order`` is kept, so the frame only ever grows and each row is looked at once.
+    The last value met along the order is kept, so the frame only ever grows and each row is looked at once.
     """
     held = F.struct(F.col(right_at).alias("_at"), *values)
-    a = left.select(F.col(key).alias("_key"), F.col(left_at).alias("_time"), F.lit(1).alias("_kind"), F.struct("*").alias("_left"), F.lit(None).cast(right.select(held.alias("s")).schema["s"].dataType).alias("_right"))
-    b = right.select(F.col(key).alias("_key"), F.col(right_at).alias("_time"), F.lit(0).alias("_kind"), F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType).alias("_left"), held.alias("_right"))
-    w = Window.partitionBy("_key").orderBy(order, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("_met", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
-    return out.select("_left.*", F.col("_met").alias("met"))
-
-
-def backward_asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str]) -> DataFrame:
+    kinds = {"_left": left.select(F.struct("*").alias("s")).schema["s"].dataType, "_right": right.select(held.alias("s")).schema["s"].dataType}
+    none = lambda side: F.lit(None).cast(kinds[side]).alias(side)
+    row = lambda df, at, kind, own, other: df.select(F.col(key).alias("_key"), F.col(at).alias("_time"), stretch(df, at, days).alias("_part"), F.lit(kind).alias("_kind"), own, other)
+    a = row(left, left_at, 1, F.struct("*").alias("_left"), none("_right"))
+    b = row(right, right_at, 0, none("_left"), held.alias("_right"))
+    side = F.asc if backward else F.desc
+    w = Window.partitionBy("_key", "_part").orderBy(side("_time"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    within = a.unionByName(b).withColumn("_met", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
+    nearest = (F.max_by if backward else F.min_by)("_right", "_time")
+    ends = b.groupBy("_key", "_part").agg(nearest.alias("_end")).unionByName(a.select("_key", "_part").distinct().withColumn("_end", none("_right")))
+    ends = ends.groupBy("_key", "_part").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    before = Window.partitionBy("_key").orderBy(side("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("_key").alias("_of"), F.col("_part").alias("_at_part"), F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    out = within.join(carried, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_at_part")), "left")
+    return out.select("_left.*", F.coalesce("_met", "_carried").alias("met"))
+
+
+def backward_asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str], days: float = STRETCH) -> DataFrame:
     """The last row of ``right`` at or before each row of ``left``, as struct ``met`` (its time is ``met._at``)."""
-    return _asof(left, right, key, left_at, right_at, values, F.asc("_time"))
+    return _asof(left, right, key, left_at, right_at, values, True, days)
 
 
-def forward_asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str]) -> DataFrame:
+def forward_asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str], days: float = STRETCH) -> DataFrame:
     """The first row of ``right`` at or after each row of ``left``."""
-    return _asof(left, right, key, left_at, right_at, values, F.desc("_time"))
+    return _asof(left, right, key, left_at, right_at, values, False, days)
 
 
 def bar_index(bars: DataFrame, key: str = "symbol", at: str = "bar_date") -> DataFrame:
