@@ -72,6 +72,13 @@ def schema_of(df: DataFrame, *names: str) -> str:
 _HELD: dict[object, Any] = {}
 
 
+def trim() -> None:
+    """What is free goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def hold(key: object = None, make: Callable[[], Any] | None = None) -> Any:
     """What a Python worker keeps from task to task: one operator's memory at a time; without a key, nothing.
 
@@ -80,9 +87,7 @@ def hold(key: object = None, make: Callable[[], Any] | None = None) -> Any:
     """
     if key not in _HELD:
         _HELD.clear()
-        pa.default_memory_pool().release_unused()
-        if hasattr(_LIBC, "malloc_trim"):
-            _LIBC.malloc_trim(0)
+        trim()
         if make is not None:
             _HELD[key] = make()
     return _HELD.get(key)

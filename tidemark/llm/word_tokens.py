@@ -14,11 +14,11 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from .common import hold
+from .common import hold, trim
 
 #: Bytes of chunks with their ids in each of two generations, the entry in the dictionary included, and the longest
 #: chunk that is kept.
-CACHE_BYTES, ENTRY_BYTES, LONGEST = 60_000_000, 100, 64
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 30_000_000, 100, 64
 
 
 class WordTokens:
@@ -87,8 +87,11 @@ class WordTokens:
                     last = end
             else:
                 others += part
-        for c, e in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False)) if others else ():
-            young[c] = np.array(e.ids, "<u4").tobytes()
+        # What the library gives for a text holds a kilobyte of offsets and strings, so few are asked for at a time.
+        for k in range(0, len(others), 2000):
+            part = others[k : k + 2000]
+            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+                young[c] = np.array(e.ids, "<u4").tobytes()
         for c in ended:
             young[c] = young[c[:-1]] + self.marks[c[-1]]
 
@@ -110,6 +113,7 @@ class WordTokens:
                 self.young_bytes += sys.getsizeof(c) + sys.getsizeof(young[c]) + ENTRY_BYTES
         if self.young_bytes > CACHE_BYTES:
             self.old, self.young, self.young_bytes = young, {}, 0
+            trim()
         return out
 
 
