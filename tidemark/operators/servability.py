@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import decisions as D
+
 #: Verdicts from the worst on; the last two may be served.
 VERDICTS = ("NON_SERVABLE_FUTURE", "NON_SERVABLE_POST_EVENT", "NON_SERVABLE_CIRCULAR", "NON_SERVABLE_UNKNOWN", "SERVABLE", "OPTIONAL_SERVABLE")
 SERVED = 4
@@ -61,3 +63,16 @@ def audit(declarations: DataFrame, candidate_version: str, stored: Callable[[Dat
     of = lambda c: F.element_at(verdicts, F.col(c) + 1)
     both = own.join(now, "feature")
     return both.select("feature", of("own").alias("own"), of("verdict").alias("classification"), (F.col("verdict") >= SERVED).alias("servable"), (F.col("verdict") < F.col("own")).alias("inherited"))
+
+
+def labelled(rows: DataFrame, symbol: str, mature: Column) -> DataFrame:
+    """Decisions that can be learned from, with labels: ``rows`` has event_date, recommendation, ret_1 and ret_5.
+
+    A symbol is trimmed, in capitals, and begins with a letter; a decision is mature up to the day ``mature``; it needs a
+    recommendation and one of the returns. Labels of a missing return are null.
+    """
+    name = F.upper(F.trim(symbol))
+    able = name.rlike("^[A-Z][A-Z0-9.-]{0,14}$") & (F.col("event_date") <= mature) & (F.trim("recommendation") != "") & (F.col("ret_1").isNotNull() | F.col("ret_5").isNotNull())
+    r = F.col("ret_5")
+    of = lambda c: F.when(r.isNotNull(), c.cast("int"))
+    return rows.where(F.coalesce(able, F.lit(False))).withColumns({"symbol": name, "label_up_5d": of(r > 0), "label_drawdown_5d": of(r <= -0.02), "return_bin_5d": F.when(r.isNotNull(), D.return_bucket(r))})

@@ -11,6 +11,7 @@ from ..operators import servability as V
 from ..sources import caches as C
 from ..sources import market as M
 from ..sources.files import stored, work_folder
+from .join_queries import _FORWARD, outcomes
 from .registry import query
 
 _DECLARED = """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size AS s FROM part),
@@ -64,3 +65,17 @@ def split_cache(spark: SparkSession, d: str) -> DataFrame:
     except ValueError:
         pass
     return cache.read(spark).drop("retrieved")
+
+
+_LABELLED = M.with_views("bars", "decisions", more=_FORWARD + """, raw AS (SELECT *, seq % 53 <> 0 AS named, CASE WHEN seq % 31 <> 0 THEN action END AS recommendation, e1 / entry - 1 AS r1, e5 / entry - 1 AS r5 FROM o),
+kept AS (SELECT * FROM raw WHERE named AND event_date <= (SELECT max(event_date) FROM decisions) - 30 AND recommendation IS NOT NULL AND (r1 IS NOT NULL OR r5 IS NOT NULL))""")
+
+
+@query("flt12_labelled_decisions", _LABELLED + """SELECT seq, symbol, recommendation, CASE WHEN r5 IS NOT NULL THEN CAST(r5 > 0 AS INTEGER) END AS label_up_5d, CASE WHEN r5 IS NOT NULL THEN CAST(r5 <= -0.02e0 AS INTEGER) END AS label_drawdown_5d,
+  CASE WHEN r5 < -0.03e0 THEN 'big_loss' WHEN r5 < -0.005e0 THEN 'loss' WHEN r5 <= 0.005e0 THEN 'flat' WHEN r5 <= 0.03e0 THEN 'gain' WHEN r5 > 0.03e0 THEN 'big_gain' END AS return_bin_5d FROM kept""")
+def labelled_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Mature decisions with a proper symbol, a recommendation and a return at one horizon at least, and their labels."""
+    o = outcomes(spark, d, [1, 5])
+    raw = o.withColumns({"written": F.when(F.col("seq") % 53 != 0, F.concat(F.lit(" "), F.lower("symbol"))).otherwise(F.lit("no symbol!")), "recommendation": F.when(F.col("seq") % 31 != 0, F.col("action"))})
+    newest = M.decisions(spark, d).agg(F.max("event_date").alias("newest"))
+    return V.labelled(raw.crossJoin(F.broadcast(newest)), "written", F.date_sub("newest", 30)).select("seq", "symbol", "recommendation", "label_up_5d", "label_drawdown_5d", "return_bin_5d")  # one row
