@@ -60,20 +60,36 @@ def path_closes(close: str, n: int, key: str = "symbol", at: str = "bar_date") -
     return F.collect_list(close).over(Window.partitionBy(key).orderBy(at).rowsBetween(0, n))
 
 
-def interval_features(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, row_id: str, spans: dict[str, int], bucket: int, aggregates) -> DataFrame:
-    """Aggregates over the rows of ``right`` up to max(spans) seconds before each row of ``left``.
+def running_totals(rows: DataFrame, key: str, at: str, values: list[str], days: float = STRETCH) -> DataFrame:
+    """key, time and the totals of ``values`` up to and with that time; one row for each key and time.
 
-    Both sides are dealt into time buckets as long as the longest span, so the join is on equal keys and a row of
-    ``right`` meets two buckets only. ``aggregates(name, inside)`` gives the columns of a span.
+    Rows of one time are added up first. Totals run within stretches of time; a stretch's total is carried into later ones.
+    Values should be integers: then totals are exact, whatever the order of adding. Rows without key or time go.
     """
-    longest = max([bucket, *spans.values()])
-    slot = lambda c: F.floor(F.col(c) / longest)
-    a = left.withColumn("_slot", slot(left_at))
-    b = right.withColumn("_slot", F.explode(F.array(slot(right_at), slot(right_at) + 1)))
-    b = b.select(F.col(key).alias("_k"), "_slot", F.struct(*right.columns).alias("r"))
-    joined = a.join(b, (a[key] == b["_k"]) & (a["_slot"] == b["_slot"]) & (F.col(f"r.{right_at}") <= F.col(left_at)) & (F.col(f"r.{right_at}") > F.col(left_at) - longest), "left")
-    columns = [c for name, span in spans.items() for c in aggregates(name, F.col(f"r.{right_at}") > F.col(left_at) - span)]
-    return joined.groupBy(row_id).agg(*columns)
+    sums = [F.sum(v).alias(v) for v in values]
+    moments = rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, at).agg(*sums)
+    moments = moments.withColumn("_part", stretch(moments, at, days))
+    within = Window.partitionBy(key, "_part").orderBy(at)
+    order = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    parts = moments.groupBy(key, "_part").agg(*sums)
+    before = parts.select(F.col(key).alias("_of"), F.col("_part").alias("_stretch"), *(F.coalesce(F.sum(v).over(order), F.lit(0)).alias(f"_before_{v}") for v in values))
+    run = moments.select(key, at, "_part", *(F.sum(v).over(within).alias(v) for v in values))
+    met = run.join(before, (F.col(key) == F.col("_of")) & (F.col("_part") == F.col("_stretch")))
+    return met.select(key, at, *((F.coalesce(v, F.lit(0)) + F.col(f"_before_{v}")).alias(v) for v in values))
+
+
+def interval_totals(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, by: list[str], values: list[str], spans: dict[str, int], days: float = STRETCH) -> DataFrame:
+    """``by`` (unique in ``left``) and, as <value>_<name>, totals of ``right``'s values over the last spans[name] seconds.
+
+    A row of ``right`` counts where left_at - span < right_at <= left_at, both in whole seconds. A total is the difference of
+    two running totals, so no pair of rows is ever formed, however many lie in an interval. Without any row it is 0.
+    """
+    run = running_totals(right, key, right_at, values, days)
+    probes = F.array(F.struct(F.lit("").alias("_name"), F.col(left_at).alias("_probe")), *(F.struct(F.lit(n).alias("_name"), (F.col(left_at) - s).alias("_probe")) for n, s in spans.items()))
+    asked = left.select(*dict.fromkeys([*by, key]), F.inline(probes))
+    met = backward_asof(asked, run, key, "_probe", right_at, values, days)
+    upto = lambda name, v: F.coalesce(F.max(F.when(F.col("_name") == name, F.col(f"met.{v}"))), F.lit(0))
+    return met.groupBy(*by).agg(*((upto("", v) - upto(n, v)).alias(f"{v}_{n}") for n in spans for v in values))
 
 
 def cumulative_factor(splits: DataFrame) -> DataFrame:

@@ -85,9 +85,8 @@ def split_range(spark: SparkSession, d: str) -> DataFrame:
 FROM e LEFT JOIN news n ON n.symbol = e.symbol AND n.published_ts <= e.ts AND n.published_ts > e.ts - 259200 GROUP BY e.seq""")
 def news_interval(spark: SparkSession, d: str) -> DataFrame:
     events = M.decisions(spark, d).select("seq", "symbol", "ts")
-    news = M.news(spark, d).select("symbol", "published_ts", "doc_id")
-    count = lambda name, inside: [F.count(F.when(inside, F.col("r.doc_id"))).alias(name)]
-    return A.interval_features(events, news, "symbol", "ts", "published_ts", "seq", {"news_24h": 86400, "news_72h": 259200}, 259200, count)
+    news = M.news(spark, d).select("symbol", "published_ts", F.lit(1).alias("news"))
+    return A.interval_totals(events, news, "symbol", "ts", "published_ts", ["seq"], ["news"], {"24h": 86400, "72h": 259200})
 
 
 @query("jon10_ranking_pairs", M.with_views("bars", "decisions", more=_FORWARD + ", s AS (SELECT probability_up AS p, CASE WHEN e5 / entry - 1 > 0 THEN 1 ELSE 0 END AS y FROM o WHERE probability_up IS NOT NULL AND e5 IS NOT NULL), g AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY p), c AS (SELECT *, sum(neg) OVER (ORDER BY p DESC) AS above FROM g)")

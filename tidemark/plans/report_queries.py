@@ -230,16 +230,11 @@ _PWEIGHT = "CASE CAST(substring(publisher, 4) AS INT) % 3 WHEN 0 THEN 1e0 WHEN 1
 
 @query("jon08_news_weights", M.with_views("decisions", "news", more=f"n AS (SELECT *, {_PWEIGHT} AS w, CASE WHEN contains(lower(title), 'ering') THEN 1e0 ELSE -1e0 END AS tone FROM news)") + "SELECT d.seq, count(n.doc_id) AS n_72, count(n.doc_id) FILTER (n.published_ts > d.ts - 86400) AS n_24, round(avg(w), 6) AS mean_weight, round(avg(tone), 6) AS mean_tone, round(sum(w * tone) / sum(w), 6) AS weighted_tone FROM decisions d LEFT JOIN n ON n.symbol = d.symbol AND n.published_ts <= d.ts AND n.published_ts > d.ts - 259200 GROUP BY 1")
 def news_weights(spark: SparkSession, d: str) -> DataFrame:
-    n = M.news(spark, d).select("doc_id", "symbol", "published_ts", F.expr(_PWEIGHT).alias("w"), F.when(F.contains(F.lower("title"), F.lit("ering")), 1.0).otherwise(-1.0).alias("tone"))
-
-    def parts(name: str, inside: F.Column) -> list[F.Column]:
-        of = lambda x: F.when(inside, x)
-        if name == "24":
-            return [F.count(of(F.col("r.doc_id"))).alias("n_24")]
-        w, t = F.col("r.w"), F.col("r.tone")
-        return [F.count(of(F.col("r.doc_id"))).alias("n_72"), F.round(F.avg(of(w)), 6).alias("mean_weight"), F.round(F.avg(of(t)), 6).alias("mean_tone"), F.round(F.sum(of(w * t)) / F.sum(of(w)), 6).alias("weighted_tone")]
-
-    return A.interval_features(M.decisions(spark, d).select("seq", "symbol", "ts"), n, "symbol", "ts", "published_ts", "seq", {"72": 259200, "24": 86400}, 259200, parts)
+    w, tone = F.round(F.expr(_PWEIGHT) * 100).cast("long"), F.when(F.contains(F.lower("title"), F.lit("ering")), 1).otherwise(-1)
+    n = M.news(spark, d).select("symbol", "published_ts", F.lit(1).alias("n"), w.alias("w"), tone.alias("tone"), (w * tone).alias("both"))  # weights in hundredths, so totals are exact
+    t = A.interval_totals(M.decisions(spark, d).select("seq", "symbol", "ts"), n, "symbol", "ts", "published_ts", ["seq"], ["n", "w", "tone", "both"], {"72": 259200, "24": 86400})
+    each = lambda a, b: F.round(F.try_divide(a, b), 6)
+    return t.select("seq", "n_72", "n_24", each(F.col("w_72") / 100, F.col("n_72")).alias("mean_weight"), each(F.col("tone_72"), F.col("n_72")).alias("mean_tone"), each(F.col("both_72"), F.col("w_72")).alias("weighted_tone"))
 
 
 @query("flt04_calibration_rows", _SCORED.rstrip() + " SELECT seq, greatest(1e-6, least(1 - 1e-6, probability_up)) AS predicted, CAST(up AS INTEGER) AS observed FROM s")
