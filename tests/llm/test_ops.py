@@ -79,6 +79,19 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty, 8).count() == 0
 
 
+def test_sharding_of_one_key_and_clashing_columns(spark):
+    rows = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    one = sharding.shard_documents(rows, 8).collect()
+    assert len({r["shard"] for r in one}) == 1 and sorted(r["slot"] for r in one) == list(range(5000))
+    again = {(r["text_crc32"], r["slot"]) for r in sharding.shard_documents(rows.repartition(7), 8).collect()}
+    assert again == {(r["text_crc32"], r["slot"]) for r in one}
+    odd = spark.createDataFrame([(1, "a", "b", 7, 8), (1, "c", "d", 7, 9), (None, "e", None, 7, 9)], "k long, Shard string, _bucket string, slot int, _row int")
+    out = sharding.assign_shards(odd, "k", 4, ["k", "slot", "_row"], "_row")
+    assert out.columns == ["k", "_bucket", "_row", "shard", "grown_shard", "slot"]
+    assert {(r["k"], r["_bucket"], r["_row"]) for r in out.collect()} == {(1, "b", 8), (1, "d", 9), (None, None, 9)}
+    assert sorted(r["slot"] for r in out.where("k = 1").collect()) == [0, 1] or out.select("shard").distinct().count() == 1
+
+
 def test_sharding_many_shards_and_keys(spark):
     keys = spark.createDataFrame([(k,) for k in (-1, 0, 1, 2**63 - 1, -(2**63), 123456789)], "k long")
     got = {r["k"]: r["j"]["shard"] for r in keys.select("k", sharding.jump_hash(keys["k"], 500).alias("j")).collect()}

@@ -5,7 +5,9 @@ shard takes rows only into itself.
 
 Edge cases: a null key counts as key 0; a null text has size 1 and the CRC of the empty string; rows that are
 equal in key, CRC and size get neighbouring slots in any order, which cannot be told apart; an empty table gives
-an empty table; other columns are left alone and may have any name.
+an empty table; columns named shard, grown_shard or slot are replaced, all others are left alone and may have any
+name. Rows of one key with different texts are numbered in different buckets, so a key (null, say) may hold any share
+of the rows.
 """
 
 from __future__ import annotations
@@ -66,30 +68,32 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.struct(out["kept"].cast("int").alias("shard"), out["b"].cast("int").alias("grown"))
 
 
-def assign_shards(df: DataFrame, key: str, shards: int, order: list[str], buckets: int = 4096) -> DataFrame:
+def assign_shards(df: DataFrame, key: str, shards: int, order: list[str], spread: str | None = None, buckets: int = 4096) -> DataFrame:
     """Add shard, grown_shard and slot, a number without gaps from 0 in each shard.
 
     A shard's rows are numbered in ``buckets`` hash buckets side by side, and each bucket starts after the rows
     of those before it. The table of starts has shards * buckets rows at most, so it is broadcast whatever the
-    input's size; no task ever sorts a whole shard.
+    input's size; no task ever sorts a whole shard. ``spread`` is a number that differs between rows of one key: it
+    moves them to different buckets of their shard.
     """
     hi, lo = _limbs(F.col(key))
-    bucket = _step(hi, lo)[0].bitwiseAND(buckets - 1).cast("int")
-    placed = df.withColumn("_jump", jump_hash(F.col(key), shards)).withColumn("_bucket", bucket)
-    placed = placed.withColumns({"shard": F.col("_jump.shard"), "grown_shard": F.col("_jump.grown")}).drop("_jump")
+    bucket = (_step(hi, lo)[0] + (F.coalesce(F.col(spread).cast("long"), F.lit(0)) if spread else 0)).bitwiseAND(buckets - 1).cast("int")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "grown_shard", "slot")]
+    placed = df.select(F.struct(*kept).alias("_row"), F.struct(*order).alias("_order"), jump_hash(F.col(key), shards).alias("_jump"), bucket.alias("_bucket"))
+    placed = placed.select("_row", "_order", "_bucket", "_jump.shard", F.col("_jump.grown").alias("grown_shard"))
     sizes = placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_bucket").orderBy(*order)
-    numbered = placed.withColumn("_at", F.row_number().over(within) - 1)
-    return numbered.join(F.broadcast(starts), ["shard", "_bucket"]).withColumn("slot", (F.col("_start") + F.col("_at")).cast("long")).drop("_start", "_at", "_bucket")
+    numbered = placed.withColumn("_at", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_order")) - 1)
+    slot = (F.col("_start") + F.col("_at")).cast("long").alias("slot")
+    return numbered.join(F.broadcast(starts), ["shard", "_bucket"]).select("_row.*", "shard", "grown_shard", slot)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = assign_shards(sized, "doc_id", shards, ["doc_id", "text_crc32", "size"])
+    out = assign_shards(sized, "doc_id", shards, ["doc_id", "text_crc32", "size"], "text_crc32")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
@@ -109,7 +113,7 @@ g AS (SELECT *, list_reduce(list_transform(range(10), lambda i: {'k': k0, 'b': C
     {'k': (s.k * 2862933555777941757 + 1) % 18446744073709551616, 'b': s.j,
      'j': CAST(floor((s.j + 1) * (2147483648e0 / CAST(((s.k * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1 AS DOUBLE))) AS BIGINT),
      'kept': CASE WHEN s.j < 8 THEN s.j ELSE s.kept END} END) AS s,
-  CAST((((k0 * 2862933555777941757 + 1) % 18446744073709551616) // 4294967296) % 4096 AS BIGINT) AS bucket FROM a)
+  CAST((((k0 * 2862933555777941757 + 1) % 18446744073709551616) // 4294967296 + text_crc32) % 4096 AS BIGINT) AS bucket FROM a)
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(s.kept AS INTEGER) AS shard,
   row_number() OVER (PARTITION BY s.kept ORDER BY bucket, doc_id, text_crc32, size) - 1 AS slot, CAST(s.b AS INTEGER) AS grown_shard FROM g
 """
