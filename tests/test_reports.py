@@ -153,3 +153,16 @@ def test_drivers_and_cards(spark):
     assert (cards["A"]["previous_close"], cards["A"]["change"], cards["A"]["series"]) == (100.0, 10.0, [float(i) for i in range(5, 20)])
     assert (cards["B"]["change_percent"], cards["B"]["series"]) == (10.0, [])
     assert [cards[s]["unavailable_reason"] for s in "CDE"] == ["quote_older_than_96h", "missing_current_value", None] and cards["E"]["previous_close"] is None
+
+
+def test_comparison_scope(spark):
+    rows = [("a", "x" if i % 2 else "X", None if i % 3 else "e", later(i), 1.0, "2") for i in range(10)] + [("b", None, "e", later(0), None if i < 3 else 1.0, "nan") for i in range(10)]
+    frame = spark.createDataFrame(rows, "g string, symbol string, endpoint string, event_date date, p double, q string")
+    got = {r["g"]: r for r in V.comparison_scope(frame, "g", ["p"], ["p", "q"], {"target": True}, 10).collect()}
+    assert (got["a"]["n"], got["a"]["symbols"], got["a"]["endpoints"], got["a"]["evidence"], got["a"]["reasons"]) == (10, 1, 2, True, "")
+    assert got["b"]["reasons"] == "production features filled; candidate features incomplete" and not got["b"]["like_with_like"]
+    other = {r["g"]: r for r in V.comparison_scope(frame, "g", ["p"], ["gone"], {"target": False}, 11).collect()}
+    assert other["a"]["reasons"] == "too few rows; production features filled; target differs" and other["a"]["scope"] == "narrow_diagnostic"
+    shares = {(r["g"], r["feature"]): r["availability_rate"] for r in V.coverage(frame, "g", ["p", "q", "gone"]).collect()}
+    assert shares == {("a", "p"): 1.0, ("a", "q"): 1.0, ("a", "gone"): 0.0, ("b", "p"): 0.7, ("b", "q"): 0.0, ("b", "gone"): 0.0}
+    assert V.comparison_scope(frame.limit(0), "g", ["p"], ["q"], {}).count() == 0

@@ -159,3 +159,37 @@ def hygiene(rows: DataFrame, parameters: DataFrame, horizon: int = 5, tolerance:
     issue = lambda ok, text: F.when(~F.col(ok), text)
     issues = F.concat_ws(";", issue("split_ok", "periods missing or out of order"), issue("purge_ok", "boundaries not purged"), issue("reproduced", "recipe not reproduced"))
     return out.select("split", *(f"rows_{p}" for p in PERIODS), "shared_days", "shared_pairs", "short_gaps", "split_ok", "purge_ok", "reproduced", issues.alias("issues"))
+
+
+def coverage(rows: DataFrame, by: str, features: list[str]) -> DataFrame:
+    """``by``, feature, n, filled, fill_rate, availability_rate: how often a model would fill a feature in.
+
+    A column that isn't there is always filled; text that reads as a number is one.
+    """
+    there = set(rows.columns)
+    number = lambda c: F.expr(f"try_cast(`{c}` AS DOUBLE)")
+    held = lambda c: F.count(F.when(number(c).isNotNull() & ~F.isnan(number(c)), 1)) if c in there else F.lit(0).cast("long")
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *(held(c).alias(f"f{i}") for i, c in enumerate(features)))
+    each = counts.select(by, "n", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"f{i}").alias("held")) for i, c in enumerate(features)))))
+    return each.select(by, "feature", "n", (F.col("n") - F.col("held")).alias("filled"), F.round(1 - F.col("held") / F.col("n"), 6).alias("fill_rate"), F.round(F.col("held") / F.col("n"), 6).alias("availability_rate"))
+
+
+def comparison_scope(rows: DataFrame, by: str, candidate: list[str], production: list[str], matches: dict[str, bool], least: int = 1000, available: float = 0.8) -> DataFrame:
+    """One row for each comparison ``by``: its size, whether both models really had their features, and what it may be used for.
+
+    ``rows`` has event_date, symbol and endpoint; a missing symbol or endpoint is unknown. ``matches`` says which policies both
+    models share (target, horizon, weights, lineage). Rows are folded by (comparison, symbol, endpoint) before symbols are counted.
+    """
+    shares = coverage(rows, by, list(dict.fromkeys([*candidate, *production])))
+    whole = lambda features: F.coalesce(F.min(F.when(F.col("feature").isin(*features), F.col("availability_rate") >= available)), F.lit(False)) if features else F.lit(False)
+    covered = shares.groupBy(F.col(by).alias("_of")).agg(whole(candidate).alias("candidate_covered"), whole(production).alias("production_covered"))
+    folded = rows.groupBy(by, F.upper(F.coalesce("symbol", F.lit("unknown"))).alias("_symbol"), F.coalesce("endpoint", F.lit("unknown")).alias("_endpoint")).agg(F.count(F.lit(1)).alias("n"), F.min("event_date").alias("first"), F.max("event_date").alias("last"))
+    size = folded.groupBy(by).agg(F.sum("n").alias("n"), F.min("first").alias("first_day"), F.max("last").alias("last_day"), F.count_distinct("_symbol").alias("symbols"), F.count_distinct("_endpoint").alias("endpoints"))
+    narrow = F.col("n") < least
+    reasons = [F.when(narrow, "too few rows"), F.when(~F.col("production_covered"), "production features filled"), F.when(~F.col("candidate_covered"), "candidate features incomplete"), *(F.lit(f"{name} differs") for name, same in matches.items() if not same)]
+    alike = F.col("production_covered") & F.col("candidate_covered") & F.lit(all(matches.values()))
+    out = size.join(covered, F.col(by).eqNullSafe(F.col("_of")), "left").na.fill(False, ["candidate_covered", "production_covered"])
+    return out.select(
+        by, "n", "first_day", "last_day", "symbols", "endpoints", F.when(narrow, "narrow_diagnostic").otherwise("holdout-only").alias("scope"), "candidate_covered", "production_covered", alike.alias("like_with_like"),
+        (alike & ~narrow).alias("evidence"), F.concat_ws("; ", *reasons).alias("reasons"),
+    )

@@ -123,3 +123,17 @@ def index_cards(spark: SparkSession, d: str) -> DataFrame:
     quotes = q.select("symbol", F.when(F.col("id") % 11 != 0, F.col("close_px")).alias("price"), F.when(F.col("id") % 5 != 0, pct).alias("change_percent"), F.when(F.col("id") % 3 == 0, F.col("before")).alias("previous_close"), age.alias("age"))
     cards = G.index_cards(quotes, bars.select("symbol", F.col("bar_date").alias("at"), F.col("close_px").alias("close")))
     return cards.withColumn("series", F.array_join(F.transform("series", lambda x: x.cast("string")), " "))
+
+
+_COVERED = M.with_views("decisions", more="""r AS (SELECT action AS comparison, symbol, endpoint, event_date, probability_up AS p, CASE WHEN endpoint <> 'quick_ask' AND action = 'HOLD' THEN 'n/a' ELSE CAST(seq % 97 AS VARCHAR) END AS written FROM decisions),
+s AS (SELECT comparison, count(*) AS n, min(event_date) AS first_day, max(event_date) AS last_day, count(DISTINCT symbol) AS symbols, count(DISTINCT endpoint) AS endpoints, round(count(p) / count(*)::DOUBLE, 6) >= 0.8e0 AS candidate_covered, round(count(try_cast(written AS DOUBLE)) / count(*)::DOUBLE, 6) >= 0.8e0 AS w FROM r GROUP BY 1),
+t AS (SELECT * EXCLUDE (w), candidate_covered AND w AS production_covered FROM s)""")
+
+
+@query("evl18_comparison_scope", _COVERED + """SELECT *, CASE WHEN n < 500 THEN 'narrow_diagnostic' ELSE 'holdout-only' END AS scope, candidate_covered AND production_covered AS like_with_like, candidate_covered AND production_covered AND n >= 500 AS evidence,
+  concat_ws('; ', CASE WHEN n < 500 THEN 'too few rows' END, CASE WHEN NOT production_covered THEN 'production features filled' END, CASE WHEN NOT candidate_covered THEN 'candidate features incomplete' END) AS reasons FROM t""")
+def comparison_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Comparisons on the decisions of each action: which of them may count as evidence for a promotion."""
+    written = F.when((F.col("endpoint") != "quick_ask") & (F.col("action") == "HOLD"), "n/a").otherwise(F.pmod("seq", F.lit(97)).cast("string"))
+    rows = M.decisions(spark, d).select(F.col("action").alias("comparison"), "symbol", "endpoint", "event_date", F.col("probability_up").alias("p"), written.alias("written"))
+    return V.comparison_scope(rows, "comparison", ["p"], ["p", "written"], {"target": True, "horizon": True, "weights": True, "lineage": True}, 500)
