@@ -87,3 +87,29 @@ def test_plateau_and_pareto(spark):
     assert tuple(L.plateau(grid, "step", "u", 0.2).first()) == (2, 3, 2.0)
     models = spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, 1.0), ("c", 0.0, 3.0), ("d", 2.0, 1.0)], "m string, x double, y double")
     assert {r["m"] for r in L.undominated(models, "m", ["x", "y"]).collect()} == {"b", "c", "d"}
+
+
+def test_averages_in_place_equal_the_recurrence(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for symbol, n, lead in (("A", 1500, 0), ("B", 300, 70), ("C", 1, 0), ("D", 5, 5), (None, 40, 3)):
+        x = [None if k < lead or rng.random() < 0.1 else float(v) for k, v in enumerate(100 + rng.standard_normal(n).cumsum())]
+        e = {span: None for span in (1, 2, 12, 26, 200)}
+        for at, v in enumerate(x):
+            e = {span: v if before is None else before if v is None else before + 2 / (span + 1) * (v - before) for span, before in e.items()}
+            rows.append((symbol, at, v))
+            want[symbol, at] = dict(e)
+    df = spark.createDataFrame(rows, "symbol string, at long, x double").repartition(5)
+    got = W.with_ema_in_place(df, {**{f"e{s}": ("x", s) for s in (1, 2, 12, 26, 200)}, "again": ("e12", 1)}, at="at").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        for span, v in want[r["symbol"], r["at"]].items():
+            assert (r[f"e{span}"] is None) == (v is None) and (v is None or abs(r[f"e{span}"] - v) < 1e-8)
+        assert r["again"] == r["e12"]
+
+
+def test_features_shuffle_bars_twice_and_labels_are_written_once(spark, sf_dir):
+    plan = Q.features(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(symbol") <= 2  # bars, then their windows
+    assert "Scan parquet" in Q.labelled(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().replace("FileScan", "Scan")
+    assert "Window" not in Q.labelled(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

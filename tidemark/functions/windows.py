@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType
@@ -68,6 +70,8 @@ def rsi(delta: Column | str, n: int, w: WindowSpec, zero_loss: str = "hundred")
 
 #: Days of a stretch of time; times that are plain numbers count as seconds. Rows of a block within a stretch.
 STRETCH, BLOCK = 128, 64
+#: How many times as far each pass of an average reaches.
+RADIX = 8
 
 
 def stretch(rows: DataFrame, at: str, days: float = STRETCH) -> Column:
@@ -126,6 +130,37 @@ def _with_averages(bars: DataFrame, averages: dict[str, tuple[str, int]], key: s
     return met.withColumns(out).select(*bars.columns, *averages)
 
 
+def with_ema_in_place(bars: DataFrame, averages: dict[str, tuple[str, int]], key: str = "symbol", at: str = "bar_date") -> DataFrame:
+    """What ``with_ema`` gives, for rows that windows of their key hold in one task anyway: no further shuffle or join.
+
+    A value weighs what its distance leaves of it. Each pass adds RADIX - 1 earlier sums at equal distances, so sums reach RADIX
+    times as far; passes end where a value's weight is below the rounding of doubles.
+    """
+    waiting: dict[str, tuple[str, int]] = {}
+    for name, (column, span) in averages.items():
+        if column in waiting:
+            bars, waiting = _with_scans(bars, waiting, key, at), {}
+        waiting[name] = (column, span)
+    return _with_scans(bars, waiting, key, at)
+
+
+def _with_scans(bars: DataFrame, averages: dict[str, tuple[str, int]], key: str, at: str) -> DataFrame:
+    so_far = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    decay = {name: 1 - 2 / (span + 1) for name, (_, span) in averages.items()}
+    reach = {name: math.ceil(-37 / math.log(d)) if d else 1 for name, d in decay.items()}
+    start = {}
+    for name, (column, _) in averages.items():
+        x = F.col(column).cast("double")
+        start[name] = F.when(x.isNotNull(), F.when(F.count(x).over(so_far) == 1, x).otherwise((1 - decay[name]) * x))
+    rows, step = bars.withColumns(start), 1
+    before = lambda name, n: F.expr(f"lag(`{name}`, {n}) IGNORE NULLS OVER (PARTITION BY `{key}` ORDER BY `{at}`)")
+    while any(step < r for r in reach.values()):
+        added = {name: [F.lit(decay[name] ** (step * j)) * F.coalesce(before(name, step * j), F.lit(0.0)) for j in range(1, RADIX)] for name, r in reach.items() if step < r}
+        rows = rows.withColumns({name: sum(terms, F.col(name)) for name, terms in added.items()})
+        step *= RADIX
+    return rows.withColumns({name: F.last(name, ignorenulls=True).over(so_far) for name in averages})
+
+
 def true_range(high: Column | str, low: Column | str, close: Column | str, w: WindowSpec) -> Column:
     before = F.lag(_c(close)).over(w)
     return F.when(before.isNotNull(), F.greatest(_c(high) - _c(low), F.abs(_c(high) - before), F.abs(_c(low) - before)))

@@ -14,11 +14,14 @@ FEATURES = ["ret_1", "ret_5", "ret_20", "rsi_14", "macd_hist", "volume_ratio", "
 
 
 def shared_features(bars: DataFrame, bench: DataFrame) -> DataFrame:
-    """symbol, bar_date and the features of the contract; ``bench`` has bar_date, bench_close, bench_ret5, bench_sma20."""
+    """symbol, bar_date and the features of the contract; ``bench`` has bar_date, bench_close, bench_ret5, bench_sma20.
+
+    A benchmark has one row a day, so it is broadcast; all else is windows over one shuffle by symbol.
+    """
     w = W.by_symbol()
     b = bars.withColumns({"i": F.row_number().over(w), "delta": F.col("close_px") - F.lag("close_px").over(w), "r": W.lagged_return("close_px", 1, w)})
-    b = W.with_ema(b.select("symbol", "bar_date", "close_px", "volume", "i", "delta", "r"), {"fast": ("close_px", 12), "slow": ("close_px", 26)})
-    b = W.with_ema(b.withColumn("macd", F.when(F.col("i") >= 26, F.col("fast") - F.col("slow"))), {"signal": ("macd", 9)})
+    b = W.with_ema_in_place(b.select("symbol", "bar_date", "close_px", "volume", "i", "delta", "r"), {"fast": ("close_px", 12), "slow": ("close_px", 26)})
+    b = W.with_ema_in_place(b.withColumn("macd", F.when(F.col("i") >= 26, F.col("fast") - F.col("slow"))), {"signal": ("macd", 9)})
     close = F.col("close_px")
     own = b.select(
         "symbol", "bar_date", "close_px", W.lagged_return("close_px", 1, w).alias("ret_1"), W.lagged_return("close_px", 5, w).alias("ret_5"), W.lagged_return("close_px", 20, w).alias("ret_20"),
@@ -26,7 +29,7 @@ def shared_features(bars: DataFrame, bench: DataFrame) -> DataFrame:
         (W.safe_ratio(close, W.moving_average("close_px", 20, w)) - 1).alias("vs_sma_20"), W.rolling_volatility("r", 20, w).alias("volatility_20"),
     )
     market = bench.select("bar_date", F.col("bench_ret5").alias("bench_ret_5"), F.when(F.col("bench_ret5").isNotNull() & F.col("bench_sma20").isNotNull(), ((F.col("bench_ret5") > 0) & (F.col("bench_close") >= F.col("bench_sma20"))).cast("double")).alias("risk_on"))
-    return own.join(market, "bar_date", "left").withColumn("relative_5", F.col("ret_5") - F.col("bench_ret_5"))
+    return own.join(F.broadcast(market), "bar_date", "left").withColumn("relative_5", F.col("ret_5") - F.col("bench_ret_5"))
 
 
 def medians(rows: DataFrame, columns: list[str]) -> dict[str, float]:

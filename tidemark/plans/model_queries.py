@@ -11,6 +11,7 @@ from ..operators import asof as A
 from ..operators import evaluation as E
 from ..operators import modeling as L
 from ..sources import market as M
+from ..sources.files import stored
 from .evaluation_queries import _SCORED, scored
 from .join_queries import _FORWARD, outcomes
 from .registry import query
@@ -35,10 +36,9 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """Bars with all features and the sign of the return over the next five bars."""
-    later = A.exits(M.bars(spark, d), [5]).select("symbol", "bar_date", "exit_5")
-    f = features(spark, d).join(later, ["symbol", "bar_date"]).withColumn("ret_next", F.col("exit_5") / F.col("close_px") - 1)
-    return f.where("ret_next is not null").na.drop(subset=L.FEATURES).withColumn("up", (F.col("ret_next") > 0).cast("double"))
+    """Bars with all features and the sign of the return over the next five bars, written once: a fit reads them several times."""
+    f = A.exits(features(spark, d), [5]).where("symbol is not null and bar_date is not null").withColumn("ret_next", F.col("exit_5") / F.col("close_px") - 1)
+    return stored(f.where("ret_next is not null").na.drop(subset=L.FEATURES).withColumn("up", (F.col("ret_next") > 0).cast("double")), "labelled-bars")
 
 
 @query("win15_shared_features", _FEATURES + " SELECT symbol, bar_date, " + ", ".join(f"round({c}, 5) AS {c}" for c in L.FEATURES) + " FROM x")
