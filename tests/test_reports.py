@@ -166,3 +166,13 @@ def test_comparison_scope(spark):
     shares = {(r["g"], r["feature"]): r["availability_rate"] for r in V.coverage(frame, "g", ["p", "q", "gone"]).collect()}
     assert shares == {("a", "p"): 1.0, ("a", "q"): 1.0, ("a", "gone"): 0.0, ("b", "p"): 0.7, ("b", "q"): 0.0, ("b", "gone"): 0.0}
     assert V.comparison_scope(frame.limit(0), "g", ["p"], ["q"], {}).count() == 0
+
+
+def test_decisions_beside_bars_equal_training_rows(spark):
+    bars = spark.createDataFrame([("A", later(i), 100.0 if i < 30 else 25.0) for i in range(60)], "symbol string, bar_date date, close_px double")
+    splits = spark.createDataFrame([("A", later(30), "forward_split", 1.0, 4.0, "s1"), ("B", later(3), "forward_split", 1.0, 2.0, "s2")], "ticker string, execution_date date, adjustment_type string, split_from double, split_to double, id string")
+    decisions = spark.createDataFrame([(i, "A", later(i)) for i in range(60)] + [(98, "A", later(7)), (99, "A", later(-5)), (100, "Z", later(4))], "seq long, symbol string, event_date date")
+    rows, beside = R.training_rows(decisions, R.windows(bars, splits)), R.decided_rows(decisions, bars, splits)
+    assert beside.columns == rows.columns and sorted(map(str, beside.collect())) == sorted(map(str, rows.collect()))
+    moved = [line for line in beside._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert moved and not any("_macd" in line for line in moved)

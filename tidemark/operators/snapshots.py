@@ -61,8 +61,8 @@ def indicators(bars: DataFrame) -> DataFrame:
     moved = moved.withColumns({c: F.when(F.col("_known"), F.col(c)) for c in ("_gain", "_loss")})
     strength = W.safe_ratio(W.moving_average("_gain", 14, w), W.moving_average("_loss", 14, w))
     out = moved.withColumns({"return_1d": W.lagged_return("close_px", 1, w), "return_5d": W.lagged_return("close_px", 5, w), "rsi_14": 100 - 100 / (1 + strength), "vol_ratio_20d": W.safe_ratio(F.col("volume"), W.moving_average("volume", 20, w))})
-    lines = W.with_ema(out.drop("_gain", "_loss", "_known"), {"_fast": ("close_px", 12), "_slow": ("close_px", 26)}).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    lines = W.with_ema(lines, {"_signal": ("_macd", 9)})
+    lines = W.with_ema_in_place(out.drop("_gain", "_loss", "_known"), {"_fast": ("close_px", 12), "_slow": ("close_px", 26)}).withColumn("_macd", F.col("_fast") - F.col("_slow"))
+    lines = W.with_ema_in_place(lines, {"_signal": ("_macd", 9)})
     return lines.withColumn("macd_hist", F.col("_macd") - F.col("_signal")).drop("_fast", "_slow", "_macd", "_signal")
 
 

@@ -15,15 +15,18 @@ FIELDS = (*SUSPICIOUS, "return_5d", "feature_volatility_20d", "feature_price_vs_
 SHARES = {"median": 0.5, "p99": 0.99, "p99_5": 0.995, "p99_9": 0.999}
 
 
-def windows(bars: DataFrame, splits: DataFrame) -> DataFrame:
+def windows(bars: DataFrame, splits: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """symbol, bar_date, the ends of its feature and label windows, and FIELDS as structs before and after adjustment.
 
     Feature windows reach back 20 bars (or to the first one), label windows five bars ahead; a close is adjusted by the
-    factor of all splits up to its day.
+    factor of all splits up to its day. A symbol has few splits, so bars meet their list. Columns of ``also`` stay.
     """
     w = W.by_symbol()
-    b = A.with_factor(bars.select("symbol", "bar_date", "close_px"), splits, "symbol", "bar_date", "factor")
-    b = b.select("symbol", "bar_date", F.col("close_px").alias("before"), (F.col("close_px") / F.col("factor")).alias("after"))
+    own = ["symbol", "bar_date", *also]
+    of = A.cumulative_factor(splits).groupBy(F.col("ticker").alias("_ticker")).agg(F.sort_array(F.collect_list(F.struct("execution_date", "factor"))).alias("_factors"))
+    b = bars.join(of, F.col("symbol") == F.col("_ticker"), "left")
+    factor = F.coalesce(F.try_element_at(F.filter("_factors", lambda f: f["execution_date"] <= F.col("bar_date")), F.lit(-1))["factor"], F.lit(1.0))
+    b = b.select(*own, F.col("close_px").alias("before"), (F.col("close_px") / factor).alias("after"))
     ends = {"feature_from": F.first("bar_date").over(w.rowsBetween(-20, 0)), "label_to": F.lead("bar_date", 5).over(w)}
     steps = {f"_{side}_step": W.lagged_return(side, 1, w) for side in ("before", "after")}
     b = b.withColumns(ends | steps)
@@ -32,11 +35,13 @@ def windows(bars: DataFrame, splits: DataFrame) -> DataFrame:
         fields |= {f"_{side}_{n}": W.lagged_return(side, n, w) for n in (5, 20)}
         fields |= {f"_{side}_next": W.forward_return(side, 5, w), f"_{side}_spread": W.full(f"_{side}_step", F.stddev_pop(f"_{side}_step").over(W.trailing(w, 20)), w, 20), f"_{side}_sma": W.safe_ratio(F.col(side), W.moving_average(side, 20, w)) - 1}
     b = b.withColumns(fields)
-    for side in ("before", "after"):
-        b = W.with_ema(b, {"_fast": (side, 12), "_slow": (side, 26)}).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-        b = W.with_ema(b, {"_signal": ("_macd", 9)}).withColumn(f"_{side}_macd", F.col("_macd") - F.col("_signal")).drop("_fast", "_slow", "_macd", "_signal")
+    sides = ("before", "after")
+    b = W.with_ema_in_place(b, {f"_{side}_{name}": (side, span) for side in sides for name, span in (("fast", 12), ("slow", 26))})
+    b = b.withColumns({f"_{side}_line": F.col(f"_{side}_fast") - F.col(f"_{side}_slow") for side in sides})
+    b = W.with_ema_in_place(b, {f"_{side}_signal": (f"_{side}_line", 9) for side in sides})
+    b = b.withColumns({f"_{side}_macd": F.col(f"_{side}_line") - F.col(f"_{side}_signal") for side in sides})
     held = lambda side: F.struct(*(F.col(f"_{side}_{c}").alias(f) for c, f in zip(("step", "5", "20", "next", "spread", "sma", "macd"), FIELDS))).alias(side)
-    return b.select("symbol", "bar_date", "feature_from", "label_to", held("before"), held("after"))
+    return b.select(*own, "feature_from", "label_to", held("before"), held("after"))
 
 
 def training_rows(decisions: DataFrame, windows_: DataFrame) -> DataFrame:
@@ -45,6 +50,19 @@ def training_rows(decisions: DataFrame, windows_: DataFrame) -> DataFrame:
     return met.where("met IS NOT NULL").select("seq", "symbol", "event_date", F.col("met._at").alias("bar_date"), "met.feature_from", "met.label_to", "met.before", "met.after")
 
 
+def decided_rows(decisions: DataFrame, bars: DataFrame, splits: DataFrame) -> DataFrame:
+    """``training_rows`` of all ``windows``, with decisions laid beside the last bar up to their day before windows are made.
+
+    So only narrow rows move: windows with their fields are never shuffled.
+    """
+    days = bars.select("symbol", "bar_date", "close_px")
+    met = A.backward_asof(decisions.select("seq", "symbol", "event_date"), days.select("symbol", "bar_date"), "symbol", "event_date", "bar_date", []).where("met IS NOT NULL")
+    asked = met.groupBy("symbol", F.col("met._at").alias("bar_date")).agg(F.collect_list(F.struct("seq", "event_date")).alias("_asked"))
+    held = days.join(asked, ["symbol", "bar_date"], "left")
+    rows = windows(held, splits, ("_asked",)).where("_asked IS NOT NULL").withColumn("_one", F.explode("_asked"))
+    return rows.select("_one.seq", "symbol", "_one.event_date", "bar_date", "feature_from", "label_to", "before", "after")
+
+
 def long(rows: DataFrame) -> DataFrame:
     """A row for each version and field that has a value."""
     cells = F.array(*(F.struct(F.lit(side).alias("version"), F.lit(f).alias("field"), F.col(f"{side}.{f}").alias("value")) for side in ("before", "after") for f in FIELDS))

@@ -99,7 +99,7 @@ _INSIDE = "s.ticker = {0}.symbol AND s.execution_date > {0}.{1} AND s.execution_
 
 def split_rows(spark: SparkSession, d: str) -> DataFrame:
     """Decisions with features and labels before and after adjustment, written once: reports read them several times."""
-    return stored(R.training_rows(M.decisions(spark, d), R.windows(M.bars(spark, d), M.splits(spark, d))), "split-rows")
+    return stored(R.decided_rows(M.decisions(spark, d), M.bars(spark, d), M.splits(spark, d)), "split-rows")
 
 
 @query("snk11_before_after", _TRAINED + ", k AS (SELECT *, row_number() OVER (PARTITION BY version, field ORDER BY value) AS k, count(*) OVER (PARTITION BY version, field) AS n FROM z) SELECT version, field, count(*) AS n, round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 6) AS mean, count(*) FILTER (abs(value) > lim) AS suspicious, "
