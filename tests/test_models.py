@@ -113,3 +113,10 @@ def test_features_shuffle_bars_twice_and_labels_are_written_once(spark, sf_dir):
     assert plan.count("Exchange hashpartitioning(symbol") <= 2  # bars, then their windows
     assert "Scan parquet" in Q.labelled(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().replace("FileScan", "Scan")
     assert "Window" not in Q.labelled(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_guardrails_read_their_sums_once(spark, sf_dir):
+    plan = Q.guardrails(spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+    once = Q.threshold_utilities(spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation") == once.count("Relation")
+    assert [tuple(r) for r in Q.guardrails(spark, sf_dir).where("step = 8").select("gain", "passes").collect()] == [(0.0, False)]

@@ -293,9 +293,11 @@ def plateau(spark: SparkSession, d: str) -> DataFrame:
 
 @query("evl03_guardrails", _SCORED.rstrip() + _THRESHOLDS + " SELECT CAST(a.step AS INTEGER) AS step, round(a.utility - b.utility, 6) AS gain, a.utility > b.utility AND a.n >= b.n * 0.5e0 AS passes FROM u a, u b WHERE b.step = 8")
 def guardrails(spark: SparkSession, d: str) -> DataFrame:
-    u = threshold_utilities(spark, d)
-    now = u.where("step = 8").select(F.col("utility").alias("now"), F.col("n").alias("now_n"))
-    return u.crossJoin(F.broadcast(now)).select("step", F.round(F.col("utility") - F.col("now"), 6).alias("gain"), ((F.col("utility") > F.col("now")) & (F.col("n") >= F.col("now_n") * 0.5)).alias("passes"))  # one row
+    """Each step against step 8 of the same sums: a second pass may add up in another order, and differ from itself."""
+    all_ = Window.partitionBy(F.lit(0))  # 17 rows
+    now = {f"now_{c}": F.max(F.when(F.col("step") == 8, F.col(c))).over(all_) for c in ("utility", "n")}
+    u = threshold_utilities(spark, d).withColumns(now)
+    return u.select("step", F.round(F.col("utility") - F.col("now_utility"), 6).alias("gain"), ((F.col("utility") > F.col("now_utility")) & (F.col("n") >= F.col("now_n") * 0.5)).alias("passes"))
 
 
 _VARIANTS = ", v AS (SELECT model_version || '/' || endpoint AS model, avg(r5) AS ret, -avg((probability_up - up) ** 2) AS fit, -avg(CASE WHEN r5 < -0.03e0 THEN 1e0 ELSE 0e0 END) AS loss FROM s GROUP BY 1)"
