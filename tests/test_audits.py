@@ -69,3 +69,11 @@ def test_fingerprints_do_not_depend_on_layout(spark):
     first = of(rows)
     assert first == of(rows.orderBy(F.rand(1)).repartition(7)) and len({f for _, f in first.values()}) == 3
     assert first != of(rows.where("key <> 'k3'")) and of(rows.unionByName(rows.limit(1)))[0] != first[0]
+
+
+def test_ages_of_half_a_second_go_to_the_even_one(spark, tmp_path):
+    from tidemark.plans.all_queries import QUERIES
+
+    rows = [(1, "2024-01-01 00:00:00", 7, "click"), (2, "2024-01-01 00:00:14.5", 7, "click"), (3, "2023-12-31 23:59:59", 7, "view")]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").selectExpr("event_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "user_id", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r["event_id"]: r["age"] for r in QUERIES["scl29_staleness"](spark, str(tmp_path)).collect()} == {1: 14, 2: 0, 3: 16}

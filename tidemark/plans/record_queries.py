@@ -240,7 +240,7 @@ def staleness(spark: SparkSession, d: str) -> DataFrame:
     kinds = {"click": "regular", "view": "pre", "signup": "after"}
     session = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()], F.lit("closed"))
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    age = F.round(F.max(seconds).over(Window.partitionBy("user_id")) - seconds).cast("bigint")
+    age = F.rint(F.max(seconds).over(Window.partitionBy("user_id")) - seconds).cast("bigint")  # halves to even, as SQL's cast
     return M.table(spark, d, "events").select("event_id", age.alias("age"), session.alias("session")).select("event_id", "age", (F.col("age") > R.stale_after(F.col("session"))).alias("stale"))
 
 
