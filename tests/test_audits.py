@@ -77,3 +77,12 @@ def test_ages_of_half_a_second_go_to_the_even_one(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00", 7, "click"), (2, "2024-01-01 00:00:14.5", 7, "click"), (3, "2023-12-31 23:59:59", 7, "view")]
     spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").selectExpr("event_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "user_id", "event_type").write.parquet(f"{tmp_path}/events.parquet")
     assert {r["event_id"]: r["age"] for r in QUERIES["scl29_staleness"](spark, str(tmp_path)).collect()} == {1: 14, 2: 0, 3: 16}
+
+
+def test_a_close_at_its_mean_is_not_above_it(spark):
+    from tidemark.functions import advice
+
+    rows = spark.createDataFrame([(1, 104.37, 104.36999999999998), (2, 104.37, 104.36), (3, 104.37, None)], "k int, close double, mean double")
+    none = F.lit(None).cast("double")
+    got = {r[0]: r[1] for r in rows.select("k", advice.technical_score(none, none, F.col("close"), F.col("mean"), none)).collect()}
+    assert got == {1: 0.0, 2: 2.0, 3: 0.0}

@@ -15,8 +15,11 @@ def points(*rules: tuple[Column, float]) -> Column:
 
 
 def technical_score(macd: Column, rsi: Column, close: Column, sma50: Column, relative_volume: Column) -> Column:
-    """MACD above 0: 3; RSI above 55: 1.5; close above its 50-bar mean: 2; volume above average 1, far below -1; cap 12."""
-    score = points((macd > 0, 3.0), (rsi > 55, 1.5), (close > sma50, 2.0), (relative_volume > 1, 1.0), (relative_volume < 0.5, -1.0))
+    """MACD above 0: 3; RSI above 55: 1.5; close above its 50-bar mean: 2; volume above average 1, far below -1; cap 12.
+
+    A close that equals its mean is not above it, whatever the rounding of the mean's sum.
+    """
+    score = points((macd > 0, 3.0), (rsi > 55, 1.5), (F.round(close - sma50, 9) > 0, 2.0), (relative_volume > 1, 1.0), (relative_volume < 0.5, -1.0))
     return F.least(score, F.lit(12.0))
 
 
