@@ -209,3 +209,27 @@ def test_two_writers_and_a_broken_one_leave_one_state(spark, tmp_path):
         t.write(*writes[0])  # the same write once more
         states.append(sorted(tuple(r) for r in t.read(spark).collect()))
     assert states[0] == states[1] == [("a", 2, "y"), ("b", 5, "x"), ("c", 1, "y")]
+
+
+def test_ticks_by_windows_equal_the_machine(spark, tmp_path):
+    r, rows, day = random.Random(3), [], datetime.datetime(2024, 1, 1)
+    for i in range(900):
+        symbol = r.choice(["A", "B", "C", None])
+        repeated = i - 1 if symbol == "B" and i % 50 == 0 else i
+        rows.append((symbol, "T", day + datetime.timedelta(days=r.randrange(700)), repeated, None if symbol == "C" and i % 40 == 0 else r.randrange(150) if i % 3 else i, float(i)))
+    ticks = spark.createDataFrame(rows, "symbol string, type string, event_ts timestamp, event_id long, sequence long, price double").repartition(3)
+    shown = lambda df: sorted(map(str, df.collect()))
+    first, later = ticks.where("event_id < 500"), ticks.where("event_id >= 500")
+    for n, (batch, memories) in enumerate([(first, None), (later, S.folded(S.ORDER, first).where("memory IS NOT NULL"))]):
+        rest, held, done = S._by_windows(batch, memories, f"{tmp_path}/{n}")
+        assert done.count() and rest.count() and shown(S.folded(S.ORDER, rest, held).unionByName(done)) == shown(S.folded(S.ORDER, batch, memories))
+
+
+def test_a_replayed_range_is_one_trigger_of_several_files(spark, tmp_path):
+    ticks = spark.range(40).selectExpr("id", "CASE WHEN id < 3 THEN 0 ELSE id END AS at")
+    seen = {}
+    S.replay(spark, ticks, str(tmp_path), triggers=3, by="at").writeStream.foreachBatch(lambda df, n: seen.update({n: [r["id"] for r in df.collect()]})).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and sorted(sum(seen.values(), [])) == list(range(40))
+    assert max(seen[0]) < min(seen[1]) and max(seen[1]) < min(seen[2])
+    files = [f for f in tmp_path.glob("ticks-*/*.parquet")]
+    assert len(files) == 3 * spark.sparkContext.defaultParallelism

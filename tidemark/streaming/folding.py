@@ -39,6 +39,11 @@ class Machine:
     memory: str
 
 
+#: From (rows of a trigger, memories, a folder for intermediate tables): rows and memories that are left to the machine, and
+#: what ``folded`` gives for all other keys.
+Shortcut = Callable[[DataFrame, DataFrame | None, str], tuple[DataFrame, DataFrame | None, DataFrame]]
+
+
 def folded(machine: Machine, rows: DataFrame, memories: DataFrame | None = None) -> DataFrame:
     """Keys, ``said`` (a row's) and ``memory`` (a key's, once) after all of ``rows``; one of the two is null."""
     keyed = rows.select(*machine.keys, F.lit(None).cast(f"struct<{machine.memory}>").alias("memory"), F.struct(*[c for c in rows.columns if c not in machine.keys]).alias("row"))
@@ -77,10 +82,10 @@ def said(result: DataFrame) -> DataFrame:
     return result.where("said IS NOT NULL").select(*keys, "said.*")
 
 
-def run_folded(machine: Machine, stream: DataFrame, folder: str, alive: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_folded(machine: Machine, stream: DataFrame, folder: str, alive: Callable[[DataFrame, DataFrame], DataFrame] | None = None, shortcut: Shortcut | None = None) -> DataFrame:
     """Run a machine over all that a stream's source holds now; what its steps said.
 
-    ``alive`` (memories, rows of the trigger) leaves out memories that have ended.
+    ``alive`` (memories, rows of the trigger) leaves out memories that have ended; ``shortcut`` takes the keys that need no machine.
     """
     at = f"{folder.rstrip('/')}/folded-{uuid.uuid4().hex}"
 
@@ -89,7 +94,12 @@ def run_folded(machine: Machine, stream: DataFrame, folder: str, alive: Callable
         if number:
             memories = rows.sparkSession.read.parquet(f"{at}/parts/part={number - 1}").where("memory IS NOT NULL")
             memories = alive(memories, rows) if alive is not None else memories
-        folded(machine, rows, memories).write.mode("overwrite").parquet(f"{at}/parts/part={number}")
+        done = None
+        if shortcut is not None:
+            rows, memories, done = shortcut(rows, memories, f"{at}/work/{number}")
+        result = folded(machine, rows, memories)
+        result = result if done is None else result.unionByName(done)
+        result.write.mode("overwrite").parquet(f"{at}/parts/part={number}")
 
     query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.windows import STRETCH, stretch
+from ..sources.files import stored
 from .folding import Machine, Row, folded, run_folded, said
 from .keyed_table import KeyedTable
 
@@ -54,17 +57,76 @@ def classify_batch(ticks: DataFrame) -> DataFrame:
     return said(folded(ORDER, _ticks(ticks)))
 
 
-def classify_sequenced(ticks: DataFrame) -> DataFrame:
-    """The same as one window, for ticks that all have a sequence and an id of their own: the largest sequence so far decides."""
-    so_far = Window.partitionBy("symbol", "type").orderBy("event_ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("sequence") - F.max("sequence").over(so_far)
-    status = F.when(ahead.isNull(), "first").when(ahead == 0, "duplicate").when(ahead < 0, "late").when(ahead > 1, "gap").otherwise("ok")
-    return ticks.select("symbol", "type", "event_id", "sequence", status.alias("status"))
+#: Before any stretch of time: ticks without a time, and before these the tick that a memory holds.
+UNTIMED, REMEMBERED = -(2**40), -(2**41)
+
+
+def _annotated(ticks: DataFrame, days: float = STRETCH, memories: DataFrame | None = None) -> DataFrame:
+    """Ticks with ``held``: of the ticks before them the one of the largest sequence, and the first of these.
+
+    A key's time is cut into stretches: what a stretch holds is carried into later ones, so a key with many ticks is spread over
+    as many tasks as its time has stretches. Bitwise complements turn the order of times and ids round.
+    """
+    top = lambda at, of="": F.struct(F.col(f"{of}sequence").cast("long").alias("sequence"), at.alias("rank"), F.bitwise_not(F.col(f"{of}event_id").cast("long")).alias("id"))
+    own = top(F.bitwise_not(F.unix_micros(F.col("event_ts").cast("timestamp"))))
+    rows = ticks.withColumns({"_key": F.struct("symbol", "type"), "_part": F.coalesce(stretch(ticks, "event_ts", days), F.lit(UNTIMED)), "_own": own})
+    within = Window.partitionBy("_key", "_part").orderBy("event_ts", "event_id", "sequence").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_of").orderBy("_at_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(F.col("_key").alias("_of"), F.col("_part").alias("_at_part")).agg(F.max("_own").alias("_top"))
+    if memories is not None:
+        parts = parts.unionByName(memories.select(F.struct("symbol", "type").alias("_of"), F.lit(REMEMBERED).alias("_at_part"), top(F.lit(2**62), "memory.").alias("_top")))
+    parts = parts.withColumn("_carried", F.max("_top").over(before)).drop("_top")
+    met = rows.withColumn("_within", F.max("_own").over(within)).join(parts, (F.col("_key") == F.col("_of")) & (F.col("_part") == F.col("_at_part")))
+    return met.withColumn("held", F.greatest("_within", "_carried")).select(*ticks.columns, "held")
+
+
+def _sequenced_status() -> Column:
+    ahead = F.col("sequence") - F.col("held.sequence")
+    return F.when(ahead.isNull(), "first").when(ahead == 0, "duplicate").when(ahead < 0, "late").when(ahead > 1, "gap").otherwise("ok")
+
+
+def classify_sequenced(ticks: DataFrame, days: float = STRETCH) -> DataFrame:
+    """The same by windows, for ticks that all have a sequence and an id of their own: the largest sequence so far decides."""
+    return _annotated(ticks, days).select("symbol", "type", "event_id", "sequence", _sequenced_status().alias("status"))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """A trigger that is run again overwrites what it wrote before."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _by_windows(rows: DataFrame, memories: DataFrame | None, folder: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """A shortcut of ``run_folded``. Where all ticks of a key have time, sequence and id, and none has the id of the tick that counted
+    last, the largest sequence so far decides, and windows over stretches of time find it. Other keys are left to the machine.
+    """
+    keys = ["symbol", "type"]
+    met = _annotated(rows, memories=memories)
+    again = F.coalesce(F.bitwise_not(F.col("event_id")) == F.col("held.id"), F.lit(False))
+    met = _written(met.withColumn("_odd", F.col("event_ts").isNull() | F.col("sequence").isNull() | F.col("event_id").isNull() | again), f"{folder}/met")
+    strange = met.where("_odd").select(*keys)
+    if memories is not None:
+        strange = strange.unionByName(memories.where("memory.sequence IS NULL OR memory.event_id IS NULL").select(*keys))
+    strange = _written(strange.distinct(), f"{folder}/odd").withColumnsRenamed({k: f"_{k}" for k in keys})
+    of = lambda df, how: df.join(strange, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], how)
+    said_, memory = (StructType.fromDDL(x) for x in (ORDER.said, ORDER.memory))
+    mixed = not strange.isEmpty()
+    plain = of(met, "left_anti") if mixed else met
+    status = F.struct("event_id", "sequence", _sequenced_status().alias("status"))
+    out = plain.select(*keys, status.cast(said_).alias("said"), F.lit(None).cast(memory).alias("memory"))
+    best = plain.where("held IS NULL OR sequence > held.sequence").select(*keys, F.struct(*TICK).cast(memory).alias("memory"))
+    if memories is not None:
+        kept = memories.select(*keys, "memory")
+        best = best.unionByName(of(kept, "left_anti") if mixed else kept)
+    best = best.groupBy(*keys).agg(F.max_by("memory", "memory.sequence").alias("memory"))
+    out = out.unionByName(best.select(*keys, F.lit(None).cast(said_).alias("said"), "memory"))
+    rest = lambda df: of(df, "left_semi") if mixed else df.where("false")
+    return rest(met.select(*rows.columns)), None if memories is None else rest(memories), out
 
 
 def classify_stream(ticks: DataFrame, folder: str) -> DataFrame:
     """The same over all that a stream of ticks holds now; the memory lasts from trigger to trigger."""
-    return run_folded(ORDER, _ticks(ticks), folder)
+    return run_folded(ORDER, _ticks(ticks), folder, shortcut=_by_windows)
 
 
 def on_time(statuses: DataFrame) -> DataFrame:
@@ -247,8 +309,15 @@ def replay(spark: SparkSession, ticks: DataFrame, folder: str, triggers: int = 1
     if triggers == 1:
         ticks.write.parquet(at)
         return spark.readStream.schema(ticks.schema).parquet(at)
+    ticks = stored(ticks, "replayed")
+    files = max(1, spark.sparkContext.defaultParallelism)
+    none = ticks.where("false").coalesce(1)
     ends = ticks.select(F.percentile_approx(by, [k / triggers for k in range(1, triggers)]).alias("p")).first()["p"]
     for low, high in zip([None, *ends], [*ends, None]):
         part = ticks if low is None else ticks.where(F.col(by) >= low)
-        (part if high is None else part.where(F.col(by) < high)).coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(at)
+        before = len(spark.read.schema(ticks.schema).parquet(at).inputFiles()) if low is not None else 0
+        (part if high is None else part.where(F.col(by) < high)).repartition(files).write.mode("append").parquet(at)
+        # Every range has as many files as a trigger reads; few rows leave some out, and empty ones stand in.
+        for _ in range(before + files - len(spark.read.schema(ticks.schema).parquet(at).inputFiles())):
+            none.write.mode("append").parquet(at)
+    return spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", files).parquet(at)
