@@ -5,11 +5,13 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType
+from pyspark.sql.types import DateType, DoubleType, StructField, StructType, TimestampNTZType
 
 
 def by_symbol(symbol: str = "symbol", at: str = "bar_date") -> WindowSpec:
@@ -29,6 +31,12 @@ def full(x: Column | str, value: Column, w: WindowSpec, n: int) -> Column:
     return F.when(F.count(_c(x)).over(trailing(w, n)) == n, value)
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """Half away from zero by doubles, as SQL's round does it; Spark's own goes by way of decimal text."""
+    scaled = F.floor(F.abs(_c(x)) * 10.0**digits + 0.5) / 10.0**digits
+    return F.when(_c(x) < 0, 0.0 - scaled).otherwise(scaled) + 0.0
+
+
 def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
@@ -70,8 +78,6 @@ def rsi(delta: Column | str, n: int, w: WindowSpec, zero_loss: str = "hundred")
 
 #: Days of a stretch of time; times that are plain numbers count as seconds. Rows of a block within a stretch.
 STRETCH, BLOCK = 128, 64
-#: How many times as far each pass of an average reaches.
-RADIX = 8
 
 
 def stretch(rows: DataFrame, at: str, days: float = STRETCH) -> Column:
@@ -130,35 +136,77 @@ def _with_averages(bars: DataFrame, averages: dict[str, tuple[str, int]], key: s
     return met.withColumns(out).select(*bars.columns, *averages)
 
 
-def with_ema_in_place(bars: DataFrame, averages: dict[str, tuple[str, int]], key: str = "symbol", at: str = "bar_date") -> DataFrame:
-    """What ``with_ema`` gives, for rows that windows of their key hold in one task anyway: no further shuffle or join.
+def with_ema_in_place(bars: DataFrame, averages: dict[str, tuple[str | tuple[str, str], int]], key: str = "symbol", at: str = "bar_date", skip: dict[str, int] | None = None, rolling: dict[str, tuple[str, int, str]] | None = None) -> DataFrame:
+    """What ``with_ema`` gives, for rows that windows of their key hold in one task anyway: no further shuffle, sort or join.
 
-    A value weighs what its distance leaves of it. Each pass adds RADIX - 1 earlier sums at equal distances, so sums reach RADIX
-    times as far; passes end where a value's weight is below the rounding of doubles.
+    A column may be a pair of earlier averages: their difference. ``skip``: how many of a key's rows lie before an average's first.
+    ``rolling``: name -> (column, n, mean or deviation) of the last n rows, null where there are fewer or one is null.
+    Rows come in order, an Arrow batch at a time, and a batch hands on what its last key has reached. NaN counts as null.
     """
-    waiting: dict[str, tuple[str, int]] = {}
-    for name, (column, span) in averages.items():
-        if column in waiting:
-            bars, waiting = _with_scans(bars, waiting, key, at), {}
-        waiting[name] = (column, span)
-    return _with_scans(bars, waiting, key, at)
-
-
-def _with_scans(bars: DataFrame, averages: dict[str, tuple[str, int]], key: str, at: str) -> DataFrame:
-    so_far = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    decay = {name: 1 - 2 / (span + 1) for name, (_, span) in averages.items()}
-    reach = {name: math.ceil(-37 / math.log(d)) if d else 1 for name, d in decay.items()}
-    start = {}
-    for name, (column, _) in averages.items():
-        x = F.col(column).cast("double")
-        start[name] = F.when(x.isNotNull(), F.when(F.count(x).over(so_far) == 1, x).otherwise((1 - decay[name]) * x))
-    rows, step = bars.withColumns(start), 1
-    before = lambda name, n: F.expr(f"lag(`{name}`, {n}) IGNORE NULLS OVER (PARTITION BY `{key}` ORDER BY `{at}`)")
-    while any(step < r for r in reach.values()):
-        added = {name: [F.lit(decay[name] ** (step * j)) * F.coalesce(before(name, step * j), F.lit(0.0)) for j in range(1, RADIX)] for name, r in reach.items() if step < r}
-        rows = rows.withColumns({name: sum(terms, F.col(name)) for name, terms in added.items()})
-        step *= RADIX
-    return rows.withColumns({name: F.last(name, ignorenulls=True).over(so_far) for name in averages})
+    order = Window.partitionBy(key).orderBy(at)
+    rows = bars.withColumn("_row", F.row_number().over(order)).sortWithinPartitions(key, at)  # as the window leaves them
+    names, skip, rolling = [f.name for f in bars.schema.fields], skip or {}, rolling or {}
+    sources = sorted({c for c, _ in averages.values() if isinstance(c, str) and c not in averages} | {c for c, _, _ in rolling.values()})
+    made = [*averages, *rolling]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached = dict.fromkeys(averages, np.nan)
+        before = {name: np.full(n - 1, np.nan) for name, (_, n, _) in rolling.items()}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = batch.column("_row").to_numpy(zero_copy_only=False)
+            held = {c: batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in sources}
+            for name, (column, span) in averages.items():
+                x = held[column] if isinstance(column, str) else held[column[0]] - held[column[1]]
+                held[name] = _recursive(np.where(place > skip.get(name, 0), x, np.nan), place == 1, 1 - 2 / (span + 1), reached[name])
+                reached[name] = held[name][-1]
+            for name, (column, n, kind) in rolling.items():
+                x = np.concatenate([before[name], held[column]])
+                before[name] = x[len(x) - n + 1 :]
+                held[name] = np.where(place >= n, _rolling(x, n, kind), np.nan)
+            out = [pa.array(held[name], mask=np.isnan(held[name])) for name in made]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *out], [*names, *made])
+
+    return rows.mapInArrow(run, StructType([*bars.schema.fields, *(StructField(name, DoubleType()) for name in made)]))
+
+
+def _rolling(x: np.ndarray, n: int, kind: str) -> np.ndarray:
+    """Mean or deviation of every ``n`` neighbours, added up from the first one on as a window does."""
+    parts = [x[k : len(x) - n + 1 + k] for k in range(n)]
+    mean = sum(parts) / n
+    return mean if kind == "mean" else np.sqrt(sum((p - mean) ** 2 for p in parts) / n)
+
+
+def _recursive(x: np.ndarray, first: np.ndarray, decay: float, reached: float) -> np.ndarray:
+    """Recursive averages of a batch: one for each key (it begins where ``first``), the first key's going on from ``reached``.
+
+    The recurrence is linear, so sums over the last 1, 2, 4, .. values follow from one another; a sum is long enough where
+    what lies before it weighs less than the rounding of doubles.
+    """
+    rows = np.arange(len(x))
+    begin = np.maximum.accumulate(np.where(first, rows, 0))
+    known = np.flatnonzero(~np.isnan(x))
+    goes_on = not first[0] and not np.isnan(reached)
+    if len(known):
+        y, of = x[known], begin[known]
+        new = np.append(True, of[1:] != of[:-1])
+        since = np.arange(len(y)) - np.maximum.accumulate(np.where(new, np.arange(len(y)), 0))
+        if goes_on and of[0] == 0:
+            new[0] = False
+        y = np.where(new, y, (1 - decay) * y)
+        if not new[0]:
+            y[0] += decay * reached
+        step = 1
+        while step <= since.max() and decay**step > 1e-17:
+            y[step:] += np.where(since[step:] >= step, decay**step * y[:-step], 0.0)
+            step *= 2
+    out = np.full(len(x), np.nan)
+    if len(known):
+        out[known] = y
+    last = np.maximum.accumulate(np.where(np.isnan(out), -1, rows))
+    filled = np.where(last >= begin, out[np.maximum(last, 0)], np.nan)
+    return np.where((last < 0) & (begin == 0), reached, filled) if goes_on else filled
 
 
 def true_range(high: Column | str, low: Column | str, close: Column | str, w: WindowSpec) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,23 +15,40 @@ from .evaluation import running_counts
 FEATURES = ["ret_1", "ret_5", "ret_20", "rsi_14", "macd_hist", "volume_ratio", "vs_sma_20", "volatility_20", "bench_ret_5", "relative_5", "risk_on"]
 
 
-def shared_features(bars: DataFrame, bench: DataFrame) -> DataFrame:
-    """symbol, bar_date and the features of the contract; ``bench`` has bar_date, bench_close, bench_ret5, bench_sma20.
+def shared_features(bars: DataFrame, bench: DataFrame, columns: Sequence[str] = FEATURES, also: Sequence[str] = ()) -> DataFrame:
+    """symbol, bar_date, close_px, ``columns`` of the contract's features and ``also`` of the bars' columns; ``bench`` has
+    bar_date, bench_close, bench_ret5, bench_sma20.
 
-    A benchmark has one row a day, so it is broadcast; all else is windows over one shuffle by symbol.
+    A benchmark has one row a day, so it is broadcast; all else is windows over one shuffle by symbol. Averages by Arrow batches
+    keep Spark from leaving out what nobody reads, so only what is asked for is made.
     """
     w = W.by_symbol()
-    b = bars.withColumns({"i": F.row_number().over(w), "delta": F.col("close_px") - F.lag("close_px").over(w), "r": W.lagged_return("close_px", 1, w)})
-    b = W.with_ema_in_place(b.select("symbol", "bar_date", "close_px", "volume", "i", "delta", "r"), {"fast": ("close_px", 12), "slow": ("close_px", 26)})
-    b = W.with_ema_in_place(b.withColumn("macd", F.when(F.col("i") >= 26, F.col("fast") - F.col("slow"))), {"signal": ("macd", 9)})
-    close = F.col("close_px")
-    own = b.select(
-        "symbol", "bar_date", "close_px", W.lagged_return("close_px", 1, w).alias("ret_1"), W.lagged_return("close_px", 5, w).alias("ret_5"), W.lagged_return("close_px", 20, w).alias("ret_20"),
-        W.rsi("delta", 14, w).alias("rsi_14"), F.when(F.col("i") >= 34, F.col("macd") - F.col("signal")).alias("macd_hist"), W.safe_ratio(F.col("volume"), W.moving_average("volume", 20, w)).alias("volume_ratio"),
-        (W.safe_ratio(close, W.moving_average("close_px", 20, w)) - 1).alias("vs_sma_20"), W.rolling_volatility("r", 20, w).alias("volatility_20"),
-    )
-    market = bench.select("bar_date", F.col("bench_ret5").alias("bench_ret_5"), F.when(F.col("bench_ret5").isNotNull() & F.col("bench_sma20").isNotNull(), ((F.col("bench_ret5") > 0) & (F.col("bench_close") >= F.col("bench_sma20"))).cast("double")).alias("risk_on"))
-    return own.join(F.broadcast(market), "bar_date", "left").withColumn("relative_5", F.col("ret_5") - F.col("bench_ret_5"))
+    close, delta = F.col("close_px"), F.col("close_px") - F.lag("close_px").over(w)
+    asked = {*columns, *(["ret_5", "bench_ret_5"] if "relative_5" in columns else [])}
+    own = {
+        "ret_1": W.lagged_return("close_px", 1, w), "ret_5": W.lagged_return("close_px", 5, w), "ret_20": W.lagged_return("close_px", 20, w),
+        "_gain": F.when(delta.isNotNull(), F.greatest(delta, F.lit(0.0))), "_loss": F.when(delta.isNotNull(), F.greatest(-delta, F.lit(0.0))),
+        "_r": W.lagged_return("close_px", 1, w), "_volume": F.col("volume").cast("double"), "_i": F.row_number().over(w),
+    }
+    rolling = {"rsi_14": {"_gains": ("_gain", 14, "mean"), "_losses": ("_loss", 14, "mean")}, "volume_ratio": {"_volumes": ("_volume", 20, "mean")}, "vs_sma_20": {"_closes": ("close_px", 20, "mean")}, "volatility_20": {"volatility_20": ("_r", 20, "deviation")}}
+    rolling = {name: of for c, parts in rolling.items() if c in asked for name, of in parts.items()}
+    averages = {"_fast": ("close_px", 12), "_slow": ("close_px", 26), "_signal": (("_fast", "_slow"), 9)} if "macd_hist" in asked else {}
+    needed = asked | {c for c, _, _ in rolling.values()} | ({"_i"} if averages else set())
+    b = bars.select("symbol", "bar_date", "close_px", *also, *(v.alias(c) for c, v in own.items() if c in needed))
+    if averages or rolling:
+        b = W.with_ema_in_place(b, averages, skip={"_signal": 25}, rolling=rolling)
+    rest = {
+        "rsi_14": F.when(F.col("_losses") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_gains") / F.col("_losses"))),
+        "macd_hist": F.when(F.col("_i") >= 34, F.col("_fast") - F.col("_slow") - F.col("_signal")),
+        "volume_ratio": W.safe_ratio(F.col("_volume"), F.col("_volumes")), "vs_sma_20": W.safe_ratio(close, F.col("_closes")) - 1,
+    }
+    b = b.withColumns({c: v for c, v in rest.items() if c in asked})
+    if asked & {"bench_ret_5", "risk_on"}:
+        market = bench.select("bar_date", F.col("bench_ret5").alias("bench_ret_5"), F.when(F.col("bench_ret5").isNotNull() & F.col("bench_sma20").isNotNull(), ((F.col("bench_ret5") > 0) & (F.col("bench_close") >= F.col("bench_sma20"))).cast("double")).alias("risk_on"))
+        b = b.join(F.broadcast(market), "bar_date", "left")
+    if "relative_5" in asked:
+        b = b.withColumn("relative_5", F.col("ret_5") - F.col("bench_ret_5"))
+    return b.select("symbol", "bar_date", "close_px", *also, *columns)
 
 
 def medians(rows: DataFrame, columns: list[str]) -> dict[str, float]:

@@ -61,9 +61,8 @@ def indicators(bars: DataFrame) -> DataFrame:
     moved = moved.withColumns({c: F.when(F.col("_known"), F.col(c)) for c in ("_gain", "_loss")})
     strength = W.safe_ratio(W.moving_average("_gain", 14, w), W.moving_average("_loss", 14, w))
     out = moved.withColumns({"return_1d": W.lagged_return("close_px", 1, w), "return_5d": W.lagged_return("close_px", 5, w), "rsi_14": 100 - 100 / (1 + strength), "vol_ratio_20d": W.safe_ratio(F.col("volume"), W.moving_average("volume", 20, w))})
-    lines = W.with_ema_in_place(out.drop("_gain", "_loss", "_known"), {"_fast": ("close_px", 12), "_slow": ("close_px", 26)}).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    lines = W.with_ema_in_place(lines, {"_signal": ("_macd", 9)})
-    return lines.withColumn("macd_hist", F.col("_macd") - F.col("_signal")).drop("_fast", "_slow", "_macd", "_signal")
+    lines = W.with_ema_in_place(out.drop("_gain", "_loss", "_known"), {"_fast": ("close_px", 12), "_slow": ("close_px", 26), "_signal": (("_fast", "_slow"), 9)})
+    return lines.withColumn("macd_hist", F.col("_fast") - F.col("_slow") - F.col("_signal")).drop("_fast", "_slow", "_signal")
 
 
 def training_snapshot(bars: DataFrame, news: DataFrame, horizon: int = 5, target: float = 0.0) -> DataFrame:
@@ -74,8 +73,11 @@ def training_snapshot(bars: DataFrame, news: DataFrame, horizon: int = 5, target
     """
     w = W.by_symbol()
     ahead = f"forward_return_{horizon}d"
-    f = indicators(bars.select("symbol", "bar_date", "close_px", "volume")).withColumn(ahead, W.forward_return("close_px", horizon, w))
+    # Averages come last: a window behind them would shuffle once more.
+    f = indicators(bars.select("symbol", "bar_date", "close_px", "volume", W.forward_return("close_px", horizon, w).alias(ahead)))
     f = f.withColumn(f"label_up_{horizon}d", F.coalesce(F.col(ahead) > target, F.lit(False)).cast("double"))
+    measures = [c for c in f.columns if c not in ("symbol", "bar_date", ahead, f"label_up_{horizon}d")]
+    f = f.select("symbol", "bar_date", *measures, ahead, f"label_up_{horizon}d")
     return f.join(news_columns(bars, news), ["symbol", "bar_date"]).orderBy("symbol", "bar_date")
 
 

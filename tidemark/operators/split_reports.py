@@ -36,10 +36,9 @@ def windows(bars: DataFrame, splits: DataFrame, also: tuple[str, ...] = ()) -> D
         fields |= {f"_{side}_next": W.forward_return(side, 5, w), f"_{side}_spread": W.full(f"_{side}_step", F.stddev_pop(f"_{side}_step").over(W.trailing(w, 20)), w, 20), f"_{side}_sma": W.safe_ratio(F.col(side), W.moving_average(side, 20, w)) - 1}
     b = b.withColumns(fields)
     sides = ("before", "after")
-    b = W.with_ema_in_place(b, {f"_{side}_{name}": (side, span) for side in sides for name, span in (("fast", 12), ("slow", 26))})
-    b = b.withColumns({f"_{side}_line": F.col(f"_{side}_fast") - F.col(f"_{side}_slow") for side in sides})
-    b = W.with_ema_in_place(b, {f"_{side}_signal": (f"_{side}_line", 9) for side in sides})
-    b = b.withColumns({f"_{side}_macd": F.col(f"_{side}_line") - F.col(f"_{side}_signal") for side in sides})
+    lines = {f"_{side}_{name}": (side, span) for side in sides for name, span in (("fast", 12), ("slow", 26))}
+    b = W.with_ema_in_place(b, lines | {f"_{side}_signal": ((f"_{side}_fast", f"_{side}_slow"), 9) for side in sides})
+    b = b.withColumns({f"_{side}_macd": F.col(f"_{side}_fast") - F.col(f"_{side}_slow") - F.col(f"_{side}_signal") for side in sides})
     held = lambda side: F.struct(*(F.col(f"_{side}_{c}").alias(f) for c, f in zip(("step", "5", "20", "next", "spread", "sma", "macd"), FIELDS))).alias(side)
     return b.select(*own, "feature_from", "label_to", held("before"), held("after"))
 

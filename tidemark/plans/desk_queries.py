@@ -185,8 +185,8 @@ def session_breakout(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win17_series_features", _FEATURES + " SELECT symbol, bar_date, round(ret_1, 5) AS ret_1, round(ret_5, 5) AS ret_5, round(rsi_14, 5) AS rsi, round(macd_hist, 5) AS macd_hist, round(volume_ratio, 5) AS volume_ratio FROM x WHERE ret_5 IS NOT NULL AND rsi_14 IS NOT NULL AND macd_hist IS NOT NULL AND volume_ratio IS NOT NULL")
 def series_features(spark: SparkSession, d: str) -> DataFrame:
-    f = features(spark, d).na.drop(subset=["ret_5", "rsi_14", "macd_hist", "volume_ratio"])
-    return f.select("symbol", "bar_date", *[F.round(c, 5).alias(n) for n, c in (("ret_1", "ret_1"), ("ret_5", "ret_5"), ("rsi", "rsi_14"), ("macd_hist", "macd_hist"), ("volume_ratio", "volume_ratio"))])
+    f = features(spark, d, ["ret_1", "ret_5", "rsi_14", "macd_hist", "volume_ratio"]).na.drop(subset=["ret_5", "rsi_14", "macd_hist", "volume_ratio"])
+    return f.select("symbol", "bar_date", *[W.rounded(c, 5).alias(n) for n, c in (("ret_1", "ret_1"), ("ret_5", "ret_5"), ("rsi", "rsi_14"), ("macd_hist", "macd_hist"), ("volume_ratio", "volume_ratio"))])
 
 
 @query("agg03_outcome_rows", _O.replace("lead(close_px, 10) OVER w AS e10", "lead(close_px, 10) OVER w AS e10, lead(close_px, 20) OVER w AS e20").replace("e1, e5, e10 FROM", "e1, e5, e10, e20 FROM")
@@ -258,7 +258,7 @@ _NUM = ("ret_1", "ret_5", "rsi_14", "volume_ratio", "volatility_20")
 @query("agg26_half_drift", _FEATURES + ", h AS (SELECT *, bar_date >= DATE '1998-06-01' AS late FROM x), u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, late, {c} AS v FROM h" for c in _NUM) + ") SELECT feature, round(abs(avg(v) FILTER (late) - avg(v) FILTER (NOT late)) / nullif(stddev_pop(v) FILTER (NOT late), 0), 5) AS shift FROM u GROUP BY 1")
 def half_drift(spark: SparkSession, d: str) -> DataFrame:
     late = F.col("bar_date") >= F.lit("1998-06-01").cast("date")
-    u = features(spark, d).select(late.alias("late"), F.explode(F.create_map(*[x for c in _NUM for x in (F.lit(c), F.col(c))])).alias("feature", "v"))
+    u = features(spark, d, _NUM).select(late.alias("late"), F.explode(F.create_map(*[x for c in _NUM for x in (F.lit(c), F.col(c))])).alias("feature", "v"))
     new, old = F.when(F.col("late"), F.col("v")), F.when(~F.col("late"), F.col("v"))
     return u.groupBy("feature").agg(F.round(F.abs(F.avg(new) - F.avg(old)) / F.nullif(F.stddev_pop(old), F.lit(0.0)), 5).alias("shift"))
 
@@ -266,7 +266,7 @@ def half_drift(spark: SparkSession, d: str) -> DataFrame:
 @query("agg39_group_availability", _FEATURES + ", u AS (" + " UNION ALL ".join(f"SELECT '{g}' AS grp, {c} AS v FROM x" for g, c in (("returns", "ret_1"), ("returns", "ret_20"), ("momentum", "rsi_14"), ("momentum", "macd_hist"), ("market", "bench_ret_5"))) + ") SELECT grp, round(count(v) / count(*)::DOUBLE, 6) AS availability, count(v) / count(*)::DOUBLE >= 0.8e0 AS passed FROM u GROUP BY 1")
 def group_availability(spark: SparkSession, d: str) -> DataFrame:
     pairs = (("returns", "ret_1"), ("returns", "ret_20"), ("momentum", "rsi_14"), ("momentum", "macd_hist"), ("market", "bench_ret_5"))
-    u = features(spark, d).select(F.inline(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(c).alias("v")) for g, c in pairs])))
+    u = features(spark, d, [c for _, c in pairs]).select(F.inline(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(c).alias("v")) for g, c in pairs])))
     share = F.count("v") / F.count(F.lit(1))
     return u.groupBy("grp").agg(F.round(share, 6).alias("availability"), (share >= 0.8).alias("passed"))
 

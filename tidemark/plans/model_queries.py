@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,19 +33,20 @@ for _n in (13, 19):  # the frames of f are over d1, whose columns its joins repe
     _FEATURES = _FEATURES.replace(f"OVER (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN {_n}", f"OVER (PARTITION BY d1.symbol ORDER BY d1.bar_date ROWS BETWEEN {_n}")
 
 
-def features(spark: SparkSession, d: str) -> DataFrame:
-    return L.shared_features(M.bars(spark, d), benchmark_features(spark, d))
+def features(spark: SparkSession, d: str, columns: Sequence[str] = L.FEATURES) -> DataFrame:
+    return L.shared_features(M.bars(spark, d, together=True), benchmark_features(spark, d), columns)
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     """Bars with all features and the sign of the return over the next five bars, written once: a fit reads them several times."""
-    f = A.exits(features(spark, d), [5]).where("symbol is not null and bar_date is not null").withColumn("ret_next", F.col("exit_5") / F.col("close_px") - 1)
+    bars = A.exits(M.bars(spark, d, together=True), [5]).where("symbol is not null and bar_date is not null")
+    f = L.shared_features(bars, benchmark_features(spark, d), also=["exit_5"]).withColumn("ret_next", F.col("exit_5") / F.col("close_px") - 1)
     return stored(f.where("ret_next is not null").na.drop(subset=L.FEATURES).withColumn("up", (F.col("ret_next") > 0).cast("double")), "labelled-bars")
 
 
 @query("win15_shared_features", _FEATURES + " SELECT symbol, bar_date, " + ", ".join(f"round({c}, 5) AS {c}" for c in L.FEATURES) + " FROM x")
 def shared_features(spark: SparkSession, d: str) -> DataFrame:
-    return features(spark, d).select("symbol", "bar_date", *[F.round(c, 5).alias(c) for c in L.FEATURES])
+    return features(spark, d).select("symbol", "bar_date", *[W.rounded(c, 5).alias(c) for c in L.FEATURES])
 
 
 @query("win13_beta", M.with_views("bars", "bench", more=f"""r AS (SELECT *, close_px / lag(close_px) OVER w - 1 AS ret FROM bars {_W}), q AS (SELECT bar_date, close_px / lag(close_px) OVER (ORDER BY bar_date) - 1 AS ret FROM bench),
@@ -360,9 +363,9 @@ def recalibration(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml03_medians", _FEATURES + ", k AS (SELECT *, bar_date < DATE '1998-01-01' AS fit FROM x), med AS (SELECT median(ret_20) FILTER (fit) AS a, median(rsi_14) FILTER (fit) AS b FROM k) SELECT symbol, bar_date, round(coalesce(ret_20, a), 5) AS ret_20, round(coalesce(rsi_14, b), 5) AS rsi_14 FROM k, med WHERE NOT fit OR ret_20 IS NULL")
 def filled(spark: SparkSession, d: str) -> DataFrame:
-    f = features(spark, d)
+    f = stored(features(spark, d, ["ret_20", "rsi_14"]).drop("close_px"), "feature-medians")
     fill = L.medians(f.where("bar_date < date '1998-01-01'"), ["ret_20", "rsi_14"])
-    return f.where("bar_date >= date '1998-01-01' or ret_20 is null").na.fill(fill).select("symbol", "bar_date", F.round("ret_20", 5).alias("ret_20"), F.round("rsi_14", 5).alias("rsi_14"))
+    return f.where("bar_date >= date '1998-01-01' or ret_20 is null").na.fill(fill).select("symbol", "bar_date", W.rounded("ret_20", 5).alias("ret_20"), W.rounded("rsi_14", 5).alias("rsi_14"))
 
 
 @query("ml08_sample_weights", _SCORED + "SELECT seq, CASE WHEN r5 < -0.03e0 THEN 3e0 WHEN r5 < -0.005e0 THEN 1.5e0 WHEN r5 <= 0.005e0 THEN 0.5e0 WHEN r5 <= 0.03e0 THEN 1e0 ELSE 2e0 END AS by_bucket, round(CASE WHEN up = 1 THEN 0.5e0 / avg(up) OVER () ELSE 0.5e0 / (1 - avg(up) OVER ()) END, 6) AS balanced FROM s")

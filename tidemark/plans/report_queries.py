@@ -11,6 +11,7 @@ from ..operators import asof as A
 from ..operators import evaluation as E
 from ..operators import modeling as L
 from ..sources import market as M
+from ..sources.files import stored
 from .desk_queries import _LAST, last_prices
 from .evaluation_queries import _O, _SCORED, scored
 from .join_queries import outcomes
@@ -71,7 +72,9 @@ _UNPIVOT = "u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v FRO
 
 
 def unpivoted(spark: SparkSession, d: str) -> DataFrame:
-    return features(spark, d).select(F.explode(F.create_map(*[x for c in _DIST for x in (F.lit(c), F.col(c))])).alias("feature", "v"))
+    """Values of the returns, written once: percentiles, gaps and moments read them."""
+    held = stored(features(spark, d, _DIST).select(*_DIST), "unpivoted")
+    return held.select(F.explode(F.create_map(*[x for c in _DIST for x in (F.lit(c), F.col(c))])).alias("feature", "v"))
 
 
 @query("agg13_distribution", _FEATURES + f", {_UNPIVOT}, k AS (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) AS k, count(*) OVER (PARTITION BY feature) AS n FROM u WHERE v IS NOT NULL) SELECT feature, count(*) AS n, round(min(v), 6) AS least, round(max(v), 6) AS most, round(avg(v), 6) AS mean, " + ", ".join(f"round(min(v) FILTER (k >= floor((n - 1) * {q}e0) + 1), 6) AS {c}" for c, q in (("p50", 0.5), ("p99", 0.99), ("p995", 0.995), ("p999", 0.999))) + " FROM k GROUP BY 1")
@@ -134,7 +137,7 @@ h AS (SELECT feature, bin, greatest(coalesce(a, 0), 0.5e0) AS a, greatest(coales
 l AS (SELECT u.feature, avg(v) - any_value(m) AS mean_shift, median(v) - any_value(med) AS median_shift, stddev_pop(v) / any_value(sd) AS deviation_ratio FROM u JOIN c USING (feature) WHERE NOT ref GROUP BY 1)
 SELECT p.feature, round(sum((q - p) * ln(q / p)), 5) AS psi, any_value(round(mean_shift, 5)) AS mean_shift, any_value(round(median_shift, 5)) AS median_shift, any_value(round(deviation_ratio, 5)) AS deviation_ratio FROM p JOIN l USING (feature) GROUP BY 1""")
 def decile_stability(spark: SparkSession, d: str) -> DataFrame:
-    f = features(spark, d)
+    f = stored(features(spark, d, _DIST).drop("symbol", "close_px"), "decile-rows")
     u = f.select((F.col("bar_date") < F.lit("1998-06-01").cast("date")).alias("ref"), F.explode(F.create_map(*[x for c in _DIST for x in (F.lit(c), F.col(c))])).alias("feature", "v")).where("v is not null")
     old, new = u.where("ref"), u.where("not ref")
     cuts = L.interpolated(old, ["feature"], "v", {f"c{k}": k / 10 for k in range(1, 10)})

@@ -17,8 +17,8 @@ def _cents(column: str):
     return F.round(F.col(column) * 100).cast("bigint")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars: one row per (symbol, bar_date)."""
+def bars(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """Daily bars: one row per (symbol, bar_date). ``together``: for windows by symbol, which then share the bars' own shuffle and sort."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
         F.to_date("l_shipdate").alias("bar_date"),
@@ -26,6 +26,8 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("double").alias("qty"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("k"),
     )
+    if together:
+        lines = lines.repartition("symbol")
     return lines.groupBy("symbol", "bar_date").agg(
         F.min_by("px", "k").alias("open_px"),
         F.max("px").alias("high_px"),
