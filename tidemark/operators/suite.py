@@ -156,6 +156,7 @@ def report(rows: DataFrame, models: DataFrame, features: list[str], y: str, ret:
     sure = bootstrap(days).select("model", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), F.round("positive", 6).alias("positive"))
     about = models.select("model", "model_type", "slope", lane(F.col("candidate_lane"), F.col("family")).alias("lane"))
     m = m.join(F.broadcast(about), "model").join(top, "model").join(sure, "model").crossJoin(F.broadcast(drift(rows, features, list(order))))  # one row
+    m = stored(m, "suite-measures")  # a row for each model: the frontier meets it several times
     m = m.withColumn("scope", usage_scope(F.col("model_type"), F.col("lane")))
     limits = scope_limits(F.col("scope"))
     main = F.col("scope") == "main_decision_candidate"
