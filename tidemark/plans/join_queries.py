@@ -36,7 +36,7 @@ o AS (SELECT d.*, b.bar_date AS entry_date, b.close_px AS entry, e1, e5, e10 FRO
 
 def outcomes(spark: SparkSession, d: str, horizons: list[int]) -> DataFrame:
     """Decisions with entry (first bar on or after the event day) and returns at the horizons."""
-    bars = A.exits(M.bars(spark, d), horizons)
+    bars = A.exits(M.bars(spark, d, together=True), horizons)
     met = A.forward_asof(M.decisions(spark, d), bars, "symbol", "event_date", "bar_date", ["close_px", *[f"exit_{n}" for n in horizons]])
     returns = {f"ret_{n}": W.safe_ratio(F.col(f"met.exit_{n}"), F.col("met.close_px")) - 1 for n in horizons}
     return met.withColumns({"entry_date": F.col("met._at"), "entry": F.col("met.close_px"), **returns}).drop("met")
@@ -54,7 +54,7 @@ o AS (SELECT d.seq, d.action, b.path FROM decisions d ASOF JOIN b ON d.symbol =
 e AS (SELECT seq, list_transform(path, lambda p: (p / path[1] - 1) * CASE WHEN action IN ('STRONG BUY', 'BUY') THEN 1 WHEN action = 'SELL' THEN -1 ELSE 0 END) AS r FROM o)""")
     + "SELECT seq, round(list_min(r), 4) + 0 AS worst, round(list_max(r), 4) + 0 AS best FROM e")
 def path_extremes(spark: SparkSession, d: str) -> DataFrame:
-    bars = M.bars(spark, d).withColumn("path", A.path_closes("close_px", 5))
+    bars = M.bars(spark, d, together=True).withColumn("path", A.path_closes("close_px", 5))
     met = A.forward_asof(M.decisions(spark, d), bars, "symbol", "event_date", "bar_date", ["path"]).where("met is not null")
     path = F.transform("met.path", lambda p: (p / F.col("met.path")[0] - 1) * D.exposure(F.col("action")))
     return met.select("seq", (F.round(F.array_min(path), 4) + 0).alias("worst"), (F.round(F.array_max(path), 4) + 0).alias("best"))

@@ -109,7 +109,7 @@ def dated_closes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jon04_price_path", M.with_views("bars", "decisions", more="b AS (SELECT *, list(close_px) OVER (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS path FROM bars)") + "SELECT d.seq, len(path) AS bars, round(path[1], 6) AS entry, round(path[len(path)], 6) AS last, array_to_string(list_transform(path, lambda x: CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), ',') AS cents FROM decisions d ASOF JOIN b ON d.symbol = b.symbol AND d.event_date <= b.bar_date")
 def price_path(spark: SparkSession, d: str) -> DataFrame:
-    bars = M.bars(spark, d).withColumn("path", A.path_closes("close_px", 5))
+    bars = M.bars(spark, d, together=True).withColumn("path", A.path_closes("close_px", 5))
     met = A.forward_asof(M.decisions(spark, d), bars, "symbol", "event_date", "bar_date", ["path"]).where("met is not null")
     path = F.col("met.path")
     cents = F.array_join(F.transform(path, lambda x: F.round(x * 100).cast("bigint").cast("string")), ",")
