@@ -2,10 +2,13 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 from tidemark.operators import modeling as L
+from tidemark.operators import recipes as R
 from tidemark.plans import model_queries as Q
+from tidemark.plans import suite_queries
 
 
 def test_bars_and_windows_of_a_symbol_share_one_shuffle(spark, sf_dir):
@@ -47,3 +50,21 @@ def test_columns_asked_for_alone_equal_those_of_all(spark, sf_dir):
 def test_rounding_is_half_away_from_zero(spark):
     df = spark.createDataFrame([(0.5,), (-0.5,), (2.25,), (-2.25,), (None,), (-0.01,)], "x double")
     assert [r[0] for r in df.select(W.rounded("x", 1)).collect()] == [0.5, -0.5, 2.3, -2.3, None, 0.0]
+
+
+def test_a_start_near_the_end_saves_steps_and_changes_no_fit(spark, monkeypatch):
+    x, z = F.randn(1), F.randn(2)
+    rows = spark.range(100_000).select("id", x.alias("a"), (z * 5 + 3).alias("b"), (F.col("id") % 3 > 0).alias("most"))
+    rows = rows.withColumn("y", (F.rand(3) < 1 / (1 + F.exp(-(F.col("a") - 0.3 * F.col("b"))))).cast("double")).cache()
+    grid = [R.Recipe("all", ("a", "b"), "y", 0.01), R.Recipe("most", ("a", "b"), "y", 0.01, "most", None, "none")]
+    near = R.fit_many(rows, grid)
+    monkeypatch.setattr(R, "NEAR_LEAST", 1 << 40)
+    for f, g in zip(near, R.fit_many(rows, grid)):
+        assert f.steps < g.steps
+        assert np.allclose([*f.weights, f.intercept], [*g.weights, g.intercept], atol=1e-10)
+
+
+def test_a_suite_scores_its_rows_twice_only(spark, sf_dir):
+    """Once for days, once for rankings; the frontier of models used to do it again."""
+    plan = suite_queries.suite(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin BuildRight, Cross" not in plan and "event_date" not in plan

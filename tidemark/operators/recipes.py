@@ -2,22 +2,26 @@
 
 A step needs a recipe's gradient and its weighted Gram matrix only. Tasks sum both for all recipes over the rows they
 read, the sums meet in a partial aggregate, and the driver solves systems as large as a recipe has features. So a grid
-takes as many jobs as its slowest recipe takes steps (about eight), however many recipes and folds it has, and rows
+takes as many jobs as its slowest recipe takes steps (about four from a start near the end), however many recipes and folds it has, and rows
 never leave the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Steps after which a fit counts as converged whatever the last one was, and the step below which it has.
 STEPS, SMALL = 40, 1e-9
+#: Where a fit starts is found on one row in NEAR, NEAR_ROWS at most; from less than NEAR_LEAST rows, or beyond FAR, it starts at
+#: zero. All steps from there on read every row until SMALL, so the start decides how many there are, not where they end.
+NEAR, NEAR_ROWS, NEAR_LEAST, FAR = 32, 40_000, 2000, 10.0
 
 
 @dataclass(frozen=True)
@@ -85,11 +89,24 @@ def fit_many(rows: DataFrame, recipes: list[Recipe]) -> list[Fit]:
     names = sorted({c for r in recipes for c in (*r.features, r.label, r.weight) if c})
     flags = sorted({r.rows for r in recipes if r.rows})
     held = rows.select(*(F.col(c).cast("double").alias(c) for c in names), *(F.coalesce(F.col(c), F.lit(False)).alias(c) for c in flags))
+    near = held.where(F.pmod(F.xxhash64(*names), F.lit(NEAR)) == 0).limit(NEAR_ROWS).toArrow().to_batches(10_000)
+    moving = _newton(fits, lambda which: _whole(_add(near, [(i, fits[i]) for i in which]), fits, which), 12)
+    for i, fit in enumerate(fits):
+        n = sum(pc.sum(b.column(fit.recipe.rows)).as_py() or 0 if fit.recipe.rows else b.num_rows for b in near)
+        if n < NEAR_LEAST or i in moving or np.abs([*fit.weights, fit.intercept]).max() > FAR:
+            fit.weights, fit.intercept = np.zeros(len(fit.weights)), 0.0
+        fit.steps = 0
+    _newton(fits, lambda which: _sums(held, fits, which), STEPS)
+    return fits
+
+
+def _newton(fits: list[Fit], sums: Callable[[list[int]], dict[int, tuple[np.ndarray, np.ndarray, float]]], steps: int) -> set[int]:
+    """Steps of all fits that still move, from the sums of each; the ones that have not come to rest."""
     moving = set(range(len(fits)))
-    for _ in range(STEPS):
+    for _ in range(steps):
         if not moving:
             break
-        for i, (gradient, gram, total) in _sums(held, fits, sorted(moving)).items():
+        for i, (gradient, gram, total) in sums(sorted(moving)).items():
             fit, d = fits[i], len(fits[i].weights)
             penalty = np.diag([fit.recipe.l2] * d + [0.0])
             if total == 0:
@@ -102,7 +119,7 @@ def fit_many(rows: DataFrame, recipes: list[Recipe]) -> list[Fit]:
             fit.weights, fit.intercept, fit.steps = at[:d] - step[:d], float(at[d] - step[d]), fit.steps + 1
             if np.abs(step).max() < SMALL:
                 moving.discard(i)
-    return fits
+    return moving
 
 
 def _sums(held: DataFrame, fits: list[Fit], which: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
@@ -110,33 +127,46 @@ def _sums(held: DataFrame, fits: list[Fit], which: list[int]) -> dict[int, tuple
     shared = held.sparkSession.sparkContext.broadcast([(i, fits[i]) for i in which])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-            for i, fit in shared.value:
-                r = fit.recipe
-                x = (np.column_stack([columns[f] for f in r.features]) - fit.centre) / fit.scale
-                y, w = columns[r.label], columns[r.weight] if r.weight else np.ones(len(x))
-                able = np.isfinite(x).all(axis=1) & np.isfinite(y) & np.isfinite(w)
-                if r.rows:
-                    able &= columns[r.rows].astype(bool)
-                x, y, w = np.column_stack([x[able], np.ones(int(able.sum()))]), y[able], w[able]
-                p = 1 / (1 + np.exp(-np.clip(x[:, :-1] @ fit.weights + fit.intercept, -500, 500)))
-                gram = (x * (w * p * (1 - p))[:, None]).T @ x
-                found = np.concatenate([x.T @ (w * (p - y)), gram.ravel(), [w.sum()]])
-                sums[i] = sums[i] + found if i in sums else found
-        for i, found in sums.items():
+        for i, found in _add(batches, shared.value).items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int32)), pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found)], ["fit", "place", "value"])
 
     found = held.mapInArrow(add, "fit int, place int, value double").groupBy("fit", "place").agg(F.sum("value").alias("value")).collect()
     out: dict[int, np.ndarray] = {}
-    for i in which:
-        d = len(fits[i].recipe.features) + 1
-        out[i] = np.zeros(d + d * d + 1)
     for row in found:
-        out[row["fit"]][row["place"]] = row["value"]
+        out.setdefault(row["fit"], np.zeros(_size(fits[row["fit"]])))[row["place"]] = row["value"]
+    return _whole(out, fits, which)
+
+
+def _size(fit: Fit) -> int:
+    d = len(fit.recipe.features) + 1
+    return d + d * d + 1
+
+
+def _whole(sums: dict[int, np.ndarray], fits: list[Fit], which: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Gradient, Gram matrix and weight from flat sums; none counts as zeros."""
     split = lambda v, d: (v[:d], v[d:-1].reshape(d, d), float(v[-1]))
-    return {i: split(v, len(fits[i].recipe.features) + 1) for i, v in out.items()}
+    return {i: split(sums.get(i, np.zeros(_size(fits[i]))), len(fits[i].recipe.features) + 1) for i in which}
+
+
+def _add(batches: Iterable[pa.RecordBatch], fits: list[tuple[int, Fit]]) -> dict[int, np.ndarray]:
+    """Flat sums of each fit over the batches."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        for i, fit in fits:
+            r = fit.recipe
+            able = columns[r.rows].astype(bool) if r.rows else np.ones(batch.num_rows, bool)
+            x = (np.column_stack([columns[f][able] for f in r.features]) - fit.centre) / fit.scale
+            y, w = columns[r.label][able], columns[r.weight][able] if r.weight else np.ones(len(x))
+            known = np.isfinite(x).all(axis=1) & np.isfinite(y) & np.isfinite(w)
+            if not known.all():
+                x, y, w = x[known], y[known], w[known]
+            p = 1 / (1 + np.exp(-np.clip(x @ fit.weights + fit.intercept, -500, 500)))
+            x = np.column_stack([x, np.ones(len(x))])
+            gram = (x * (w * p * (1 - p))[:, None]).T @ x
+            found = np.concatenate([x.T @ (w * (p - y)), gram.ravel(), [w.sum()]])
+            sums[i] = sums[i] + found if i in sums else found
+    return sums
 
 
 def models(spark: SparkSession, fits: list[Fit], features: list[str], threshold: float = 0.55, **more: str) -> DataFrame:
