@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join, packing, suffix_dedup, toxicity
-from tidemark.llm.common import table, written
+from tidemark.llm.common import table, trim, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows of a batch between Spark and Python: texts are long, and tasks of all stages share an executor's memory.
@@ -33,6 +33,7 @@ def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame])
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half stay. The model learns from labelled rows of the stage's own input."""
     model = toxicity.train(*toxicity.training_bags(docs.select("doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")))
+    trim()  # of the driver, which keeps what the training took otherwise
     return toxicity.score_texts(docs.select(*COLUMNS), *model).where("score < 0.5").drop("score")
 
 

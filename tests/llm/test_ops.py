@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, embedding_dedup, html_extract, jaccard_join, packing, sharding, suffix_dedup, token_counts, topk_search, toxicity
+from tidemark.llm import bpe, common, components, embedding_dedup, html_extract, jaccard_join, packing, sharding, suffix_dedup, token_counts, topk_search, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, node long"
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -417,6 +417,26 @@ def test_jaccard_large_bundles_in_blocks(spark, monkeypatch):
     assert got == dict(enumerate(label))
 
 
+def test_jaccard_plans_stay_small_for_the_driver(spark, monkeypatch):
+    """No plan that is written unfolds into hundreds of nodes, of which the driver's memory would be full."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "COMMON", 2)
+    monkeypatch.setattr(jaccard_join, "SPARE", 10_000)
+    nodes = {}
+
+    def counted(df, label):
+        nodes[label] = max(nodes.get(label, 0), len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return common.written(df, label)
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    monkeypatch.setattr(components, "written", counted)
+    rng = random.Random(11)
+    bases = [words(rng, 60).split() for _ in range(3)]
+    rows = [(k, " ".join([*bases[k % 3][: k % 50], f"w{k}", *bases[k % 3][k % 50 + 1 :]])) for k in range(60)]
+    assert jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).count() == 60
+    assert "jaccard-apart" in nodes and max(nodes.values()) <= 100, nodes
+
+
 def test_one_of_each_group_whatever_its_doc_id(spark):
     base = " ".join(f"word{k}" for k in range(30))
     rows = [(7, base, "x"), (7, "quite another text of the same id and more words", "y"), (None, base, "z"), (None, "a lone text without an id at all here", "u"), (3, base + " tail", "v"), (9, None, "n"), (9, "", "e")]

@@ -328,7 +328,7 @@ def bundle_links(common: DataFrame, nodes: DataFrame, members: DataFrame) -> Dat
     sized = bundles.join(nodes.select("node", "size"), "node").withColumn("class", F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).cast("int"))
     placed = written(sized.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1))), "jaccard-placed")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    counts = placed.groupBy("bundle", "class").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")).where("n > 1").drop("n")
+    counts = written(placed.groupBy("bundle", "class").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")).where("n > 1").drop("n"), "jaccard-parts")
     dealt = placed.join(counts, ["bundle", "class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = dealt.withColumn("low", F.lit(0)).withColumn("high", F.explode(F.when(F.col("part") == 0, F.sequence(F.least(F.lit(1), F.col("parts") - 1), F.col("parts") - 1)).otherwise(F.array("part"))))
     links = written(_compared(pairs.select("bundle", "class", "low", "high", "node", "size"), members), "jaccard-bundled")
@@ -337,12 +337,15 @@ def bundle_links(common: DataFrame, nodes: DataFrame, members: DataFrame) -> Dat
 
 
 def _apart(placed: DataFrame, counts: DataFrame, links: DataFrame) -> DataFrame:
-    """bundle, class, low, high, node, size: blocks of components of a bundle that have yet to meet each other."""
+    """bundle, class, low, high, node, size: blocks of components of a bundle that have yet to meet each other.
+
+    What is used several times is written first: unfolded, the plan has hundreds of nodes, which fill the driver's memory.
+    """
     by = ["bundle", "class"]
     classes = connected_components(links, "jaccard-bundled-classes")
     labelled = placed.join(counts.select(*by), by).join(classes, "node", "left").withColumn("label", F.coalesce("component", "node"))
     several = labelled.groupBy(*by).agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(*by)
-    left = labelled.join(several, by).drop("component")
+    left = written(labelled.join(several, by).drop("component"), "jaccard-several")
     # Large components fill blocks of their own; the small ones share blocks, in which their pairs are compared as well.
     filled = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
     sizes = left.groupBy(*by, "label").agg(filled.alias("own"), F.count(F.lit(1)).alias("held"), F.sum("size").alias("volume"))
@@ -351,14 +354,13 @@ def _apart(placed: DataFrame, counts: DataFrame, links: DataFrame) -> DataFrame:
     left = left.join(sizes.select(*by, "label", "own", "small"), [*by, "label"]).join(shared, by, "left")
     left = left.withColumn("owner", F.when(~F.col("small"), F.col("label")))
     left = left.withColumn("part", F.when(F.col("small"), F.pmod(F.xxhash64("label"), F.col("shared"))).otherwise(F.pmod(F.xxhash64("node"), F.col("own"))).cast("int"))
-    block = left.groupBy(*by, "owner", "part").agg(F.count(F.lit(1)).alias("n"))
-    name = F.xxhash64("owner", "part").alias("name")
-    block = block.select(*by, "owner", name)
+    left = written(left.select(*by, "node", "size", "owner", F.xxhash64("owner", "part").alias("name")), "jaccard-blocks")
+    block = left.select(*by, "owner", "name").distinct()
     other = block.select(*by, F.col("owner").alias("owner2"), F.col("name").alias("name2"))
     # Blocks of one large component need no look at each other; a shared block is looked at in itself too.
     meet = block.join(other, by).where("name <= name2 and not (owner <=> owner2 and owner is not null)")
     ends = meet.select(*by, F.col("name").alias("low"), F.col("name2").alias("high"), F.explode(F.array_distinct(F.array("name", "name2"))).alias("name"))
-    return left.select(*by, "node", "size", name).join(ends, [*by, "name"]).select(*by, "low", "high", "node", "size")
+    return left.select(*by, "node", "size", "name").join(ends, [*by, "name"]).select(*by, "low", "high", "node", "size")
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
