@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -222,6 +223,34 @@ def test_suffix_ranks_tell_windows_apart():
     assert len(set(places.values())) == len(places)
 
 
+@pytest.mark.parametrize("cores, most", [(40, 25_000_000), (1, 90_000_000)])
+def test_suffix_sort_of_a_large_group_takes_little_memory(cores, most):
+    rng = np.random.default_rng(4)
+    base = [rng.integers(97, 123, 340, dtype=np.uint8).tobytes() for _ in range(cores)]
+    owner = rng.integers(0, cores, 7000)
+    phrases = [base[c][:k] + rng.integers(97, 123, 300 - k, dtype=np.uint8).tobytes() for c, k in zip(owner, rng.integers(150, 300, len(owner)).tolist())]
+    times = rng.integers(1, 3, len(owner))
+    tracemalloc.start()
+    got = suffix_dedup.repeated_windows(phrases, owner * 7 - 3, times)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    count = collections.Counter()
+    for p, n in zip(phrases, times.tolist()):
+        for k in range(len(p) - 199):
+            count[hash(p[k : k + 200])] += n
+    assert [g.tolist() for g in got] == [[count[hash(p[k : k + 200])] >= 2 for k in range(len(p) - 199)] for p in phrases]
+    assert peak < most
+
+
+def test_suffix_ranks_beyond_what_keys_and_places_share():
+    raw = np.tile(np.arange(97, 117, dtype=np.uint8), (1 << 21) // 20 + 30)
+    raw[-500:] = 120
+    ranks = suffix_dedup.suffix_ranks(raw, np.zeros(len(raw), np.uint32))[: len(raw) - 199]
+    plain = len(raw) - 500 - 199
+    assert len(np.unique(ranks[:plain])) == 20 and (ranks[:plain] == np.resize(ranks[:20], plain)).all()
+    assert len(np.unique(ranks[plain:-301])) == 199 and len(np.unique(ranks[-301:])) == 1
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(9)
     bad = ["vilest", "rotten", "scummy"]

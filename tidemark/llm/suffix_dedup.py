@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from .common import SLICE, hold, schema_of, table, text_slices, tidy, with_columns, written
 from .phrases import CORE, WINDOW, Block
 
-#: Distinct phrases of one core that a task's suffix array takes: about 2 MB of bytes, whatever the corpus's size.
-HOT = 8192
+#: Distinct phrases of one core that a task's suffix array takes: below 2**21 bytes, whatever the corpus's size.
+HOT = 6000
 #: Texts that a task remembers, phrases that it counts at once, and bytes of phrases that a task sorts, about.
 MET, COUNTED, SORTED_BYTES = 200_000, 500_000, 1_000_000
+#: Bytes of phrases whose suffixes are sorted at once, unless one core alone has more.
+LOT = 250_000
 
 
 def _i64(x: np.ndarray) -> np.ndarray:
@@ -107,31 +109,51 @@ def _squeezer(columns: list[str]):
 
 
 def suffix_ranks(raw: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """Rank of the ``WINDOW`` bytes from each place on, equal for equal bytes in the same group.
+    """Rank of the ``WINDOW`` bytes from each place on, equal for equal bytes in the same group (numbered from 0).
 
-    Prefix doubling over the dictionary: 8 bytes first, then twice as many in each round; a window is two
-    overlapping stretches of 128. Places with less than a window behind them get ranks without meaning.
+    Prefix doubling over the dictionary: 5 bytes first, then twice as many in each round; a window is two
+    overlapping stretches of 160. Places with less than a window behind them get ranks without meaning.
     """
     n = len(raw)
-    wide = np.concatenate([raw, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | wide[k : n + k]
-
-    def rank(high: np.ndarray, low: np.ndarray | None) -> np.ndarray:
-        key = high if low is None else (high.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
-        order = np.argsort(key)
-        key = key[order]
+    bits = np.uint64(n.bit_length())
+
+    def rank(key: np.ndarray) -> np.ndarray:
+        if n < 1 << 21:  # a key and its place fit into 64 bits, so the sort is in place
+            key <<= bits
+            key |= np.arange(n, dtype=np.uint64)
+            key.sort()
+            order = (key & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+            key >>= bits
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        step = np.zeros(n, bool)
+        np.not_equal(key[1:], key[:-1], out=step[1:])
+        del key
         out = np.empty(n, np.uint32)
-        out[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        out[order] = np.cumsum(step, dtype=np.uint32)
         return out
 
+    def both(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        key = high.astype(np.uint64)
+        key <<= bits
+        key |= low
+        return key
+
+    def first(span: int) -> np.ndarray:
+        key, wide = np.zeros(n, np.uint64), np.concatenate([raw, np.zeros(span, np.uint8)])
+        for k in range(span):
+            key <<= np.uint64(8)
+            key |= wide[k : n + k]
+        return key
+
     shifted = lambda r, by: np.concatenate([r[by:], np.zeros(min(by, n), r.dtype)])
-    ranks, span = rank(rank(key, None), groups), 8
-    while span < 128:
-        ranks = rank(ranks, shifted(ranks, span))
+    span = 5
+    ranks = rank(both(rank(first(span)), groups))
+    while span < WINDOW // 2:
+        ranks = rank(both(ranks, shifted(ranks, span)))
         span *= 2
-    return rank(ranks, shifted(ranks, WINDOW - span))
+    return rank(both(ranks, shifted(ranks, WINDOW - span)))
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +161,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def repeated_windows(bytes_: list[bytes], cores: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
-    """Of each phrase of a dictionary: which of its windows occur twice at least, by the parse's counts."""
+def _repeated(bytes_: list[bytes], cores: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
     lengths = np.array([len(b) for b in bytes_], np.int64)
     offsets = np.cumsum(lengths) - lengths
     raw = np.frombuffer(b"".join(bytes_), np.uint8)
@@ -154,6 +175,27 @@ def repeated_windows(bytes_: list[bytes], cores: np.ndarray, times: np.ndarray)
     return np.split(again, np.cumsum(windows)[:-1])
 
 
+def repeated_windows(bytes_: list[bytes], cores: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
+    """Of each phrase of a dictionary: which of its windows occur twice at least, by the parse's counts.
+
+    Different cores have no window in common, so they are sorted in lots of whole cores of about ``LOT`` bytes.
+    """
+    order = np.argsort(cores, kind="stable")
+    ends = np.cumsum([len(bytes_[i]) for i in order])
+    last = np.flatnonzero(np.append(cores[order][1:] != cores[order][:-1], True))  # phrase of each core
+    out: list[np.ndarray] = [None] * len(order)
+    start = 0
+    while start < len(order):
+        before = ends[start - 1] if start else 0
+        fit = np.searchsorted(ends[last], before + LOT, "right") - 1
+        stop = int(last[max(fit, np.searchsorted(last, start))]) + 1
+        lot = order[start:stop]
+        for i, flags in zip(lot, _repeated([bytes_[i] for i in lot], cores[lot], times[lot])):
+            out[i] = flags
+        start = stop
+    return out
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """text_hash, first, last: starts of repeated windows, as runs, of the texts of ``docs`` (text, text_hash)."""
     shape = "core long, phrase long, text_hash long, at int, width short"
