@@ -24,3 +24,15 @@ def test_long_chunks_leave_nothing_and_generations_are_bounded(monkeypatch):
         kept = [*memory.young, *memory.old]
         assert all(len(c) <= word_tokens.LONGEST for c in kept) and len(kept) < 600
     assert memory.old
+
+
+def test_a_word_is_learned_once_whatever_stands_around_it():
+    library, memory = Tokenizer.from_file(WORD), word_tokens.WordTokens(WORD)
+    letters = "".join(map(chr, range(256)))
+    rng = random.Random(6)
+    texts = ["Harbour### harbour$$$ harbour, (harbour) harbour's", letters, *letters, *(f"a{c}b1{c}{c}'s" for c in letters)]
+    texts += [f"it'{x} I'{x.upper()} ''{x}'{x}'" for x in ("s", "t", "re", "ve", "m", "ll", "d", "rev", "sx")]
+    texts += ["".join(rng.choice(letters + "''stmdrevl.,  É字ﬁſ"[: 14 + 5 * (k % 2)]) for _ in range(40)) for k in range(300)]
+    assert memory.encode_packed(texts[:1]) and set(memory.young) == {"harbour", "###", "$$$", ",", "(", ")", "'s"}
+    for t, packed in zip(texts, memory.encode_packed(texts)):
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == library.encode(t, add_special_tokens=False).ids

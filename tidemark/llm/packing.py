@@ -38,7 +38,9 @@ TASK_BITS = 36
 
 def dot_product_pick(demand: np.ndarray, left: np.ndarray, weight: np.ndarray, free: np.ndarray) -> int:
     """Row of ``demand`` that fits ``left`` and lies best along it, or -1; the first of equals."""
-    fits = free & (demand <= left).all(axis=1)
+    fits = free.copy()
+    for column, room in zip(demand.T, left):
+        fits &= column <= room
     if not fits.any():
         return -1
     score = demand @ (weight * left)
@@ -59,7 +61,7 @@ class Packer:
     def pack(self, down_to: int) -> Iterator[list[tuple]]:
         """Sequences, as lists of (key, start, length, loss), until at most ``down_to`` tokens are left over."""
         items = self.items
-        demand = np.array([(n, 1, b) for _, _, n, b in items], float).reshape(-1, 3)
+        demand = np.asfortranarray(np.array([(n, 1, b) for _, _, n, b in items], float).reshape(-1, 3))
         weight = demand.mean(axis=0) / self.limits**2 if len(items) else np.ones(3)
         free = np.ones(len(items), bool)
         while self.tokens > down_to and free.any():

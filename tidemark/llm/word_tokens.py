@@ -1,14 +1,16 @@
 """Token ids of whole texts by a word-level BPE vocabulary of the tokenizers library, remembered by word.
 
-White space never lies inside a token of such a vocabulary, so a text's ids are those of its space-separated
-chunks, one after another. Chunks seen before come from a memory of bounded bytes; new ones go to the library in
-batches. Long chunks are never remembered, so texts without spaces leave nothing behind.
+No token of such a vocabulary reaches over two of the library's pre-tokens, so a text's ids are those of its chunks,
+one after another: the pre-tokens of a text of Latin-1 letters, the space-separated stretches of any other. Chunks
+seen before come from a memory of bounded bytes; new ones go to the library in batches. Long chunks are never
+remembered, so texts without spaces leave nothing behind.
 """
 
 from __future__ import annotations
 
 import itertools
 import os
+import re
 import sys
 from collections.abc import Iterable
 
@@ -20,6 +22,10 @@ from .common import hold, trim
 #: chunk that is kept.
 CACHE_BYTES, ENTRY_BYTES, LONGEST = 30_000_000, 100, 64
 
+#: The vocabulary's pre-tokens, for lower-case texts of Latin-1: letters, contractions, single digits, runs of the rest.
+_LETTERS, _DIGITS, _SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+PRE_TOKEN = re.compile(f"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
+
 
 class WordTokens:
     """Packed ids (little-endian unsigned 32-bit) of texts, exactly as the library gives them."""
@@ -49,10 +55,9 @@ class WordTokens:
             return None
         try:
             text.encode("latin-1")
-            text = text.lower()  # in these letters the library's lower case is the same, character by character
         except UnicodeEncodeError:
-            pass
-        return text.replace("\n", " ").split(" ")
+            return text.replace("\n", " ").split(" ")
+        return PRE_TOKEN.findall(text.lower())  # in these letters the library's lower case is the same, character by character
 
     def _learn(self, chunks: set[str]) -> None:
         """Ids of chunks that are in neither generation."""
@@ -97,15 +102,17 @@ class WordTokens:
 
     def encode_packed(self, texts: Iterable[str]) -> list[bytes]:
         split = [self._chunks(t) for t in texts]
-        missing: set[str] = set()
-        for chunks in split:
-            if chunks is not None:
-                missing.update(chunks)
         young = self.young
         before = len(young)
-        self._learn(missing - young.keys())
-        get = young.__getitem__
-        out = [b"".join(map(get, chunks)) if chunks is not None else self._whole(t) for t, chunks in zip(texts, split)]
+        found = [[*map(young.get, chunks)] if chunks is not None else [self._whole(t)] for t, chunks in zip(texts, split)]
+        missing: set[str] = set()
+        lacking = [i for i, values in enumerate(found) if None in values]
+        for i in lacking:
+            missing.update(c for c, v in zip(split[i], found[i]) if v is None)
+        self._learn(missing)
+        for i in lacking:
+            found[i] = [young[c] if v is None else v for c, v in zip(split[i], found[i])]
+        out = [*map(b"".join, found)]
         for c in list(itertools.islice(young, before, None)):
             if len(c) > LONGEST:
                 del young[c]
