@@ -11,6 +11,7 @@ from tidemark.operators import diagnostics as G
 from tidemark.operators import snapshots as S
 from tidemark.operators import split_reports as R
 from tidemark.operators import validation as V
+from tidemark.plans.all_queries import QUERIES
 from tidemark.sources.files import stored
 
 DAY = datetime.date(2024, 1, 1)
@@ -53,6 +54,39 @@ def test_snapshot(spark):
     assert S.training_snapshot(bars.limit(0), news).count() == 0
 
 
+def test_snapshot_shuffles_its_bars_once_and_orders_by_the_same_shuffle(spark, sf_dir):
+    """One shuffle makes bars of lines, one brings bars and news together; news used to be met by joins, and all columns sorted at the end."""
+    plan = QUERIES["src10_training_snapshot"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange rangepartitioning(symbol") == 1
+    assert plan.count("Join") == 1  # with the number of suppliers
+
+
+def test_snapshot_in_several_ranges_of_symbols_equals_a_loop(spark):
+    r, name = random.Random(5), "spark.sql.adaptive.coalescePartitions.enabled"
+    bars = [(f"S{i}", later(n), r.randrange(90, 110) + 0.5, float(r.randrange(1, 9))) for i in range(40) for n in range(i % 7 + 1)] + [("S3", None, 1.0, 1.0), (None, later(1), 1.0, 1.0)]
+    start = int(datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).timestamp())
+    news = [(r.choice(["S5", f"S{r.randrange(40)}", "none", None]), start + r.randrange(-5, 7 * 4 + 1) * 21600, 0.75, r.choice([0.5, -1.0, None])) for _ in range(900)] + [("S5", None, 1.0, 1.0)]
+    r.shuffle(bars)
+    kept = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        s = S.training_snapshot(spark.createDataFrame(bars, "symbol string, bar_date date, close_px double, volume double").repartition(5), spark.createDataFrame(news, "symbol string, published_ts long, weight double, tone double"))
+        got = s.withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(name, kept)
+    dated = sorted(b for b in bars if b[0] and b[1])
+    assert [(x["symbol"], x["bar_date"], x["close_px"], x["volume"]) for x in got] == dated and len({x["part"] for x in got}) > 1
+    before = {}
+    for x in got:
+        at = start + (x["bar_date"] - DAY).days * 86400
+        tones = {h: [t or 0.0 for k, u, _, t in news if k == x["symbol"] and u is not None and 0 <= at - u <= h * 3600] for h in (24, 72)}
+        mean = {h: sum(t) / len(t) if t else 0.0 for h, t in tones.items()}
+        assert x["news_headline_count_24h"] == len(tones[24]) and x["news_source_score_72h"] == (0.75 if tones[72] else 0.0)
+        assert abs(x["news_momentum_24h"] - mean[24]) < 6e-5 and abs(x["news_momentum_72h"] - mean[72]) < 6e-5 and abs(x["news_sentiment_score"] - mean[72]) < 6e-5
+        assert x["return_1d"] == (x["close_px"] / before[x["symbol"]] - 1 if x["symbol"] in before else None)
+        before[x["symbol"]] = x["close_px"]
+
+
 def test_feature_names(spark):
     good, bad = ["feature_rsi_14", "feature_Beta", "feature_return_1d_lagged"], ["rsi", "feature_return_5d", "feature_rec_return", "feature_forward_return", "feature_color", "feature_days_since_last_signal", "Feature_label_rsi"]
     assert [c for c in good + bad if S.is_market_feature(c)] == good

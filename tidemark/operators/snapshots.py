@@ -5,11 +5,10 @@ Feature columns are checked by name: an allow list of market words, and a contra
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
-from . import asof as A
 
 #: Shares of up to 17 words are whole numbers of this: the least common multiple of 1 to 17.
 SHARE = 12252240
@@ -34,34 +33,41 @@ CONTRACT_FORBIDS = ("probability_up", "feature_rec_", "feature_source_", "future
 
 
 def news_columns(bars: DataFrame, news: DataFrame) -> DataFrame:
-    """symbol, bar_date and the news of the day and the three days before each bar's midnight (UTC), both ends included.
+    """``bars`` with ``_ts``, their midnight (UTC), and the news of the day and the three days before it, both ends included.
 
     ``news`` has symbol, published_ts (seconds), weight (of its publisher, with two decimals) and tone (-1 to 1, a share of up to
-    17 words). News without a time or a symbol go. Without news all columns are 0.
+    17 words). News without a time or a symbol go, and so do bars without a symbol or a day. Without news all columns are 0.
+    Bars and news share one shuffle by ranges of symbols, and totals are differences of running totals. Rows are left in the
+    order of (symbol, _ts), across partitions too: windows by both need no shuffle or sort of their own.
     """
     tone, weight = F.round(F.coalesce("tone", F.lit(0.0)) * SHARE).cast("long"), F.round(F.coalesce("weight", F.lit(0.0)) * 100).cast("long")
-    counted = news.select("symbol", "published_ts", F.lit(1).alias("n"), weight.alias("weight"), tone.alias("tone"), (tone * weight).alias("both"))
-    moments = bars.select("symbol", "bar_date", (F.unix_date("bar_date").cast("long") * 86400).alias("_ts"))
-    t = A.interval_totals(moments, counted, "symbol", "_ts", "published_ts", ["symbol", "bar_date"], ["n", "weight", "tone", "both"], {"24": 86401, "72": 259201})
+    counted = news.where("symbol is not null and published_ts is not null").select("symbol", F.col("published_ts").alias("_ts"), F.lit(1).alias("_n"), weight.alias("_weight"), tone.alias("_tone"), (tone * weight).alias("_both"))
+    dated = bars.where("symbol is not null and bar_date is not null").withColumn("_ts", F.unix_date("bar_date").cast("long") * 86400)
+    moments = dated.unionByName(counted, allowMissingColumns=True).repartitionByRange("symbol")
+    w = W.by_symbol(at="_ts")
+    upto = lambda v, s: F.coalesce(F.sum(f"_{v}").over(w.rangeBetween(Window.unboundedPreceding, -s)), F.lit(0))
+    last = {"24": (86401, ["n", "tone"]), "72": (259201, ["n", "weight", "tone", "both"])}
+    totals = {f"_{v}_{name}": upto(v, 0) - upto(v, s) for name, (s, values) in last.items() for v in values}
+    t = moments.withColumns(totals).where("bar_date is not null")
     mean = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 4)
     share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a) / SHARE, F.col(b)), F.lit(0.0)), 4)
-    weighted = F.when(F.col("weight_72") > 0, share("both_72", "weight_72")).otherwise(0.0)
-    t = t.withColumn("weights", F.col("weight_72") / 100)
+    weighted = F.when(F.col("_weight_72") > 0, share("_both_72", "_weight_72")).otherwise(0.0)
+    t = t.withColumn("_weights", F.col("_weight_72") / 100)
     return t.select(
-        "symbol", "bar_date", weighted.alias("news_sentiment_score"), F.col("n_24").cast("double").alias("news_headline_count_24h"), mean("weights", "n_72").alias("news_source_score_72h"),
-        share("tone_24", "n_24").alias("news_momentum_24h"), share("tone_72", "n_72").alias("news_momentum_72h"),
+        *bars.columns, "_ts", weighted.alias("news_sentiment_score"), F.col("_n_24").cast("double").alias("news_headline_count_24h"), mean("_weights", "_n_72").alias("news_source_score_72h"),
+        share("_tone_24", "_n_24").alias("news_momentum_24h"), share("_tone_72", "_n_72").alias("news_momentum_72h"),
     )
 
 
-def indicators(bars: DataFrame) -> DataFrame:
+def indicators(bars: DataFrame, at: str = "bar_date") -> DataFrame:
     """Bars with return_1d, return_5d, rsi_14 (null without any loss), macd_hist from the first bar on, vol_ratio_20d."""
-    w = W.by_symbol()
+    w = W.by_symbol(at=at)
     delta = F.col("close_px") - F.lag("close_px").over(w)
     moved = bars.withColumns({"_gain": F.greatest(delta, F.lit(0.0)), "_loss": F.greatest(-delta, F.lit(0.0)), "_known": delta.isNotNull()})
     moved = moved.withColumns({c: F.when(F.col("_known"), F.col(c)) for c in ("_gain", "_loss")})
     strength = W.safe_ratio(W.moving_average("_gain", 14, w), W.moving_average("_loss", 14, w))
     out = moved.withColumns({"return_1d": W.lagged_return("close_px", 1, w), "return_5d": W.lagged_return("close_px", 5, w), "rsi_14": 100 - 100 / (1 + strength), "vol_ratio_20d": W.safe_ratio(F.col("volume"), W.moving_average("volume", 20, w))})
-    lines = W.with_ema_in_place(out.drop("_gain", "_loss", "_known"), {"_fast": ("close_px", 12), "_slow": ("close_px", 26), "_signal": (("_fast", "_slow"), 9)})
+    lines = W.with_ema_in_place(out.drop("_gain", "_loss", "_known"), {"_fast": ("close_px", 12), "_slow": ("close_px", 26), "_signal": (("_fast", "_slow"), 9)}, at=at)
     return lines.withColumn("macd_hist", F.col("_fast") - F.col("_slow") - F.col("_signal")).drop("_fast", "_slow", "_signal")
 
 
@@ -69,16 +75,15 @@ def training_snapshot(bars: DataFrame, news: DataFrame, horizon: int = 5, target
     """One row for each bar of every symbol, by (symbol, bar_date): news columns, indicators, forward return and label.
 
     A bar whose horizon lies beyond the last bar has no forward return, and label 0. ``bars`` has one row for each (symbol,
-    bar_date), close_px and volume.
+    bar_date), close_px and volume. Rows keep the order that ``news_columns`` gives them, so nothing is sorted at the end.
     """
-    w = W.by_symbol()
     ahead = f"forward_return_{horizon}d"
+    told = news_columns(bars.select("symbol", "bar_date", "close_px", "volume"), news)
     # Averages come last: a window behind them would shuffle once more.
-    f = indicators(bars.select("symbol", "bar_date", "close_px", "volume", W.forward_return("close_px", horizon, w).alias(ahead)))
+    f = indicators(told.withColumn(ahead, W.forward_return("close_px", horizon, W.by_symbol(at="_ts"))), at="_ts")
     f = f.withColumn(f"label_up_{horizon}d", F.coalesce(F.col(ahead) > target, F.lit(False)).cast("double"))
-    measures = [c for c in f.columns if c not in ("symbol", "bar_date", ahead, f"label_up_{horizon}d")]
-    f = f.select("symbol", "bar_date", *measures, ahead, f"label_up_{horizon}d")
-    return f.join(news_columns(bars, news), ["symbol", "bar_date"]).orderBy("symbol", "bar_date")
+    tail = [ahead, f"label_up_{horizon}d", *(c for c in f.columns if c.startswith("news_"))]
+    return f.select("symbol", "bar_date", *(c for c in f.columns if c not in ("symbol", "bar_date", "_ts", *tail)), *tail)
 
 
 def is_market_feature(name: str) -> bool:
