@@ -57,10 +57,21 @@ def test_snapshot(spark):
 def test_snapshot_shuffles_its_bars_once_and_orders_by_the_same_shuffle(spark, sf_dir):
     """One shuffle makes bars of lines, one brings bars and news together; news used to be met by joins, and all columns sorted at the end."""
     plan = QUERIES["src10_training_snapshot"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange rangepartitioning(symbol") == 1
+    assert plan.count("Exchange hashpartitioning(symbol") == 2 and plan.count("Exchange rangepartitioning(symbol") == 1
+    assert plan.count("Exchange hashpartitioning") == 2  # bars of lines, news by day
     assert plan.count("Join") == 1  # with the number of suppliers
 
 
+def test_news_between_two_midnights_are_added_up_before_they_meet_bars(spark):
+    bars = spark.createDataFrame([("A", later(n), 100.0, 1.0) for n in range(9)], "symbol string, bar_date date, close_px double, volume double")
+    start = int(datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).timestamp())
+    news = spark.range(20_000).select(F.lit("A").alias("symbol"), (F.lit(start) + F.col("id") * 20).alias("published_ts"), F.lit(1.0).alias("weight"), F.lit(0.5).alias("tone"))
+    s = S.news_columns(bars, news).orderBy("bar_date").collect()
+    want = [sum(1 for i in range(20_000) if 0 <= n * 86400 - i * 20 <= 86400) for n in range(9)]
+    assert [r["news_headline_count_24h"] for r in s] == want and want[1] == 4321
+    assert "HashAggregate" in S.news_columns(bars, news)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_snapshot_in_several_ranges_of_symbols_equals_a_loop(spark):
     r, name = random.Random(5), "spark.sql.adaptive.coalescePartitions.enabled"
     bars = [(f"S{i}", later(n), r.randrange(90, 110) + 0.5, float(r.randrange(1, 9))) for i in range(40) for n in range(i % 7 + 1)] + [("S3", None, 1.0, 1.0), (None, later(1), 1.0, 1.0)]

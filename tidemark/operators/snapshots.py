@@ -37,11 +37,14 @@ def news_columns(bars: DataFrame, news: DataFrame) -> DataFrame:
 
     ``news`` has symbol, published_ts (seconds), weight (of its publisher, with two decimals) and tone (-1 to 1, a share of up to
     17 words). News without a time or a symbol go, and so do bars without a symbol or a day. Without news all columns are 0.
-    Bars and news share one shuffle by ranges of symbols, and totals are differences of running totals. Rows are left in the
+    To midnights all news between two of them are alike, so they are added up first: a symbol has two rows of news a day at most.
+    Bars and these share one shuffle by ranges of symbols, and totals are differences of running totals. Rows are left in the
     order of (symbol, _ts), across partitions too: windows by both need no shuffle or sort of their own.
     """
     tone, weight = F.round(F.coalesce("tone", F.lit(0.0)) * SHARE).cast("long"), F.round(F.coalesce("weight", F.lit(0.0)) * 100).cast("long")
-    counted = news.where("symbol is not null and published_ts is not null").select("symbol", F.col("published_ts").alias("_ts"), F.lit(1).alias("_n"), weight.alias("_weight"), tone.alias("_tone"), (tone * weight).alias("_both"))
+    published, past = F.col("published_ts"), F.pmod("published_ts", F.lit(86400))
+    counted = news.where("symbol is not null and published_ts is not null").select("symbol", F.when(past == 0, published).otherwise(published - past + 1).alias("_ts"), F.lit(1).alias("_n"), weight.alias("_weight"), tone.alias("_tone"), (tone * weight).alias("_both"))
+    counted = counted.groupBy("symbol", "_ts").agg(*(F.sum(c).alias(c) for c in ("_n", "_weight", "_tone", "_both")))
     dated = bars.where("symbol is not null and bar_date is not null").withColumn("_ts", F.unix_date("bar_date").cast("long") * 86400)
     moments = dated.unionByName(counted, allowMissingColumns=True).repartitionByRange("symbol")
     w = W.by_symbol(at="_ts")
